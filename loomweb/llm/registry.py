@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loomweb.llm import chat_format
+from loomweb.llm import chat_format, license_scan, url_rules
 
 QUERIES = {
     "op5_chat_format": chat_format.op5_chat_format,
+    "op7_url_filter": url_rules.op7_url_filter,
+    "op9_license_scan": license_scan.op9_license_scan,
 }
 ORACLES = {
     "op5_chat_format": chat_format.OP5_SQL,
+    "op7_url_filter": url_rules.OP7_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
 }
