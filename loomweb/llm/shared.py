@@ -46,3 +46,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that new_folder() named, through Spark's own file system classes."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as executors that open it without Spark need it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
