@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomweb.llm import chat_format, license_scan, media, pii, url_rules
+from loomweb.llm import chat_format, license_scan, media, pii, simhash, url_rules
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op4_media": media.op4_media,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_simhash": simhash.op6_simhash,
     "op7_url_filter": url_rules.op7_url_filter,
     "op9_license_scan": license_scan.op9_license_scan,
 }
