@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from loomweb.llm.shared import table
 
-LEAF_BYTES = 48
+LEAF_BYTES, LONG_BYTES = 48, 256
 CACHED = 1 << 18
 CACHED_CHARS = 64
 TOKENS_AT_ONCE = 2_000_000
@@ -65,6 +66,8 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, the leftmost first, until no pair is a token."""
+        if len(piece) > LONG_BYTES:
+            return self.merge_long(piece)
         rank = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
         far = len(self.ranks)
@@ -79,6 +82,29 @@ class Encoder:
                 costs[i] = rank(parts[i] + parts[i + 1], far)
         return [self.ranks[p] for p in parts]
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap and linked parts, for windows that grow long (a run of one letter, say)."""
+        rank, n = self.ranks.get, len(piece)
+        end = [*range(1, n + 1)]
+        before = [*range(-1, n - 1)]
+        alive = [True] * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            if i >= 0 and end[i] < n and (r := rank(piece[i : end[end[i]]])) is not None:
+                heappush(heap, (r, i, end[end[i]]))
+
+        while heap:
+            _, i, stop = heappop(heap)
+            if alive[i] and (j := end[i]) < n and end[j] == stop:
+                alive[j], end[i] = False, stop
+                if stop < n:
+                    before[stop] = i
+                offer(before[i])
+                offer(i)
+        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF_BYTES:
             return self.merge(piece)
