@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomweb.llm import chat_format, license_scan, media, pii, simhash, url_rules
+from loomweb.llm import bpe, chat_format, license_scan, media, pii, simhash, toxicity, url_rules
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_simhash": simhash.op6_simhash,
     "op7_url_filter": url_rules.op7_url_filter,
+    "op8_bpe": bpe.op8_bpe,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op5_chat_format": chat_format.OP5_SQL,
