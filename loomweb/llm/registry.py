@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomweb.llm import bpe, chat_format, license_scan, media, pii, quality, simhash, toxicity, url_rules
+from loomweb.llm import bpe, chat_format, decontaminate, license_scan, media, pii, quality, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_media": media.op4_media,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_simhash": simhash.op6_simhash,
