@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomweb.llm.components import connected
@@ -67,15 +67,15 @@ def fingerprints_of(texts) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a long."""
+def fingerprints(docs: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of that kind) and fp, the fingerprint as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -153,15 +153,37 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return runs.mapInArrow(_links_in_runs, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that a chain of links reaches."""
-    found = checkpointed(fingerprints(docs))
+def classes_of(found: DataFrame) -> DataFrame:
+    """found: doc_id, fp.  fp and component_id, the smallest doc_id that a chain of links reaches."""
     first = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected(link(first.select("fp")))
     of = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = checkpointed(of.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return checkpointed(of.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id."""
+    found = checkpointed(fingerprints(docs))
+    return found.join(classes_of(found), "fp").select("doc_id", "fp", "component_id")
+
+
+def key_digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, the one of the smallest doc_id (one without only where all are
+    without), with the same columns.  Rows alike in doc_id and text count as one."""
+    id_and_digest = F.struct(F.col("doc_id").cast("long").alias("doc_id"), key_digest().alias("digest"))
+    found = fingerprints(docs.select(id_and_digest.alias("doc_id"), "text"), "struct<doc_id: long, digest: long>")
+    found = checkpointed(found.select("doc_id.doc_id", "doc_id.digest", "fp"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
+    kept = found.join(classes_of(found.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(low)
+    kept = kept.select(F.col("low.doc_id").alias("doc_id"), F.col("low.digest").alias("digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key_digest().alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("rows.digest") == F.col("kept.digest"))
+    return rows.alias("rows").join(kept.alias("kept"), same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
