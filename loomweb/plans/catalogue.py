@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import functions as F
+
+from loomweb.plans import page_queries, row_queries
+
+QUERIES: dict = {**page_queries.QUERIES, **row_queries.QUERIES}
+ORACLES: dict = {**page_queries.ORACLES, **row_queries.ORACLES}
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Keyword search: pages by their number of hits."""
+    return page_queries.search_rank(spark, sf_dir).orderBy(F.desc("hit_count"), "page_id")
