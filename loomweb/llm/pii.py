@@ -66,6 +66,8 @@ BRACKETED_HINT = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]", re.IGNORECAS
 SPACED_DOMAIN = r"[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"
 SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(\s+at\s+|@)({SPACED_DOMAIN})", re.IGNORECASE)
 SPACED_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+#: Last labels of domains that are no common words.
+LAST_LABELS = frozenset("com org net edu gov mil info biz io co ai dev app uk de fr es nl eu ca au ch br cn jp ru se pl pt test example invalid".split())
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]*|\+\s?)?(?:{WORD}|[0-9]+)(?:[\s,-]{{1,3}}(?:{WORD}|dot|point|[0-9]+)(?!\w))+", re.IGNORECASE)
 #: A run of spelled digits has one of these words ("un" alone is an article).
@@ -202,9 +204,11 @@ def rewrite(text: str) -> Rewritten | None:
 
 
 def _spaced(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits for "name at host dot tld"; a plain "at" needs a spelled dot or a name that isn't a word."""
+    """Edits for "name at host dot tld".  With a plain word before a spelled "at", it takes a spelled dot
+    and a known last label, so that prose stays prose."""
     dots = [(d.start() + m.start(3), d.end() + m.start(3), ".") for d in SPACED_DOT.finditer(m[3])]
-    if not dots and not re.search(r"[0-9_%+]|[A-Za-z][.-][A-Za-z]", m[1]):
+    plain = m[2] != "@" and not re.search(r"[0-9_%+]|[A-Za-z][.-][A-Za-z]", m[1])
+    if plain and (not dots or re.split(r"[.\s]", m[3])[-1].lower() not in LAST_LABELS):
         return []
     return [*([] if m[2] == "@" else [(m.start(2), m.end(2), "@")]), *dots]
 
