@@ -1,0 +1,127 @@
+"""Quality and toxicity: held-out accuracy, exactness of the search, defined rows."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomweb.llm import quality, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def random_entries(rng, n, n_terms):
+    vectors = sorted({tuple(sorted((t, rng.randrange(1, 4)) for t in rng.sample(range(n_terms), rng.randrange(1, 7)))) for _ in range(n)})
+    count = np.array([rng.randrange(1, 5) for _ in vectors])
+    toxic = np.array([rng.randrange(0, c + 1) for c in count])
+    return toxicity.Entries([f"t{i}" for i in range(n_terms)], np.array([1 + rng.random() * 4 for _ in range(n_terms)]), vectors, count, toxic, list(range(len(vectors))))
+
+
+def cosine(entries, a, b):
+    x, y = ({t: (1 + math.log(n)) * entries.idf[t] for t, n in v} for v in (a, b))
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    return sum(w * y.get(t, 0) for t, w in x.items()) / norm(x) / norm(y)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_block_max_search_is_exact(seed):
+    rng = random.Random(seed)
+    entries = random_entries(rng, 400, 30)
+    index = toxicity.BlockMaxIndex(entries, block=8)
+    for q in rng.sample(range(len(entries.vectors)), 40):
+        vector, own = entries.vectors[q], rng.choice([None, q])
+        n = entries.n - (np.arange(len(entries.n)) == own)
+        scores = sorted(((cosine(entries, vector, v), i) for i, v in enumerate(entries.vectors)), key=lambda x: (-x[0], x[1]))
+        total, least = 0, 0.0
+        for s, i in scores:
+            total += n[i]
+            if total >= toxicity.NEIGHBOURS:
+                least = s
+                break
+        want = {i for s, i in scores if s > 0 and s >= least - 1e-9}
+        ids, cosines = index.nearest(vector, own=own)
+        assert set(ids.tolist()) == want
+        assert np.allclose(cosines, [cosine(entries, vector, entries.vectors[i]) for i in ids])
+    assert index.scored < 40 * index.blocks  # blocks were left out
+
+
+def test_isotonic_is_monotone_and_calibrated():
+    rng = np.random.default_rng(3)
+    votes = rng.random(500)
+    labels = (rng.random(500) < votes**2).astype(float)
+    x, y = toxicity.isotonic(votes, labels, np.ones(500))
+    assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all() and 0 < y[0] < 0.1 < 0.7 < y[-1] < 1
+
+
+def toxic_corpus():
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        text = rng.choices(words, k=rng.randrange(3, 60))
+        for _ in range(2 * bad):
+            text.insert(rng.randrange(len(text)), rng.choice(["scoundrel", "nitwit", "fool"]))
+        docs.append((i, " ".join(text).title() if i % 2 else " ".join(text), "en"))
+        labels.append((i, int(bad)))
+    return docs, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = toxic_corpus()
+    docs += [(5000, None, "en"), (5000, "", "en"), (None, "such a nitwit and fool", "en"), (5001, "word1 " * 60_000 + "nitwit fool", "en")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    truth = spark.createDataFrame([*labels, (3, 0), (None, 1), (7777, 1), (8, None)], "doc_id long, toxic int")
+    model = toxicity.learn(frame, truth)
+    got = toxicity.score_toxicity(frame, model).select("*", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
+    assert len(got) == len(docs)
+    by = dict(labels)
+    for r in got:
+        assert 0 <= r.score <= 1
+        if r.held and r.doc_id in by:
+            assert (r.score >= toxicity.THRESHOLD) == bool(by[r.doc_id])
+    odd = {(r.doc_id, round(r.score, 9)) for r in got if r.doc_id is None or r.doc_id >= 5000}
+    assert len(odd) == 3 and all(s < 0.1 for i, s in odd if i == 5000) and all(s >= 0.7 for i, s in odd if i != 5000)
+    evidence = next(r.evidence for r in got if r.doc_id == 0).split(",")
+    assert 1 <= len(evidence) <= 3 and all(not toxicity_held(int(e.split(":")[0])) for e in evidence)
+    none = toxicity.learn(frame, truth.limit(0))
+    assert {r.score for r in toxicity.score_toxicity(frame, none).collect()} == {0.0}
+    assert toxicity.score_toxicity(frame.limit(0), model).count() == 0
+
+
+def toxicity_held(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_sampling_is_bounded(spark):
+    docs, labels = toxic_corpus()
+    sample = toxicity.examples(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"), 50)
+    assert sample.count() == 50 and not any(toxicity_held(r.doc_id) for r in sample.collect())
+
+
+def test_quality_on_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.col("doc_id") % 4 == 0
+    model = quality.co_train(docs, labels.filter(~held).select("doc_id", "quality"), rounds=1)
+    rows = quality.score_quality(docs, model)
+    assert rows.count() == docs.count()
+    judged = rows.select("row.doc_id", "score").join(labels.filter(held), "doc_id").collect()
+    wrong = [r for r in judged if (r.score >= quality.KEPT) != (r.quality == 1)]
+    assert len(judged) > 80 and len(wrong) <= 0.04 * len(judged)
+    odd = spark.createDataFrame(
+        [(1, None, None, None, None, "a"), (1, "", "en", "s", -5, "b"), (None, "the " * 50_000, "en", None, 3, "c")], "doc_id long, text string, lang string, source string, n_chars long, score string"
+    )
+    scored = quality.score_quality(odd, model).select("row.*", F.col("score").alias("p")).collect()
+    assert len(scored) == 3 and all(0 <= r.p <= 1 for r in scored) and {r.score for r in scored} == {"a", "b", "c"}
+
+
+def test_quality_without_two_kinds_of_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).count() == 2 and quality.keep_good(docs, labels.limit(0)).count() == 2
+    bad = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    assert quality.keep_good(docs, bad).count() == 0 and quality.keep_good(docs.limit(0), labels).count() == 0
