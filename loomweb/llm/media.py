@@ -113,8 +113,13 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def spread(manifest: DataFrame) -> DataFrame:
+    """The manifest dealt out by shard and window of offsets, so that a shard's reads go on in order and no shard is one task."""
+    return manifest.repartition("shard", F.floor(F.col("offset") / WINDOW)).sortWithinPartitions("shard", "offset")
+
+
 def read_back(manifest: DataFrame, folder: str, read, schema: str, header_only: bool = False) -> DataFrame:
-    """Adds the columns of schema: read(bytes) for each picture, or for its header."""
+    """Adds the columns of schema: read(bytes) for each picture, or for its header.  manifest is best spread()."""
     keep = [f"{name} {kind}" for name, kind in manifest.dtypes]
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -129,8 +134,7 @@ def read_back(manifest: DataFrame, folder: str, read, schema: str, header_only:
             values = [found[k] for k in zip(batch["shard"], batch["offset"], strict=True)]
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(values, columns=names)], axis=1)
 
-    spread = manifest.repartition("shard", F.floor(F.col("offset") / WINDOW)).sortWithinPartitions("shard", "offset")
-    return spread.mapInPandas(ranges, ", ".join(keep) + ", " + schema)
+    return manifest.mapInPandas(ranges, ", ".join(keep) + ", " + schema)
 
 
 def metadata(manifest: DataFrame, folder: str) -> DataFrame:
@@ -171,7 +175,6 @@ def index_of(manifest: DataFrame) -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = qualified(spark, new_folder(spark, "media"))
     manifest = store(table(spark, sf_dir, "documents"), folder)
-    every = lambda png: (*read_header(png[:HEADER_BYTES]), *payload_columns(png))
-    read = read_back(index_of(manifest), folder, every, f"{METADATA}, {PAYLOAD}")
+    read = read_back(metadata(spread(index_of(manifest)), folder), folder, payload_columns, PAYLOAD)
     rows = manifest.select("doc_id", "n_bytes", "digest").join(read, "digest")
     return rows.select("doc_id", "n_bytes", *(c.split()[0] for c in PAYLOAD.split(", ")), "width", "height", "digest", "shard", "offset", "length")

@@ -44,7 +44,7 @@ def test_media_columns_are_lossless(spark):
         raw = (texts[r.doc_id if r.doc_id is not None else 7] or "").encode()
         payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
         assert r.payload == r.digest == hashlib.sha256(payload).hexdigest() and r.n_bytes == len(raw)
-    heads = media.metadata(manifest, folder).collect()
+    heads = media.metadata(media.spread(manifest), folder).collect()
     assert {(h.width, h.bits) for h in heads} == {(576, 8)} and max(h.height for h in heads) == -(-200_000 // 576)
     assert media.index_of(manifest).count() == len({hashlib.sha256(media.padded(t)[0]).digest() for t in texts})
     assert zlib.crc32(media.padded("a")[0][-32:]) == zlib.crc32(b"\xff" * 32)
