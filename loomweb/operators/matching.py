@@ -27,22 +27,23 @@ def fragment(url: Column, keyword: Column) -> Column:
     return F.concat(url, F.lit("#:~:text="), urls.quote(keyword))
 
 
-def match_pages(pages: DataFrame, keywords: list[str], key: str = "page_id") -> DataFrame:
+def match_pages(pages: DataFrame, keywords: list[str], key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Hits of parsed pages in texts, images, titles, labels, links, metas and forms.
 
-    key, url, ord, kind, snippet, keyword, href, link_href; of equal kind, snippet and keyword the first counts.
+    key, url, carry, ord, kind, snippet, keyword, href, link_href; of equal kind, snippet and keyword the first
+    counts.  carry: other columns of a page that hits keep, so that it needn't be parsed again.
     """
-    words = keyword_array(keywords)
-    at = pages.select(key, "url", F.posexplode("page.segments").alias("segment", "s"))
-    hits = at.select(key, "url", "segment", F.col("s.kind").alias("kind"), F.col("s.link").alias("link_href"), F.explode(_snippets(F.col("s.text"), words)).alias("h"))
-    hits = hits.select(key, "url", "kind", "link_href", "h.snippet", "h.keyword", (F.col("segment").cast("long") * 1000 + F.col("h.k")).alias("ord"))
-    hits = first_of(hits, [key, "url", "kind", "snippet", "keyword"], ["ord"])
+    words, own = keyword_array(keywords), (key, "url", *carry)
+    at = pages.select(*own, F.posexplode("page.segments").alias("segment", "s"))
+    hits = at.select(*own, "segment", F.col("s.kind").alias("kind"), F.col("s.link").alias("link_href"), F.explode(_snippets(F.col("s.text"), words)).alias("h"))
+    hits = hits.select(*own, "kind", "link_href", "h.snippet", "h.keyword", (F.col("segment").cast("long") * 1000 + F.col("h.k")).alias("ord"))
+    hits = first_of(hits, [*own, "kind", "snippet", "keyword"], ["ord"])
     target = (
         F.when(F.col("kind") == "text", fragment(F.col("url"), F.col("keyword")))
         .when(F.col("kind").isin("link-text", "link-href") & (F.coalesce("link_href", F.lit("")) != ""), F.col("link_href"))
         .otherwise(F.col("url"))
     )
-    return hits.select(key, "url", "ord", "kind", "snippet", "keyword", target.alias("href"), "link_href")
+    return hits.select(*own, "ord", "kind", "snippet", "keyword", target.alias("href"), "link_href")
 
 
 def match_bodies(pages: DataFrame, keywords: list[str], key: str = "page_id", of: Column | None = None) -> DataFrame:
@@ -52,10 +53,10 @@ def match_bodies(pages: DataFrame, keywords: list[str], key: str = "page_id", of
     return at.select(key, "url", F.col("h.k").cast("long").alias("ord"), F.lit("text").alias("kind"), "h.snippet", "h.keyword", fragment(F.col("url"), F.col("h.keyword")).alias("href"))
 
 
-def page_results(hits: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, url, hit_count and hits in their order."""
+def page_results(hits: DataFrame, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, url, carry, hit_count and hits in their order."""
     hit = F.struct(*(c for c in ("ord", "kind", "snippet", "keyword", "href", "link_href") if c in hits.columns))
-    return hits.groupBy(key, "url").agg(F.count("*").alias("hit_count"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    return hits.groupBy(key, "url", *carry).agg(F.count("*").alias("hit_count"), F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
 def best_by_url(candidates: DataFrame) -> DataFrame:

@@ -99,3 +99,13 @@ def canonical_url(page: Column, url: Column, root_host: str, **policy) -> Column
 def locate(pages: DataFrame, keyword: str) -> DataFrame:
     """url and highlighted: the page without scripts, a keyword marked."""
     return pages.select("url", highlighted("html", "url", F.lit(keyword)).alias("highlighted"))
+
+
+def result_page_links(anchors: DataFrame, origin: str, skip_paths: tuple[str, ...] = ()) -> DataFrame:
+    """url, pos, link: article links of a result page on its own host, without pagers and files."""
+    raw, at = F.trim("href"), F.col("absolute")
+    own = urls.netloc(F.lit(origin))
+    good = anchors.filter((raw != "") & (raw != "#") & ~F.startswith(F.lower(raw), F.lit("javascript:")) & urls.scheme(at).isin("http", "https") & (F.lower(urls.netloc(at)) == F.lower(own)))
+    good = good.filter(~urls.path(at).isin(*skip_paths) if skip_paths else F.lit(True)).filter(~F.endswith(F.lower(urls.path(at)), F.lit("search.html")))
+    good = good.filter((F.col("link") != urls.normalize(F.lit(origin + "/"))) & ~urls.is_binary(F.col("link")))
+    return good.groupBy("url", "link").agg(F.min("pos").alias("pos"))

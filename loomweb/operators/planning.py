@@ -107,3 +107,21 @@ def rate_for(hosts: DataFrame, overrides: dict[str, float], default: float = 2.0
     name = F.col("host")
     fits = [F.when((name == o) | F.endswith(name, F.lit("." + o)), F.lit(float(r))) for o, r in overrides.items()]
     return hosts.withColumn("rate", F.coalesce(*fits, F.lit(float(default))))
+
+
+def gated_requests(counts: DataFrame, pages: int = 20, rows_a_page: int = 10, limit: int = 10) -> DataFrame:
+    """counts: pos, keyword, n (null: unknown).  Result pages to ask for: keywords without any result are
+    skipped, and all keywords together share one limit of requests."""
+    wanted = counts.filter(F.col("n") > 0).withColumn("last", F.least(F.lit(pages), F.ceil(F.col("n") / rows_a_page).cast("int")))
+    each = wanted.select("pos", "keyword", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page"))
+    return each.orderBy("pos", "page").limit(limit)
+
+
+def window_requests(keywords: DataFrame, kinds: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """keywords: keyword; kinds: kind.  A request for each keyword and kind, without a title filter where the
+    keyword is the kind's own label; then one without a keyword for each kind not yet asked for whole."""
+    label = F.coalesce(*(F.when(F.col("keyword") == k, v) for k, v in labels.items()), F.lit(None).cast("string"))
+    asked = keywords.crossJoin(F.broadcast(kinds)).withColumn("title", F.when(label == F.col("kind"), "").otherwise(F.col("keyword")))
+    whole = asked.filter("title = ''").select("kind")
+    sweep = kinds.join(whole, "kind", "left_anti").select(F.lit("").alias("keyword"), "kind", F.lit("").alias("title"))
+    return asked.select("keyword", "kind", "title").unionByName(sweep)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomweb.functions import text, urls
 from loomweb.operators import candidates, graph, jobs, matching, pages
-from loomweb.runtime import table
+from loomweb.runtime import checkpointed, table
 
 KEYWORDS = ["that", "with", "this", "from", "example"]
 _WORDS = "[" + ", ".join(f"'{k}'" for k in KEYWORDS) + "]"
@@ -37,7 +37,7 @@ def _snip(t: str, k: str) -> str:
       || CASE WHEN at_ - 1 + length({k}) + 60 < length({t}) THEN '…' ELSE '' END"""
 
 
-def _norm(u: str) -> str:
+def sql_norm(u: str) -> str:
     keys = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
     kept = f"list_sort([x FOR x IN string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&') IF x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({keys})])"
     return f"regexp_replace(regexp_extract({u}, '^[^?#]*'), '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
@@ -103,10 +103,9 @@ FROM found GROUP BY page_id, url, kind, snippet, keyword"""
 
 def search_rank(spark, sf_dir):
     """Pages by their number of hits: the flagship search."""
-    parsed = _parsed(spark, sf_dir)
-    results = matching.page_results(matching.match_pages(parsed, KEYWORDS))
-    titles = pages.facts(parsed).select("page_id", "page_title", "display_title")
-    return results.join(titles, "page_id").select("page_id", "url", "page_title", F.col("hit_count").cast("long").alias("hit_count"))
+    titled = _parsed(spark, sf_dir).withColumn("page_title", F.col("page.title"))
+    hits = matching.match_pages(titled, KEYWORDS, carry=("page_title",))
+    return hits.groupBy("page_id", "url", "page_title").agg(F.count("*").alias("hit_count"))
 
 
 SEARCH_RANK = f"""WITH {_SEGMENTS}
@@ -154,7 +153,7 @@ URL_PARTS = rf"""WITH p AS (
   SELECT page_id, url, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages
 ), q AS (SELECT *, lower(regexp_extract(regexp_replace(path, '/+$', ''), '[^/]*$')) AS name FROM p), r AS (
   SELECT *, query <> '' AND name <> '' AND NOT contains(name, '.') AS by_query, regexp_matches(name, '^index\.s?html?$') AS is_index, regexp_matches(name, '\.s?html?$') AS is_page FROM q)
-SELECT page_id, {_norm("url")} AS norm_url, host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, regexp_extract(url, '^[a-z]+://[^?#]*') AS redacted,
+SELECT page_id, {sql_norm("url")} AS norm_url, host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, regexp_extract(url, '^[a-z]+://[^?#]*') AS redacted,
   host || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END AS host_key, by_query OR is_index AS hub, is_page AND NOT is_index AS article,
   coalesce(regexp_extract(path, '\.([^./]*)$', 1), '') IN ('jpg', 'pdf', 'zip', 'css', 'js', 'json', 'xml') AS "binary",
   NOT regexp_matches(lower(path), '\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|rar|7z|mp4|mp3|css|js)$') AND NOT list_has_any(string_split(lower(path), '/'), ['login', 'signin', 'register', 'passport', 'user']) AS candidate,
@@ -199,7 +198,7 @@ def merge_candidates(spark, sf_dir):
     return merged.select("pos", "url", "source", "score", "section", "published_date", F.array_join("source_evidence", ",").alias("evidence"))
 
 
-_MERGED = f"""{_CANDIDATES}, n AS (SELECT *, {_norm("url")} AS norm FROM cands), w AS (
+_MERGED = f"""{_CANDIDATES}, n AS (SELECT *, {sql_norm("url")} AS norm FROM cands), w AS (
   SELECT *, score > coalesce(max(score) OVER (PARTITION BY norm ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS raises FROM n
 ), merged AS (
   SELECT min(pos) AS pos, norm AS url, arg_max(source, score * 10000000 - pos) AS source, max(score) AS score, arg_max(section, score * 10000000 - pos) AS section,
@@ -227,10 +226,10 @@ def recall(spark, sf_dir):
 
 
 RECALL = rf"""WITH {_PAGES}, {_CANDIDATES}, k AS (SELECT unnest(['this', 'page']) AS keyword), best AS (
-  SELECT {_norm("url")} AS norm_url, * FROM cands QUALIFY row_number() OVER (PARTITION BY {_norm("url")} ORDER BY score DESC, pos) = 1
+  SELECT {sql_norm("url")} AS norm_url, * FROM cands QUALIFY row_number() OVER (PARTITION BY {sql_norm("url")} ORDER BY score DESC, pos) = 1
 ), strong AS (
-  SELECT {_norm("url")} AS norm_url, page_id, url, count(*) AS hit_count FROM parsed, k WHERE page_id % 2 = 0 AND contains(lower(main_text), keyword) GROUP BY page_id, url
-  QUALIFY row_number() OVER (PARTITION BY {_norm("url")} ORDER BY page_id) = 1)
+  SELECT {sql_norm("url")} AS norm_url, page_id, url, count(*) AS hit_count FROM parsed, k WHERE page_id % 2 = 0 AND contains(lower(main_text), keyword) GROUP BY page_id, url
+  QUALIFY row_number() OVER (PARTITION BY {sql_norm("url")} ORDER BY page_id) = 1)
 SELECT s.norm_url, s.url, 'strong' AS strength, hit_count, page_id AS position, score, nullif(published_date, '') AS published_date FROM strong s LEFT JOIN best USING (norm_url)
 UNION ALL SELECT norm_url, url, 'weak', 2, pos, score, nullif(published_date, '') FROM best WHERE norm_url NOT IN (SELECT norm_url FROM strong)"""
 
@@ -251,7 +250,7 @@ def unvisited_candidates(spark, sf_dir):
     return candidates.unvisited(_candidates(spark, sf_dir), seen).select("pos", "norm_url")
 
 
-UNVISITED = f"""WITH {_CANDIDATES} SELECT pos, {_norm("url")} AS norm_url FROM cands WHERE {_norm("url")} NOT IN (SELECT {_norm("url")} FROM pages WHERE page_id % 3 = 0)"""
+UNVISITED = f"""WITH {_CANDIDATES} SELECT pos, {sql_norm("url")} AS norm_url FROM cands WHERE {sql_norm("url")} NOT IN (SELECT {sql_norm("url")} FROM pages WHERE page_id % 3 = 0)"""
 
 
 def redirected_candidates(spark, sf_dir):
@@ -262,8 +261,8 @@ def redirected_candidates(spark, sf_dir):
 
 REDIRECTED = f"""WITH {_CANDIDATES}, moved AS (
   SELECT c.* REPLACE (coalesce(f.final_url, c.url) AS url) FROM cands c LEFT JOIN (SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/moved' AS final_url FROM pages WHERE page_id % 5 = 0) f USING (url))
-SELECT min(pos) AS pos, {_norm("url")} AS url, max(score) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS evidence FROM moved GROUP BY ALL"""
-REDIRECTED = REDIRECTED.replace("GROUP BY ALL", f"GROUP BY {_norm('url')}")
+SELECT min(pos) AS pos, {sql_norm("url")} AS url, max(score) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS evidence FROM moved GROUP BY ALL"""
+REDIRECTED = REDIRECTED.replace("GROUP BY ALL", f"GROUP BY {sql_norm('url')}")
 
 
 def candidate_batches(spark, sf_dir):
@@ -287,8 +286,8 @@ DISCOVERY_STATS = f"""WITH {_CANDIDATES} SELECT string_agg(DISTINCT source, ','
 
 def new_hits(spark, sf_dir):
     """Hits on all pages that the run over two thirds of them hadn't seen."""
-    found = jobs.with_keys(matching.match_bodies(_parsed(spark, sf_dir), KEYWORDS))
-    before = jobs.with_keys(matching.match_bodies(_parsed(spark, sf_dir).filter(F.col("page_id") % 3 > 0), KEYWORDS))
+    found = checkpointed(jobs.with_keys(matching.match_bodies(_parsed(spark, sf_dir), KEYWORDS)))
+    before = found.filter(F.col("page_id") % 3 > 0)
     return jobs.new_hits(found, before).select("page_id", "keyword", "hit_key")
 
 
@@ -319,7 +318,7 @@ def archive_walk(spark, sf_dir):
     return graph.archive(start.unionByName(more.select("url", F.col("page_id").alias("pos"), "link")), "start").select("link", F.col("hub").cast("long").alias("hub"), "pos")
 
 
-ARCHIVE_WALK = rf"""WITH rows AS (SELECT page_id, {_norm("url")} AS link FROM pages), marked AS (
+ARCHIVE_WALK = rf"""WITH rows AS (SELECT page_id, {sql_norm("url")} AS link FROM pages), marked AS (
   SELECT *, contains(link, '?') AND NOT contains(regexp_extract(split_part(link, '?', 1), '[^/]*$'), '.') AS hub, regexp_matches(split_part(link, '?', 1), '\.s?html?$') AS article FROM rows
 ), hubs AS (SELECT link, page_id, row_number() OVER (ORDER BY page_id) AS hub FROM marked WHERE hub AND page_id < 40 ORDER BY page_id LIMIT 12), near AS (
   SELECT link, 0 AS hub, page_id AS pos FROM marked WHERE article AND page_id < 40
@@ -334,13 +333,24 @@ def locate_view(spark, sf_dir):
 
 LOCATE_VIEW = "SELECT url, false AS has_page_script, true AS has_base FROM pages"
 
+def result_links(spark, sf_dir):
+    """Links of pages on two hosts, as if they were result pages of the first."""
+    rows = table(spark, sf_dir, "pages").filter(F.col("page_id") % 10 == 0).withColumn("url", F.concat(F.lit("http://h.example/r"), F.col("page_id") % 2))
+    return pages.result_page_links(pages.links(pages.parsed(rows)), "http://H.example", ("/the",)).select("url", "link")
+
+
+RESULT_LINKS = rf"""WITH a AS (SELECT 'http://h.example/r' || (page_id % 2) AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages WHERE page_id % 10 = 0)
+SELECT DISTINCT url, 'http://h.example' || regexp_replace({_plain("href")}, '/+$', '') AS link FROM a WHERE href <> '/the' AND NOT regexp_matches(lower(href), '\.(pdf|zip|css|js|json|xml|jpg|png|gif)$')"""
+
 QUERIES = {
+    "result_links": result_links,
     "page_facts": page_facts, "page_visible_text": page_visible_text, "match_body": match_body, "match_segments": match_segments, "search_rank": search_rank, "search_response": search_response,
     "page_links": page_links, "link_degrees": link_degrees, "url_parts": url_parts, "url_policy": url_policy, "merge_candidates": merge_candidates, "rank_source_quota": rank_source_quota,
     "rank_dual_quota": rank_dual_quota, "recall": recall, "recall_top": recall_top, "unvisited_candidates": unvisited_candidates, "redirected_candidates": redirected_candidates,
     "candidate_batches": candidate_batches, "discovery_stats": discovery_stats, "new_hits": new_hits, "hit_state": hit_state, "top_pages": top_pages, "archive_walk": archive_walk, "locate_view": locate_view,
 }
 ORACLES = {
+    "result_links": RESULT_LINKS,
     "page_facts": PAGE_FACTS, "page_visible_text": PAGE_VISIBLE_TEXT, "match_body": MATCH_BODY, "match_segments": MATCH_SEGMENTS, "search_rank": SEARCH_RANK, "search_response": SEARCH_RESPONSE,
     "page_links": PAGE_LINKS, "link_degrees": LINK_DEGREES, "url_parts": URL_PARTS, "url_policy": URL_POLICY, "merge_candidates": MERGE_CANDIDATES, "rank_source_quota": RANK_SOURCE_QUOTA,
     "recall": RECALL, "recall_top": RECALL_TOP, "unvisited_candidates": UNVISITED, "redirected_candidates": REDIRECTED, "candidate_batches": CANDIDATE_BATCHES, "discovery_stats": DISCOVERY_STATS,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomweb.functions import dates, payloads, text, urls
 from loomweb.operators import candidates, graph, jobs, planning, prompts, retrieval
+from loomweb.plans.page_queries import sql_norm
 from loomweb.runtime import table
 
 # Notices made of each document's first words, with every field that the patterns look for.
@@ -407,7 +408,38 @@ def page_counts(spark, sf_dir):
 
 PAGE_COUNTS = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(1, event_id % 50) ELSE 1 END AS pages, 'data: {"type":"delta","text":"' || event_type || '"}' || chr(10) || chr(10) AS event FROM events"""
 
+def count_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("keyword"), F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey") * 7 % 45).alias("n"))
+    return planning.gated_requests(rows).select("keyword", F.col("page").cast("long").alias("page"))
+
+
+COUNT_GATE = """WITH c AS (SELECT n_nationkey AS pos, n_name AS keyword, n_nationkey * 7 % 45 AS n FROM nation WHERE n_nationkey % 4 > 0), e AS (SELECT pos, keyword, unnest(range(1, least(20, CAST(ceil(n / 10) AS BIGINT)) + 1)) AS page FROM c WHERE n > 0)
+SELECT keyword, page FROM e ORDER BY pos, page LIMIT 10"""
+
+
+def window_requests(spark, sf_dir):
+    words, kinds = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword")), table(spark, sf_dir, "region").select(F.col("r_name").alias("kind"))
+    first = table(spark, sf_dir, "region").orderBy("r_regionkey").limit(2).select(F.col("r_name").alias("keyword"))
+    names = [r.keyword for r in first.collect()]
+    return planning.window_requests(words.unionByName(first), kinds, {n: n for n in names})
+
+
+WINDOW_REQUESTS = """WITH f AS (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 2), w AS (SELECT n_name AS keyword FROM nation UNION ALL SELECT r_name FROM f)
+SELECT keyword, r_name AS kind, CASE WHEN keyword = r_name AND keyword IN (SELECT r_name FROM f) THEN '' ELSE keyword END AS title FROM w, region
+UNION ALL SELECT '', r_name, '' FROM region WHERE r_name NOT IN (SELECT r_name FROM f)"""
+
+
+def hub_articles(spark, sf_dir):
+    """At most three articles of each host, in page order."""
+    rows = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("url"), F.col("page_id").alias("pos"), urls.normalize(F.col("url")).alias("link"))
+    return graph.hub_quota(rows, 3).select("url", "link", "pos")
+
+
+HUB_ARTICLES = rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, {sql_norm("url")} AS link FROM pages)
+SELECT host AS url, link, page_id AS pos FROM p WHERE regexp_matches(split_part(link, '?', 1), '\.s?html?$') QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 3"""
+
 QUERIES = {
+    "count_gate": count_gate, "window_requests": window_requests, "hub_articles": hub_articles,
     "notice_titles": notice_titles, "notice_summaries": notice_summaries, "notice_dates": notice_dates, "snippets": snippets, "keyword_sets": keyword_sets, "jobs_due": jobs_due, "since_filter": since_filter,
     "list_scan": list_scan, "range_split": range_split, "token_bucket": token_bucket, "rate_cooldown": rate_cooldown, "rate_overrides": rate_overrides, "provider_budget": provider_budget, "stop_reasons": stop_reasons,
     "fetch_batches": fetch_batches, "bfs_levels": bfs_levels, "json_payloads": json_payloads, "json_counts": json_counts, "windowed_payloads": windowed_payloads, "sitemaps": sitemaps, "feeds": feeds, "adapters": adapters,
@@ -415,6 +447,7 @@ QUERIES = {
     "cache_entries": cache_entries, "page_counts": page_counts,
 }
 ORACLES = {
+    "count_gate": COUNT_GATE, "window_requests": WINDOW_REQUESTS, "hub_articles": HUB_ARTICLES,
     "notice_titles": NOTICE_TITLES, "notice_summaries": NOTICE_SUMMARIES, "notice_dates": NOTICE_DATES, "snippets": SNIPPETS, "keyword_sets": KEYWORD_SETS, "jobs_due": JOBS_DUE, "since_filter": SINCE_FILTER,
     "list_scan": LIST_SCAN, "range_split": RANGE_SPLIT, "token_bucket": TOKEN_BUCKET, "rate_cooldown": RATE_COOLDOWN, "rate_overrides": RATE_OVERRIDES, "provider_budget": PROVIDER_BUDGET, "stop_reasons": STOP_REASONS,
     "fetch_batches": FETCH_BATCHES, "bfs_levels": BFS_LEVELS, "json_payloads": JSON_PAYLOADS, "json_counts": JSON_COUNTS, "windowed_payloads": WINDOWED_PAYLOADS, "sitemaps": SITEMAPS, "feeds": FEEDS, "adapters": ADAPTERS,

@@ -28,10 +28,14 @@ class Search:
     rendered: bool
 
 
+FACTS = ("page_title", "display_title", "published_date")
+
+
 def _results(parsed: DataFrame, keywords: list[str]) -> DataFrame:
-    found = matching.page_results(matching.match_pages(parsed, keywords))
-    facts = pages.facts(parsed).select("page_id", "page_title", "display_title", "published_date", "main_text")
-    return found.join(facts, "page_id")
+    """Each page is parsed once and stored with its facts; hits and main texts are read from there."""
+    stored = checkpointed(pages.facts(parsed).select("page_id", "url", *FACTS, "main_text", F.struct("page.segments").alias("page")))
+    found = matching.page_results(matching.match_pages(stored, keywords, carry=FACTS), carry=FACTS)
+    return found.join(stored.select("page_id", "main_text"), "page_id")
 
 
 def search(snapshot: DataFrame, keywords: list[str], rendered: DataFrame | None = None, expand: Callable[[list[str]], list[str]] | None = None) -> Search:
@@ -97,12 +101,11 @@ class Run:
 def run_job(snapshot: DataFrame, keywords: list[str], previous: DataFrame | None, last_run: str | None = None) -> Run:
     """previous: hit_key, or None for the first run, which counts nothing as new.  Only pages published
     since the last run (or at an unknown date) count; the state keeps the keys of all."""
-    parsed = pages.parsed(snapshot)
-    hits = checkpointed(jobs.with_keys(matching.match_pages(parsed, keywords)))
+    dated = pages.facts(pages.parsed(snapshot))
+    hits = checkpointed(jobs.with_keys(matching.match_pages(dated, keywords, carry=("published_date",))))
     counted = hits
     if previous is not None and last_run is not None:
-        fresh = jobs.since(pages.facts(parsed).select("page_id", "published_date"), F.lit(last_run).cast("timestamp_ntz"))
-        counted = hits.join(fresh.select("page_id"), "page_id", "left_semi")
+        counted = jobs.since(hits, F.lit(last_run).cast("timestamp_ntz"))
     new = jobs.new_hits(counted, previous) if previous is not None else counted.limit(0)
     n_new = new.agg(F.count_distinct("hit_key").alias("new_hits")) if previous is not None else new.sparkSession.range(1).select(F.lit(None).cast("long").alias("new_hits"))
     summary = hits.agg(F.count("*").alias("total_hits"), F.count_distinct("page_id").alias("pages_with_hits")).crossJoin(n_new)
