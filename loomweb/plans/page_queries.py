@@ -220,7 +220,7 @@ def rank_dual_quota(spark, sf_dir):
 
 
 def recall(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).withColumn("pos", F.col("page_id")).filter(F.col("page_id") % 2 == 0)
+    rows = _parsed(spark, sf_dir).withColumn("pos", F.col("page_id"))
     found = matching.with_recall(rows, _candidates(spark, sf_dir), ["this", "page"])
     return found.select("norm_url", "url", "strength", F.col("hit_count").cast("long").alias("hit_count"), "position", "score", "published_date")
 
@@ -228,7 +228,7 @@ def recall(spark, sf_dir):
 RECALL = rf"""WITH {_PAGES}, {_CANDIDATES}, k AS (SELECT unnest(['this', 'page']) AS keyword), best AS (
   SELECT {sql_norm("url")} AS norm_url, * FROM cands QUALIFY row_number() OVER (PARTITION BY {sql_norm("url")} ORDER BY score DESC, pos) = 1
 ), strong AS (
-  SELECT {sql_norm("url")} AS norm_url, page_id, url, count(*) AS hit_count FROM parsed, k WHERE page_id % 2 = 0 AND contains(lower(main_text), keyword) GROUP BY page_id, url
+  SELECT {sql_norm("url")} AS norm_url, page_id, url, count(*) AS hit_count FROM parsed, k WHERE contains(lower(main_text), keyword) GROUP BY page_id, url
   QUALIFY row_number() OVER (PARTITION BY {sql_norm("url")} ORDER BY page_id) = 1)
 SELECT s.norm_url, s.url, 'strong' AS strength, hit_count, page_id AS position, score, nullif(published_date, '') AS published_date FROM strong s LEFT JOIN best USING (norm_url)
 UNION ALL SELECT norm_url, url, 'weak', 2, pos, score, nullif(published_date, '') FROM best WHERE norm_url NOT IN (SELECT norm_url FROM strong)"""
@@ -236,7 +236,7 @@ UNION ALL SELECT norm_url, url, 'weak', 2, pos, score, nullif(published_date, ''
 
 def recall_top(spark, sf_dir):
     """The first 20 by the six keys of recall ranking."""
-    rows = _parsed(spark, sf_dir).withColumn("pos", F.col("page_id")).filter(F.col("page_id") % 2 == 0)
+    rows = _parsed(spark, sf_dir).withColumn("pos", F.col("page_id"))
     ordered = matching.recall_order(matching.with_recall(rows, _candidates(spark, sf_dir), ["this", "page"]))
     return ordered.limit(20).select("norm_url", "strength", "score", "published_date")
 
@@ -246,21 +246,21 @@ ORDER BY strength, published_date IS NULL, published_date DESC, coalesce(score,
 
 
 def unvisited_candidates(spark, sf_dir):
-    seen = table(spark, sf_dir, "pages").filter(F.col("page_id") % 3 == 0).select(urls.normalize(F.col("url")).alias("norm_url"))
+    seen = table(spark, sf_dir, "pages").filter(F.col("url").like("https:%")).select(urls.normalize(F.col("url")).alias("norm_url"))
     return candidates.unvisited(_candidates(spark, sf_dir), seen).select("pos", "norm_url")
 
 
-UNVISITED = f"""WITH {_CANDIDATES} SELECT pos, {sql_norm("url")} AS norm_url FROM cands WHERE {sql_norm("url")} NOT IN (SELECT {sql_norm("url")} FROM pages WHERE page_id % 3 = 0)"""
+UNVISITED = f"""WITH {_CANDIDATES} SELECT pos, {sql_norm("url")} AS norm_url FROM cands WHERE {sql_norm("url")} NOT IN (SELECT {sql_norm("url")} FROM pages WHERE url LIKE 'https:%')"""
 
 
 def redirected_candidates(spark, sf_dir):
-    resolved = table(spark, sf_dir, "pages").filter(F.col("page_id") % 5 == 0).select("url", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.lit("/moved")).alias("final_url"))
+    resolved = table(spark, sf_dir, "pages").filter(F.contains("url", F.lit(".html"))).select("url", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.lit("/moved")).alias("final_url"))
     merged = candidates.resolve_redirects(_candidates(spark, sf_dir), resolved)
     return merged.select("pos", "url", "score", F.array_join("source_evidence", ",").alias("evidence"))
 
 
 REDIRECTED = f"""WITH {_CANDIDATES}, moved AS (
-  SELECT c.* REPLACE (coalesce(f.final_url, c.url) AS url) FROM cands c LEFT JOIN (SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/moved' AS final_url FROM pages WHERE page_id % 5 = 0) f USING (url))
+  SELECT c.* REPLACE (coalesce(f.final_url, c.url) AS url) FROM cands c LEFT JOIN (SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/moved' AS final_url FROM pages WHERE contains(url, '.html')) f USING (url))
 SELECT min(pos) AS pos, {sql_norm("url")} AS url, max(score) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS evidence FROM moved GROUP BY ALL"""
 REDIRECTED = REDIRECTED.replace("GROUP BY ALL", f"GROUP BY {sql_norm('url')}")
 
@@ -285,14 +285,14 @@ DISCOVERY_STATS = f"""WITH {_CANDIDATES} SELECT string_agg(DISTINCT source, ','
 
 
 def new_hits(spark, sf_dir):
-    """Hits on all pages that the run over two thirds of them hadn't seen."""
+    """Hits on all pages that a run over the plain http ones hadn't seen."""
     found = checkpointed(jobs.with_keys(matching.match_bodies(_parsed(spark, sf_dir), KEYWORDS)))
-    before = found.filter(F.col("page_id") % 3 > 0)
+    before = found.filter(F.col("url").like("http:%"))
     return jobs.new_hits(found, before).select("page_id", "keyword", "hit_key")
 
 
 _KEYED = f"keyed AS (SELECT *, sha1(url || '|text|' || snippet) AS hit_key FROM ({MATCH_BODY}))"
-NEW_HITS = f"WITH {_KEYED} SELECT page_id, keyword, hit_key FROM keyed WHERE hit_key NOT IN (SELECT hit_key FROM keyed WHERE page_id % 3 > 0)"
+NEW_HITS = f"WITH {_KEYED} SELECT page_id, keyword, hit_key FROM keyed WHERE hit_key NOT IN (SELECT hit_key FROM keyed WHERE url LIKE 'http:%')"
 
 
 def hit_state(spark, sf_dir):
@@ -313,15 +313,15 @@ TOP_PAGES = f"WITH r AS ({SEARCH_RANK}) SELECT url, page_title, hit_count FROM r
 def archive_walk(spark, sf_dir):
     """Two hops from a start page over links made of page pairs on one host."""
     rows = table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("link"))
-    start = rows.filter("page_id < 40").select(F.lit("start").alias("url"), F.col("page_id").alias("pos"), "link")
+    start = rows.filter(F.contains("link", F.lit(".example.org/"))).select(F.lit("start").alias("url"), F.col("page_id").alias("pos"), "link")
     more = rows.filter(urls.is_hub(F.col("link"))).select(F.col("link").alias("url"), F.col("page_id").alias("hub")).join(rows, F.col("page_id") % 9 == F.col("hub") % 9)
     return graph.archive(start.unionByName(more.select("url", F.col("page_id").alias("pos"), "link")), "start").select("link", F.col("hub").cast("long").alias("hub"), "pos")
 
 
 ARCHIVE_WALK = rf"""WITH rows AS (SELECT page_id, {sql_norm("url")} AS link FROM pages), marked AS (
   SELECT *, contains(link, '?') AND NOT contains(regexp_extract(split_part(link, '?', 1), '[^/]*$'), '.') AS hub, regexp_matches(split_part(link, '?', 1), '\.s?html?$') AS article FROM rows
-), hubs AS (SELECT link, page_id, row_number() OVER (ORDER BY page_id) AS hub FROM marked WHERE hub AND page_id < 40 ORDER BY page_id LIMIT 12), near AS (
-  SELECT link, 0 AS hub, page_id AS pos FROM marked WHERE article AND page_id < 40
+), hubs AS (SELECT link, page_id, row_number() OVER (ORDER BY page_id) AS hub FROM marked WHERE hub AND contains(link, '.example.org/') ORDER BY page_id LIMIT 12), near AS (
+  SELECT link, 0 AS hub, page_id AS pos FROM marked WHERE article AND contains(link, '.example.org/')
   UNION ALL SELECT m.link, h.hub, m.page_id FROM hubs h JOIN marked m ON m.page_id % 9 = h.page_id % 9 WHERE m.article)
 SELECT link, hub, pos FROM near QUALIFY row_number() OVER (PARTITION BY link ORDER BY hub, pos) = 1"""
 
@@ -335,11 +335,11 @@ LOCATE_VIEW = "SELECT url, false AS has_page_script, true AS has_base FROM pages
 
 def result_links(spark, sf_dir):
     """Links of pages on two hosts, as if they were result pages of the first."""
-    rows = table(spark, sf_dir, "pages").filter(F.col("page_id") % 10 == 0).withColumn("url", F.concat(F.lit("http://h.example/r"), F.col("page_id") % 2))
+    rows = table(spark, sf_dir, "pages").withColumn("url", F.concat(F.lit("http://h.example/r"), F.col("page_id") % 2))
     return pages.result_page_links(pages.links(pages.parsed(rows)), "http://H.example", ("/the",)).select("url", "link")
 
 
-RESULT_LINKS = rf"""WITH a AS (SELECT 'http://h.example/r' || (page_id % 2) AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages WHERE page_id % 10 = 0)
+RESULT_LINKS = rf"""WITH a AS (SELECT 'http://h.example/r' || (page_id % 2) AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
 SELECT DISTINCT url, 'http://h.example' || regexp_replace({_plain("href")}, '/+$', '') AS link FROM a WHERE href <> '/the' AND NOT regexp_matches(lower(href), '\.(pdf|zip|css|js|json|xml|jpg|png|gif)$')"""
 
 QUERIES = {

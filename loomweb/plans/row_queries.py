@@ -10,7 +10,7 @@ from loomweb.operators import candidates, graph, jobs, planning, prompts, retrie
 from loomweb.plans.page_queries import sql_norm
 from loomweb.runtime import table
 
-# Notices made of each document's first words, with every field that the patterns look for.
+# A notice for each document, named by its text's digest, with every field that the patterns look for.
 _NOTICE = (
     "CASE doc_id % 6 WHEN 0 THEN '采购项目名称：' || w || '采购设备项目。预算金额：' || n_chars || '.5万元；预计采购时间：2024年' || (doc_id % 12 + 1) || '月。采购需求：' || w || '若干设备及服务。' "
     "WHEN 1 THEN 'abc-12 ' || w || '工程施工招标公告，详见附件' WHEN 2 THEN '首页' || chr(10) || w || '通知书' || chr(10) || '咨询电话 010-12345678' || chr(10) || '关于' || w || '的中标公示' "
@@ -20,11 +20,11 @@ _NOTICE = (
 
 
 def _notices(spark, sf_dir) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.regexp_replace(F.substr("text", F.lit(1), F.lit(24)), "[^A-Za-z]+", "采").alias("w"))
+    words = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.translate(F.md5("text"), "0123456789", "ghijklmnop").alias("w"))
     return words.select("doc_id", F.expr(_NOTICE).alias("notice"))
 
 
-_NOTICES = f"""words AS (SELECT doc_id, n_chars, regexp_replace(substr(text, 1, 24), '[^A-Za-z]+', '采', 'g') AS w FROM documents), notices AS (SELECT doc_id, {_NOTICE} AS notice FROM words)"""
+_NOTICES = f"""words AS (SELECT doc_id, n_chars, translate(md5(text), '0123456789', 'ghijklmnop') AS w FROM documents), notices AS (SELECT doc_id, {_NOTICE} AS notice FROM words)"""
 
 
 def _sql_title(x: str, patterns=text.TITLE_PATTERNS) -> str:
@@ -106,15 +106,15 @@ SELECT doc_id, md5(s) AS snippet, sha1('u|text|' || s) AS hit_key FROM s"""
 
 
 def keyword_sets(spark, sf_dir):
-    words = text.keyword_list(F.substr("text", F.lit(1), F.lit(60)))
+    words = text.keyword_list(F.col("text"))
     mixed = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("教育"), F.lit("school"))).otherwise(F.array(F.lit("school")))
     expanded = F.array(F.lit("教学设备"), F.lit("医疗"), F.lit("school"), F.concat(F.lit("育"), F.element_at(words, 1)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, "|").alias("words"), F.array_join(text.keyword_union(mixed, text.on_topic(mixed, expanded)), "|").alias("kept"), F.size(F.filter(words, text.is_specific)).cast("long").alias("n_specific"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(words, "|")).alias("words"), F.array_join(text.keyword_union(mixed, text.on_topic(mixed, expanded)), "|").alias("kept"), F.size(F.filter(words, text.is_specific)).cast("long").alias("n_specific"))
     return rows
 
 
-KEYWORD_SETS = r"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(trim(substr(text, 1, 60), E' \n'), '[\s\p{Z}]+') IF x <> ''] AS words FROM documents)
-SELECT doc_id, array_to_string(words, '|') AS words, CASE WHEN doc_id % 2 = 0 THEN '教育|school|教学设备|育' || words[1] ELSE 'school|教学设备|医疗|育' || words[1] END AS kept,
+KEYWORD_SETS = r"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '[\s\x{85}\x{A0}\p{Z}]+') IF x <> ''] AS words FROM documents)
+SELECT doc_id, md5(array_to_string(words, '|')) AS words, CASE WHEN doc_id % 2 = 0 THEN '教育|school|教学设备|育' || words[1] ELSE 'school|教学设备|医疗|育' || words[1] END AS kept,
   len([x FOR x IN words IF length(x) >= 3 OR regexp_matches(x, '[一-鿿]{2,}')]) AS n_specific FROM w"""
 
 _JOBS = "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'interval' ELSE 'daily' END AS kind, lpad(CAST(event_id % 24 AS STRING), 2, '0') || ':' || lpad(CAST(event_id % 60 AS STRING), 2, '0') AS time, CAST(event_id % 200 AS INT) AS hours, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS last_run_at, event_id % 7 <> 0 AS enabled FROM events"
@@ -213,33 +213,33 @@ PROVIDER_BUDGET = "SELECT event_type AS source, least(count(*), 100) AS granted,
 
 def stop_reasons(spark, sf_dir):
     reason = F.element_at(F.array(*map(F.lit, [*candidates.STOP_REASONS, "other"])), (F.col("event_id") * 31 % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").filter(F.col("event_id") % 3 == 0).select(F.col("user_id").alias("job"), F.col("event_id").alias("pos"), reason.alias("reason"))
-    return candidates.stop_reason(rows.filter(F.col("pos") % 9 < 6))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("pos"), reason.alias("reason"))
+    return candidates.stop_reason(rows)
 
 
-STOP_REASONS = """WITH n AS (SELECT user_id AS job, event_id * 31 % 6 AS k, ['date-boundary', 'provider-page-limit', 'channel-failure', 'html-page-budget', 'time-budget', 'other'][event_id * 31 % 6 + 1] AS reason FROM events WHERE event_id % 3 = 0 AND event_id % 9 < 6)
+STOP_REASONS = """WITH n AS (SELECT user_id AS job, event_id * 31 % 6 AS k, ['date-boundary', 'provider-page-limit', 'channel-failure', 'html-page-budget', 'time-budget', 'other'][event_id * 31 % 6 + 1] AS reason FROM events)
 SELECT job, arg_max(reason, k) AS stop_reason FROM n WHERE reason <> 'other' GROUP BY job"""
 
 
 def fetch_batches(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rank"), F.concat(F.lit("u"), F.col("doc_id")).alias("url"))
-    failed = rows.filter(F.col("rank") % 4 == 0).select("url")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rank"), F.concat(F.lit("u"), F.col("doc_id")).alias("url"), "lang")
+    failed = rows.filter("lang <> 'en'").select("url")
     return planning.fetch_batches(rows, 60, 100, failed).select("batch", "url")
 
 
-FETCH_BATCHES = """WITH r AS (SELECT doc_id AS rank, 'u' || doc_id AS url FROM documents), one AS (SELECT * FROM r ORDER BY rank LIMIT 60), two AS (
-  SELECT * FROM r WHERE rank NOT IN (SELECT rank FROM one) OR (rank % 4 = 0) ORDER BY rank LIMIT 40)
+FETCH_BATCHES = """WITH r AS (SELECT doc_id AS rank, 'u' || doc_id AS url, lang FROM documents), one AS (SELECT * FROM r ORDER BY rank LIMIT 60), two AS (
+  SELECT * FROM r WHERE rank NOT IN (SELECT rank FROM one) OR lang <> 'en' ORDER BY rank LIMIT 40)
 SELECT 1::INT AS batch, url FROM one UNION ALL SELECT 2, url FROM two"""
 
 
 def bfs_levels(spark, sf_dir):
     """Parts and suppliers that a supplier reaches over order lines."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 40).select(F.concat(F.lit("p"), F.col("l_partkey")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("s")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("s")).distinct()
     edges = lines.select(F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(lines.select(F.col("s").alias("src"), F.col("p").alias("dst")))
     return graph.reach(edges, spark.createDataFrame([("s1",)], "node string"), 3).select("node", F.col("level").cast("long").alias("level"))
 
 
-BFS_LEVELS = """WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem WHERE l_quantity > 40), e AS (SELECT p AS src, s AS dst FROM l UNION ALL SELECT s, p FROM l), r AS (
+BFS_LEVELS = """WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), e AS (SELECT p AS src, s AS dst FROM l UNION ALL SELECT s, p FROM l), r AS (
   SELECT 's1' AS node, CAST(0 AS BIGINT) AS level UNION SELECT dst, level + 1 FROM r JOIN e ON node = src WHERE level < 3)
 SELECT node, min(level) AS level FROM r GROUP BY node"""
 
@@ -296,13 +296,13 @@ SITEMAPS = r"SELECT DISTINCT h AS host, regexp_replace(u, '/+$', '') AS url FROM
 
 
 def feeds(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(~F.contains("url", F.lit("&"))).select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", "^[^?#]*", 0).alias("u"), "page_id")
+    pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", "^[^?#]*", 0).alias("u"), "page_id")
     item = F.concat(F.lit("<item><title> No. \n"), F.col("page_id"), F.lit("</title><link>"), "u", F.lit("</link></item>"))
     xml = F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
     return pages.groupBy("host").agg(xml.alias("xml")).select("host", F.inline(payloads.feed_items(F.col("xml"))))
 
 
-FEEDS = r"SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS url, 'No. ' || page_id AS title FROM pages WHERE NOT contains(url, '&')"
+FEEDS = r"SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS url, 'No. ' || page_id AS title FROM pages"
 
 
 def adapters(spark, sf_dir):
@@ -331,7 +331,7 @@ SELECT d AS date, CASE WHEN {_sql_title("summary", text.ENTRY_TITLE_PATTERNS)} <
 
 def summary_prompt(spark, sf_dir):
     """One prompt from the documents' beginnings, the longest source first, within 30000 characters."""
-    block = prompts.summary_block(F.concat(F.lit("T"), F.col("doc_id")), F.concat(F.lit("u"), F.col("doc_id")), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")), F.array(F.substr("text", F.lit(1), F.lit(400)), F.lit("x")))
+    block = prompts.summary_block(F.concat(F.lit("T"), F.col("doc_id")), F.concat(F.lit("u"), F.col("doc_id")), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")), F.array("text", F.lit("x")))
     rows = table(spark, sf_dir, "documents").select("doc_id", block.alias("block"))
     kept = prompts.within_budget(rows, ["doc_id"], least=14)
     made = prompts.prompt(kept, ["doc_id"], "搜索关键词：a、b\n\n")
@@ -345,7 +345,7 @@ SELECT count(*) AS n_blocks, md5('搜索关键词：a、b' || chr(10) || chr(10)
 
 def model_answers(spark, sf_dir):
     """Conversation texts as if a model had written them into the asked form."""
-    t = F.regexp_replace(F.substr("text", F.lit(1), F.lit(40)), r"[\[\]\"\\《》\n]", " ")
+    t = F.regexp_replace("text", r"[\[\]\"\\《》\n]", " ")
     answer = F.concat(F.lit("x【概述】 "), t, F.lit("\n【条目】\n[2024-01-02]《"), t, F.lit("》\nfirst\nsecond\nhttp://h/"), "conv_id", F.lit("\n\n《B》\nsee http://h/b now\n\nbad block"))
     listed = F.concat(F.lit('keys: ["'), t, F.lit('", " b ", "", "c"] end'))
     entry = prompts.answer_entries(answer)
@@ -353,7 +353,7 @@ def model_answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.overview(answer).alias("overview"), F.size(entry).cast("long").alias("n"), F.array_join(F.transform(entry, lambda e: F.concat_ws("|", e["date"], e["title"], e["summary"], e["link"])), ";").alias("entries"), F.array_join(prompts.expansion(listed), "|").alias("words"), prompts.stream_delta(line).alias("delta"))
 
 
-MODEL_ANSWERS = r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 40), '[\[\]"\\《》\n]', ' ', 'g')) AS t FROM conversations)
+MODEL_ANSWERS = r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '[\[\]"\\《》\n]', ' ', 'g')) AS t FROM conversations)
 SELECT conv_id, turn, t AS overview, CASE WHEN t = '' THEN 1 ELSE 2 END AS n, CASE WHEN t = '' THEN '' ELSE '2024-01-02|' || t || '|first second|http://h/' || conv_id || ';' END || '|B||http://h/b' AS entries,
   CASE WHEN t = '' THEN '' ELSE t || '|' END || 'b|c' AS words, nullif(t, '') AS delta FROM t"""
 
@@ -385,12 +385,12 @@ UPSERTED = "SELECT sha1('http://h/' || user_id) AS id, 'http://h/' || user_id AS
 
 def job_table(spark, sf_dir):
     """A job table after an upsert of some rows and a removal of others."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    changed = rows.filter(F.col("id") % 10 == 0).select("id", F.concat(F.lit("new "), "name").alias("name"))
-    return jobs.removed(jobs.upsert(rows, changed), rows.filter(F.col("id") % 7 == 0))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("balance"))
+    changed = rows.filter("kind = 'BUILDING'").withColumn("name", F.concat(F.lit("new "), "name"))
+    return jobs.removed(jobs.upsert(rows, changed), rows.filter("balance < 0")).select("id", "name")
 
 
-JOB_TABLE = "SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'new ' ELSE '' END || c_name AS name FROM customer WHERE c_custkey % 7 <> 0"
+JOB_TABLE = "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' ELSE '' END || c_name AS name FROM customer WHERE c_acctbal >= 0"
 
 
 def cache_entries(spark, sf_dir):
@@ -419,12 +419,12 @@ SELECT keyword, page FROM e ORDER BY pos, page LIMIT 10"""
 
 def window_requests(spark, sf_dir):
     words, kinds = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword")), table(spark, sf_dir, "region").select(F.col("r_name").alias("kind"))
-    first = table(spark, sf_dir, "region").orderBy("r_regionkey").limit(2).select(F.col("r_name").alias("keyword"))
+    first = table(spark, sf_dir, "region").filter(F.col("r_name").like("A%")).select(F.col("r_name").alias("keyword"))
     names = [r.keyword for r in first.collect()]
     return planning.window_requests(words.unionByName(first), kinds, {n: n for n in names})
 
 
-WINDOW_REQUESTS = """WITH f AS (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 2), w AS (SELECT n_name AS keyword FROM nation UNION ALL SELECT r_name FROM f)
+WINDOW_REQUESTS = """WITH f AS (SELECT r_name FROM region WHERE r_name LIKE 'A%'), w AS (SELECT n_name AS keyword FROM nation UNION ALL SELECT r_name FROM f)
 SELECT keyword, r_name AS kind, CASE WHEN keyword = r_name AND keyword IN (SELECT r_name FROM f) THEN '' ELSE keyword END AS title FROM w, region
 UNION ALL SELECT '', r_name, '' FROM region WHERE r_name NOT IN (SELECT r_name FROM f)"""
 
