@@ -31,9 +31,10 @@ from loomweb.llm.shared import table, written
 
 MAX_LABELLED, MAX_POOL = 12_000, 8_000
 ROUNDS, CONFIDENT = 2, 0.97
-FEATURES, STATISTICS = 1 << 14, 1 << 10
-ITERATIONS, PENALTY = 25, 2e-5
+FEATURES, STATISTICS = 1 << 12, 1 << 9
+ITERATIONS, PENALTY, TOLERANCE = 10, 2e-5, 1e-4
 CALIBRATION_SHARE = 5
+SAMPLE_PARTITIONS = 4  # for bounded rows that are summed up once an iteration: no shuffle
 KEPT = 0.5
 VIEWS = ("content", "metadata")
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -102,7 +103,7 @@ class Model:
 
 
 def _fit(rows: DataFrame, features: str, iterations: int = ITERATIONS, penalty: float = PENALTY) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=iterations, regParam=penalty, standardization=False).fit(rows)
+    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=iterations, regParam=penalty, tol=TOLERANCE, standardization=False).fit(rows.coalesce(SAMPLE_PARTITIONS))
 
 
 def _log_odds(model: LogisticRegressionModel, rows: DataFrame, features: str, out: str) -> DataFrame:
