@@ -123,3 +123,12 @@ def test_search_and_jobs(spark):
     assert made.overview == "ok" and made.entries[0].link == "http://h/1"
     assert search.ask(found.results, ["a"], "why?").first().content.endswith("问题：why?")
     assert search.response(found).count() == 2 and search.entries(found.results).count() >= 1
+
+
+def test_discovery_and_recall(spark):
+    snapshot = spark.createDataFrame([(1, "http://h.com/a", "<body><article>one word</article></body>")], "page_id long, url string, html string")
+    rows = [(0, "http://h.com/a#x", "s", 9, None, "t"), (1, "http://h.com/b", "s", 3, "2024-01-01", "a word"), (2, "http://h.com/c", "s", 7, None, "none"), (3, "http://other.org/d", "s", 8, None, "word"), (4, "http://h.com/login/e", "s", 8, None, "word")]
+    found = spark.createDataFrame(rows, "pos long, url string, source string, score int, published_date string, title_hint string").withColumn("source_evidence", F.array().cast("array<string>"))
+    assert [r.norm_url for r in search.discover(found, snapshot, "h.com", allowed=["h.com"]).collect()] == ["http://h.com/c", "http://h.com/b"]
+    ranked = search.search_with_recall(snapshot, found, ["word"]).collect()
+    assert [(r.norm_url, r.strength) for r in ranked] == [("http://h.com/a", "strong"), ("http://h.com/b", "weak"), ("http://h.com/login/e", "weak"), ("http://other.org/d", "weak")]
