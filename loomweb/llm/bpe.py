@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from loomweb.llm.shared import table
 
 LEAF_BYTES, LONG_BYTES = 48, 256
-CACHED = 1 << 18
+CACHED = 1 << 17
 CACHED_CHARS = 64
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -50,7 +50,10 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> list[int] | None:
-        ids = None if not word or self.encoder.space.match(word) else self.encoder.pieces(" " + word)
+        ids = None
+        if word and not self.encoder.space.match(word):
+            found = self.encoder.pattern.findall(" " + word)
+            ids = self.encoder.piece(found[0]) if len(found) == 1 else [i for p in found for i in self.encoder.piece(p)]  # one list for both caches
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED:
                 self.clear()

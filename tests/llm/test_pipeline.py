@@ -4,6 +4,7 @@ import hashlib
 
 import corpus_pipeline
 from loomweb.llm import decontaminate, pii, quality, simhash
+from loomweb.llm.shared import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def test_stages_take_effect(spark):
     columns, at, kept = docs.columns, docs, {}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near duplicates", "decontamination", "personal data", "tokens"]
     for name, stage in corpus_pipeline.STAGES:
-        at = corpus_pipeline.written(stage(spark, at, SF), "test-" + name.replace(" ", "-"))
+        at = written(stage(spark, at, SF), "test-" + name.replace(" ", "-"))
         kept[name] = {r.doc_id: r for r in at.collect()}
         if name != "tokens":
             assert at.columns == columns
@@ -33,3 +34,4 @@ def test_stages_take_effect(spark):
         text = kept["personal data"][i].text
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_tokens == len(r.ids)
     assert quality.KEPT == 0.5
+    assert {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()} == {(i, r.ids_sha256) for i, r in kept["tokens"].items()}
