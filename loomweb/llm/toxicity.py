@@ -1,19 +1,22 @@
 """Operator 10, toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words, prefixes of words (insults are often compounds) and a mark for each term that is
-repeated.  Terms that the labels call toxic (a chi-square test) make the vocabulary; a text is its
-TF-IDF vector over that vocabulary.  Equal vectors of labelled examples are one entry with counts.
+repeated.  The vocabulary has every term that is more toxic than not by its smoothed share of toxic
+texts, however rare, whatever the number of texts; a text is its TF-IDF vector over it.  A term's weight
+grows with the evidence that it goes with the label (its log-likelihood ratio), so chance words of a few
+toxic texts count little beside insults.  Equal vectors of labelled examples are one entry with counts.
 
 The index cuts the entries into blocks.  Each term keeps its largest weight in each block, so a
 block's bound is a short sum; blocks are scored in the order of their bounds until the bound falls
 below the cosine of the last neighbour asked for.  All entries as near as that one count, so ties
-need no choice.  Their votes, weighted by distance, become probabilities by isotonic regression on
+need no choice.  Where fewer examples share a term, the missing neighbours have cosine 0 and the whole
+sample's share.  The votes, weighted by distance, become probabilities by isotonic regression on
 votes that leave out each example itself.  A text without any term gets the share of toxic texts
-among the examples without any.
+among the examples without any.  Examples of exactly the same text count as neighbours at distance 0.
 
 Bounds: the labelled rows that it learns from are a sample of at most MAX_EXAMPLES, those of the
-least hash, and the vocabulary has at most MAX_TERMS terms, so what is broadcast is bounded whatever
-the corpus.  Each text is scored in one pass without a shuffle.
+least hash, and the vocabulary has terms of their toxic texts only, so what is broadcast doesn't grow
+with the corpus.  Each text is scored in one pass without a shuffle.
 
 Defined results: null or empty text: the score of a text without terms; texts are read whole;
 repeated or null doc_ids: scored row by row (null: not held out); a document labelled twice: toxic if
@@ -22,11 +25,12 @@ either says so; no labels: score 0; no rows: no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 
 from loomweb.llm.shared import table, written
 
-MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048
-MIN_DF, MIN_CHI2 = 5, 40.0
+MAX_EXAMPLES = 20_000
+LEAST_SHARE, EVIDENCE_POWER = 0.5, 3
 NEIGHBOURS, BLOCK, SOFTEN = 25, 64, 0.05
 THRESHOLD = 0.7
 PREFIXES = (5, 6, 7, 8)
@@ -94,7 +98,7 @@ class Vectors:
 
 @dataclass
 class Entries:
-    """Distinct vectors of the examples with their counts; idf by term."""
+    """Distinct vectors of the examples with their counts; idf (times evidence) by term; the share of toxic examples."""
 
     terms: list[str]
     idf: np.ndarray
@@ -102,6 +106,10 @@ class Entries:
     n: np.ndarray
     toxic: np.ndarray
     example: list[int]
+    share: float | None = None
+
+    def prior(self) -> float:
+        return self.toxic.sum() / max(1, self.n.sum()) if self.share is None else self.share
 
     def weights(self, vector) -> tuple[np.ndarray, np.ndarray]:
         """Terms and L2-normalised TF-IDF weights of a vector that isn't empty."""
@@ -117,12 +125,12 @@ class BlockMaxIndex:
         rows = [(t, e, w) for e, v in enumerate(entries.vectors) for t, w in zip(*entries.weights(v), strict=True)]
         rows.sort(key=lambda r: r[:2])
         term, self.entry, self.weight = (np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        cell = term * self.blocks + self.entry // block
-        cells = len(entries.terms) * self.blocks
-        self.start = np.searchsorted(cell, np.arange(cells + 1))
-        most = np.zeros(cells)
-        np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(-1, self.blocks)
+        # Only cells (term, block) that have an entry: rare terms have few.
+        cell, first = np.unique(term * self.blocks + self.entry // block, return_index=True)
+        self.cells = np.searchsorted(cell, np.arange(len(entries.terms) + 1) * self.blocks)
+        self.start = np.append(first, len(rows))
+        self.at = cell % self.blocks
+        self.most = np.maximum.reduceat(self.weight, first) if rows else self.weight
         self.scored = 0
 
     def nearest(self, vector, k: int = NEIGHBOURS, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +139,12 @@ class BlockMaxIndex:
         own: an entry that counts one example less (the one that asks).
         """
         terms, q = self.entries.weights(vector)
-        bound = q @ self.most[terms]
+        bound, parts = np.zeros(self.blocks), defaultdict(list)
+        for t, w in zip(terms, q, strict=True):
+            cells = slice(self.cells[t], self.cells[t + 1])
+            bound[self.at[cells]] += w * self.most[cells]
+            for c in range(cells.start, cells.stop):
+                parts[self.at[c]].append((w, slice(self.start[c], self.start[c + 1])))
         order = np.argsort(-bound, kind="stable")
         ids, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for step in range(0, len(order), 4):
@@ -140,8 +153,7 @@ class BlockMaxIndex:
                 break
             for b in part:
                 score = np.zeros(self.block)
-                for t, w in zip(terms, q, strict=True):
-                    at = slice(self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1])
+                for w, at in parts[b]:
                     score[self.entry[at] - b * self.block] += w * self.weight[at]
                 hit = np.flatnonzero(score > 0)
                 ids, cosines = np.append(ids, hit + b * self.block), np.append(cosines, score[hit])
@@ -157,14 +169,14 @@ class BlockMaxIndex:
         return ids, np.minimum(cosines, 1.0)
 
     def vote(self, vector, own: int | None = None, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of toxic votes by 1 / (distance + SOFTEN), with one vote of the whole sample's share."""
+        """The share of toxic votes by 1 / (distance + SOFTEN), with one vote of the whole sample's share and missing neighbours at distance 1."""
         ids, cosines = self.nearest(vector, own=own)
         n, toxic = self.entries.n[ids].astype(float), self.entries.toxic[ids].astype(float)
         if own is not None:
             n, toxic = n - (ids == own), toxic - (ids == own) * own_toxic
         w = 1 / (1 - cosines + SOFTEN)
-        prior = self.entries.toxic.sum() / max(1, self.entries.n.sum())
-        return float((w @ toxic + prior) / (w @ n + 1)), ids, cosines
+        others = 1 + max(0.0, NEIGHBOURS - n.sum()) / (1 + SOFTEN)
+        return float((w @ toxic + others * self.entries.prior()) / (w @ n + others)), ids, cosines
 
 
 def isotonic(votes: np.ndarray, share: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +197,11 @@ class Model:
     entries: Entries
     empty_score: float
     knots: tuple[np.ndarray, np.ndarray]
+    texts: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)  # digest of an example's text: n, toxic, example
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 class Scorer:
@@ -194,6 +211,15 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, str]:
         """Score, and evidence: the three nearest examples as doc_id:cosine:share of toxic ones."""
+        score, near = self.by_terms(text)
+        if text and (equal := self.model.texts.get(digest(text))):
+            n, toxic, example = equal
+            score = (toxic / SOFTEN + score) / (n / SOFTEN + 1)
+            others = [e for e in near.split(",") if e and not e.startswith(f"{example}:")]
+            near = ",".join([f"{example}:1.0000:{toxic / n:.2f}", *others][:3])
+        return score, near
+
+    def by_terms(self, text: str | None) -> tuple[float, str]:
         vector = self.vectors.of(text)
         if not vector:
             return self.model.empty_score, ""
@@ -237,19 +263,16 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("toxic_df").alias("toxic_df"))
 
 
-def choose_terms(counts: DataFrame, n: int, n_toxic: int) -> list[tuple[str, int]]:
-    """The terms that most surely go with the label; a prefix no wider than what it begins goes."""
-    a, df = F.col("toxic_df").cast("double"), F.col("df").cast("double")
-    spread = df * (n - df) * F.lit(float(n_toxic)) * F.lit(float(n - n_toxic))
-    chi2 = F.when(spread > 0, n * F.pow(a * n - df * n_toxic, 2) / spread).otherwise(0.0)
-    rows = (
-        counts.filter((F.col("df") >= MIN_DF) & (a * n > df * n_toxic))
-        .select("term", "df", chi2.alias("chi2"))
-        .filter(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "term")
-        .limit(MAX_TERMS)
-        .collect()
-    )
+def evidence(toxic_df: int, df: int, share: float) -> float:
+    """The log-likelihood ratio of a term's toxic texts against the whole sample's share."""
+    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+    return 2 * (part(toxic_df, df * share) + part(df - toxic_df, df * (1 - share)))
+
+
+def choose_terms(counts: DataFrame, n: int, n_toxic: int) -> list[tuple[str, float]]:
+    """All terms that are more toxic than not, with their weights; a prefix no wider than what it begins goes."""
+    a, df = F.col("toxic_df"), F.col("df")
+    rows = counts.filter(((a + n_toxic / n) / (df + 1) >= LEAST_SHARE) & (a * n > df * n_toxic)).collect()
     by_prefix: dict[tuple[str, str], int] = {}
     for r in rows:
         stem, _, mark = r["term"].partition(" ")
@@ -259,7 +282,8 @@ def choose_terms(counts: DataFrame, n: int, n_toxic: int) -> list[tuple[str, int
                 key = plain[:k], mark
                 by_prefix[key] = max(by_prefix.get(key, 0), r["df"])
     wider = lambda r: not (s := r["term"].partition(" "))[0].endswith("*") or by_prefix.get((s[0].rstrip("*"), s[2]), 0) < r["df"]
-    return sorted((r["term"], r["df"]) for r in rows if wider(r))
+    weight = lambda r: evidence(r["toxic_df"], r["df"], n_toxic / n) ** EVIDENCE_POWER * math.log(1 + n / r["df"])
+    return sorted((r["term"], weight(r)) for r in rows if wider(r))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
@@ -268,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model
     texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     chosen = choose_terms(term_counts(sample), texts["n"], texts["toxic"]) if 0 < texts["toxic"] < texts["n"] else []
     terms = [t for t, _ in chosen]
-    idf = np.log(1 + texts["n"] / np.array([df for _, df in chosen], float)) if chosen else np.zeros(0)
+    idf = np.array([weight for _, weight in chosen], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(terms)
@@ -282,8 +306,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model
     empty = (bare["toxic"] + total["toxic"] / total["n"]) / (bare["n"] + 1) if bare else total["toxic"] / max(1, total["n"])
     rows = [r for r in rows if r["key"]]
     vectors = [tuple(tuple(map(int, p.split(":"))) for p in r["key"].split(",")) for r in rows]
-    entries = Entries(terms, idf, vectors, np.array([r["n"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), [r["example"] for r in rows])
-    return Model(entries, float(empty), calibrated(docs.sparkSession, entries))
+    entries = Entries(terms, idf, vectors, np.array([r["n"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), [r["example"] for r in rows], total["toxic"] / max(1, total["n"]))
+    return Model(entries, float(empty), calibrated(docs.sparkSession, entries), equal_texts(sample))
+
+
+def equal_texts(sample: DataFrame) -> dict[bytes, tuple[int, int, int]]:
+    """Digests of the examples' texts with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [digest(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.binary())], names=["doc_id", "toxic", "key"])
+
+    rows = sample.filter("text <> ''").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"), "text")
+    found = rows.mapInArrow(run, "doc_id long, toxic long, key binary").groupBy("key").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("example"))
+    return {bytes(r["key"]): (r["n"], r["toxic"], r["example"]) for r in found.collect()}
 
 
 def calibrated(spark: SparkSession, entries: Entries) -> tuple[np.ndarray, np.ndarray]:

@@ -91,6 +91,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(frame.limit(0), model).count() == 0
 
 
+def test_toxicity_of_few_labels_and_rare_terms(spark):
+    docs, labels = toxic_corpus()
+    free = [i for i, _, _ in docs if not toxicity_held(i)]
+    few, insulted = free[:60], free[:4]
+    texts = {i: t for i, t, _ in docs}
+    clean = [texts[i] for i, bad in labels if not bad]
+    rows = [(i, clean[i] + (f" {word}" if i in insulted else "")) for i, word in zip(few, ["wretch", "wretch", "knave", "knave", *[""] * 56], strict=True)]
+    rows += [(7001, clean[500] + " wretch"), (7002, clean[501] + " knave"), (7003, clean[502]), (7004, rows[0][1]), (7005, rows[10][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(frame, spark.createDataFrame([(i, int(i in insulted)) for i in few], "doc_id long, toxic int"))
+    assert {"wretch", "knave"} <= set(model.entries.terms)  # two texts each
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(frame, model).collect()}
+    assert min(score[7001], score[7002]) > 3 * score[7003]
+    assert score[7004] == score[insulted[0]] >= toxicity.THRESHOLD and score[7005] < 0.1
+
+
 def toxicity_held(doc_id):
     import zlib
 
