@@ -1,7 +1,9 @@
 """Operator 7, URL filters by association rules, in DataFrame functions only.
 
 FP-growth mines token combinations of labelled URLs; a combination whose rows are labelled bad
-with at least the asked confidence and support is a blocking rule.  Rules are found by an
+with at least the asked confidence and support is a blocking rule, however many tokens it has; of those
+with more than MAX_TOKENS only the ones that contain no other rule are kept (the others change no
+verdict and aren't counted in n_rules).  Rules are found by an
 inverted index: each rule is listed under its rarest token, distinct token sets are joined to
 these lists, and the listed rules are checked for their other tokens.
 
@@ -15,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomweb.llm.shared import table
+from loomweb.llm.shared import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (host, path, verdict).
@@ -64,14 +66,16 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, max_tokens=MAX_TOKENS) -> DataFrame:
-    """labelled: tokens, bad.  Rules: tokens, confidence, support, index_token (the rarest)."""
+    """labelled: tokens, bad.  Rules: tokens, confidence, support, index_token (the rarest).
+
+    max_tokens: the most tokens of a rule; None: no bound, but longer ones than MAX_TOKENS that contain a rule are left out.
+    """
     items = labelled.select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
     )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(
-        (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens)
-    ).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
+    allowed = F.lit(True) if max_tokens is None else F.size("antecedent") <= max_tokens
+    rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & allowed).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     rarest = (
         rules.select("rule_tokens", F.explode("rule_tokens").alias("token"))
@@ -79,7 +83,21 @@ def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_
         .groupBy("rule_tokens")
         .agg(F.min(F.struct("freq", "token"))["token"].alias("index_token"))
     )
-    return rules.join(rarest, "rule_tokens")
+    rules = rules.join(rarest, "rule_tokens")
+    return minimal(written(rules, "url-rules")) if max_tokens is None else rules
+
+
+def minimal(rules: DataFrame, short: int = MAX_TOKENS) -> DataFrame:
+    """Without the rules of more than short tokens that contain another rule."""
+    columns = rules.columns
+    few, many = rules.filter(F.size("rule_tokens") <= short), rules.filter(F.size("rule_tokens") > short)
+    for inner in (few, many):
+        smaller = inner.select(F.col("rule_tokens").alias("inner_tokens"), F.col("index_token").alias("token"))
+        listed = many.select("rule_tokens", F.explode("rule_tokens").alias("token"))
+        within = (F.size("inner_tokens") < F.size("rule_tokens")) & (F.size(F.array_except("inner_tokens", "rule_tokens")) == 0)
+        covered = listed.join(smaller, (listed["token"] == smaller["token"]) & within, "left_semi").select("rule_tokens").distinct()
+        many = many.join(covered, "rule_tokens", "left_anti").select(columns)
+    return few.unionByName(many)
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,7 +122,7 @@ def given_rule(host: Column, path: Column, rules=RULES) -> Column:
 def filter_urls(pages: DataFrame, labelled: DataFrame, given=RULES) -> DataFrame:
     """pages: page_id, url; labelled: url, bad.  page_id, url, host, path, rule, verdict, confidence, n_rules."""
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path"))
-    rules = mine_rules(with_host_path(labelled.select("url", "bad")).select(tokens.alias("tokens"), "bad"))
+    rules = mine_rules(with_host_path(labelled.select("url", "bad")).select(tokens.alias("tokens"), "bad"), max_tokens=None)
     judged = with_host_path(pages.select("page_id", "url")).withColumn("tokens", tokens)
     judged = judged.withColumn("key", F.array_join("tokens", "\n"))
     sets = judged.groupBy("key").agg(F.first("tokens").alias("tokens"))

@@ -41,3 +41,35 @@ def test_defined_rows(spark):
     assert [by[r][2:] for r in rows[4:8]] == [("example.org/es/", "block"), ("org/", "allow"), ("com/de/", "block"), ("com/fr/", "allow")]
     assert by[7, "a://b://c"][:2] == ("b:", "//c")
     assert url_rules.filter_urls(pages.limit(0), spark.createDataFrame([], "url string, bad boolean")).count() == 0
+
+
+def test_longer_rules_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        items = sorted(t for t in "abcdefg" if rng.random() < 0.6)
+        bad = ({"a", "b", "c", "d"} <= set(items) and rng.random() < 0.95) or ("g" in items and "f" in items and rng.random() < 0.9)
+        rows.append((items, bad))
+    seen, bads = {}, {}
+    for items, b in rows:
+        for n in range(1, len(items) + 1):
+            for c in combinations(items, n):
+                seen[c] = seen.get(c, 0) + 1
+                bads[c] = bads.get(c, 0) + b
+    good = {c for c in seen if bads[c] >= 0.02 * len(rows) and bads[c] >= 0.9 * seen[c]}
+    want = {c for c in good if len(c) <= 3 or not any(set(d) < set(c) for d in good)}
+    found = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.9, None)
+    assert {tuple(r.rule_tokens) for r in found.collect()} == want and ("a", "b", "c", "d") in want and len(want) < len(good)
+    got = {r.key: r.n_rules for r in url_rules.match_rules(spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(rows)], "key string, tokens array<string>"), found).collect()}
+    for i, (items, _) in enumerate(rows):
+        assert (str(i) in got) == any(set(c) <= set(items) for c in good)
+
+
+def test_a_rule_of_four_tokens_blocks(spark):
+    rows = []
+    for i in range(320):
+        host, net, path, query = (pair[i >> k & 1] for k, pair in enumerate((("win", "news"), ("biz", "net"), ("casino", "blog"), ("ref", "page"))))
+        rows.append((i, f"http://{host}.{net}/{path}?{query}=1", (host, net, path, query) == ("win", "biz", "casino", "ref")))
+    frame = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(frame, frame).collect()}
+    assert all((got[i] == "block") == bad for i, _, bad in rows)
