@@ -31,8 +31,8 @@ from loomweb.llm.shared import table, written
 
 MAX_LABELLED, MAX_POOL = 12_000, 8_000
 ROUNDS, CONFIDENT = 2, 0.97
-FEATURES, STATISTICS = 1 << 12, 1 << 9
-ITERATIONS, PENALTY, TOLERANCE = 10, 2e-5, 1e-4
+FEATURES, STATISTICS = 1 << 14, 1 << 10
+ITERATIONS, PENALTY, TOLERANCE = 25, 2e-5, 1e-6
 CALIBRATION_SHARE = 5
 SAMPLE_PARTITIONS = 4  # for bounded rows that are summed up once an iteration: no shuffle
 KEPT = 0.5

@@ -135,6 +135,15 @@ def test_quality_on_labelled_rows(spark):
     assert len(scored) == 3 and all(0 <= r.p <= 1 for r in scored) and {r.score for r in scored} == {"a", "b", "c"}
 
 
+def test_quality_keeps_words_apart_and_fits_fully(spark):
+    words = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(2000)))], "doc_id long, text string")
+    content = quality.with_views(words).first()["content"]
+    assert len(content.indices) > 1800  # of 2,000 words; hashed to 4,096 places, some 1,580 are left
+    rows = quality.with_views(spark.createDataFrame([(i, f"word{i % 7} word{i % 3}") for i in range(40)], "doc_id long, text string"))
+    model = quality._fit(rows.select((F.col("row.doc_id") % 2).cast("double").alias("label"), "content"), "content")
+    assert model.getMaxIter() >= 25 and model.getTol() <= 1e-6
+
+
 def test_quality_without_two_kinds_of_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
