@@ -1,14 +1,16 @@
 """Operator 8, byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is cut into pieces by the vocabulary's pattern, and each piece is encoded apart.  A piece
-longer than a leaf is halved recursively.  Two encoded neighbours are joined by re-encoding a
-window around their border that grows until the window's first and last tokens are those that
-stood there before.  That proves the join: a token sequence is the BPE encoding of its bytes
-exactly if each two tokens next to each other are, and each such pair now lies within one of three
-encodings (left, window, right).  Decoding concatenates the tokens' bytes.
-
-Each task keeps a bounded cache of encoded words; a space before a character that is no white
-space always starts a piece, hence words can be cached with that space.
+A text is halved recursively down to leaves of LEAF_CHARS characters, which the vocabulary's pattern
+cuts into pieces; two neighbours are joined by cutting a window around their border anew, which grows
+until the pieces at its ends are those that stood there before.  The pieces' bytes are reduced in the
+same way, all pieces of some texts together, one level of the tree after the other: leaves of
+LEAF_BYTES bytes are merged, and two encoded neighbours are joined by encoding a window around their
+border anew, which grows on each side until its outermost token is the one that stood there before.
+That proves the join: a token sequence is the BPE encoding of its bytes exactly if each two tokens
+next to each other are, and each such pair now lies within one of three encodings (left, window,
+right).  Decoding concatenates the tokens' bytes up a tree.
+
+Each task keeps a bounded number of encoded words, of which the frequent ones stay.
 
 Defined results: null or empty text: no tokens; texts are read whole, whatever their length;
 repeated rows: handled row by row; extra columns stay, except for the names that are added.
@@ -18,11 +20,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +34,11 @@ from pyspark.sql import types as T
 
 from loomweb.llm.shared import table
 
-LEAF_BYTES, LONG_BYTES = 48, 256
-CACHED = 1 << 17
-CACHED_CHARS = 64
-TOKENS_AT_ONCE = 1_000_000
+LEAF_BYTES, LONG_BYTES = 8, 256
+LEAF_CHARS, LEAF_TOKENS = 1024, 1024
+CACHED, CACHED_CHARS = 1 << 17, 64
+LOOKAHEAD = 2
+CHARS_AT_ONCE = 2_000_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -42,60 +47,55 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-class _Words(dict):
-    """Encodings of " " + word; None for a word that doesn't start a piece."""
+def cut(n: int) -> int:
+    """Where a range of n > 1 is halved: the largest power of two below n."""
+    return 1 << (n - 1).bit_length() - 1
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
 
-    def __missing__(self, word: str) -> list[int] | None:
-        ids = None
-        if word and not self.encoder.space.match(word):
-            found = self.encoder.pattern.findall(" " + word)
-            ids = self.encoder.piece(found[0]) if len(found) == 1 else [i for p in found for i in self.encoder.piece(p)]  # one list for both caches
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
-class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self.pattern, self.space = regex.compile(pattern), regex.compile(r"\s")
-        self.words, self.known = _Words(self), {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Merges the pair of lowest rank, the leftmost first, until no pair is a token."""
-        if len(piece) > LONG_BYTES:
-            return self.merge_long(piece)
-        rank = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        far = len(self.ranks)
-        costs = [rank(a + b, far) for a, b in zip(parts, parts[1:], strict=False)]
-        while costs and (least := min(costs)) < far:
-            i = costs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
-            if i:
-                costs[i - 1] = rank(parts[i - 1] + parts[i], far)
-            if i < len(costs):
-                costs[i] = rank(parts[i] + parts[i + 1], far)
-        return [self.ranks[p] for p in parts]
-
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and linked parts, for windows that grow long (a run of one letter, say)."""
-        rank, n = self.ranks.get, len(piece)
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+class Tokens:
+    """Reduces byte strings to tokens, level by level for all of them at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values(), default=0) + 1
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        by_id = sorted((i, t) for t, i in ranks.items())
+        self.length = np.zeros(self.size, np.int64)
+        self.length[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
+        self.blob, self.start = np.frombuffer(b"".join(t for _, t in by_id), np.uint8), starts_of(self.length)
+        pairs = {ranks[t[:k]] * self.size + ranks[t[k:]]: i for i, t in by_id for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merges = np.array([pairs[k] for k in self.keys.tolist()] or [0], np.int64)
+        self.joins = self.grown = 0
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that each pair merges to; self.size where there is none."""
+        if not len(self.keys):
+            return np.full(len(a), self.size)
+        keys = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.merges[at], self.size)
+
+    def merge_long(self, data: bytes) -> list[int]:
+        """merged() for one long run, with a heap and linked parts."""
+        rank, n = self.ranks.get, len(data)
         end = [*range(1, n + 1)]
         before = [*range(-1, n - 1)]
         alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
         heapify(heap)
 
         def offer(i: int) -> None:
-            if i >= 0 and end[i] < n and (r := rank(piece[i : end[end[i]]])) is not None:
+            if i >= 0 and end[i] < n and (r := rank(data[i : end[end[i]]])) is not None:
                 heappush(heap, (r, i, end[end[i]]))
 
         while heap:
@@ -106,55 +106,203 @@ class Encoder:
                     before[stop] = i
                 offer(before[i])
                 offer(i)
-        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+        return [self.ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+
+    def merged(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of bytes (none empty) to tokens: each merges its pair of lowest rank, the leftmost first, until no pair is a token."""
+        done, whose, lengths = [], [], []
+        long = np.flatnonzero(sizes > LONG_BYTES)
+        for k, at in zip(long, starts_of(sizes)[long], strict=True):
+            done.append(np.array(self.merge_long(data[at : at + sizes[k]].tobytes()), np.int64))
+            whose.append([k])
+            lengths.append([len(done[-1])])
+        run = np.flatnonzero(sizes <= LONG_BYTES)
+        at, sizes = starts_of(sizes)[run], sizes[run]
+        symbol = self.byte[gather(data, at, sizes)]
+        pair = np.append(self.rank(symbol[:-1], symbol[1:]), self.size)[: len(symbol)]
+        pair[np.cumsum(sizes) - 1] = self.size
+        while len(run):
+            least = np.minimum.reduceat(pair << 32 | np.arange(len(pair)), starts_of(sizes))
+            going = least < self.size << 32
+            at = least & 0xFFFFFFFF
+            if not going.all():
+                stay = np.repeat(going, sizes)
+                done.append(symbol[~stay])
+                whose.append(run[~going])
+                lengths.append(sizes[~going])
+                at = (np.cumsum(stay) - 1)[at[going]]
+                symbol, pair, run, sizes = symbol[stay], pair[stay], run[going], sizes[going]
+            symbol[at] = pair[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, pair, sizes = symbol[keep], pair[keep], sizes - 1
+            at -= np.arange(len(at))
+            first = starts_of(sizes)
+            pair[at] = self.size
+            for left in (at[at > first] - 1, at[at < first + sizes - 1]):
+                pair[left] = self.rank(symbol[left], symbol[left + 1])
+        order = np.argsort(np.concatenate(whose)) if whose else np.zeros(0, np.int64)
+        lengths = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
+        values = np.concatenate(done) if done else np.zeros(0, np.int64)
+        return gather(values, starts_of(lengths)[order], lengths[order]), lengths[order]
+
+    def joined(self, tokens: np.ndarray, sizes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joins each part of left to the next one: a window around their border grows on each side until its
+        outermost token is the one that stood there before."""
+        border, before, after = starts_of(sizes)[left + 1], sizes[left], sizes[left + 1]
+        i, j, open_ = np.ones_like(left), np.ones_like(left), np.arange(len(left))
+        found, whose = [], []
+        while len(open_):
+            i[open_], j[open_] = np.minimum(i[open_], before[open_]), np.minimum(j[open_], after[open_])
+            low, width = border[open_] - i[open_], i[open_] + j[open_]
+            window = gather(tokens, low, width)
+            widths = np.add.reduceat(self.length[window], starts_of(width))
+            new, lengths = self.merged(gather(self.blob, self.start[window], self.length[window]), widths)
+            ends = np.cumsum(lengths)
+            steady_left = (i[open_] == before[open_]) | (new[ends - lengths] == tokens[low])
+            steady_right = (j[open_] == after[open_]) | (new[ends - 1] == tokens[low + width - 1])
+            ready = steady_left & steady_right
+            found.append((gather(new, (ends - lengths)[ready], lengths[ready]), lengths[ready]))
+            whose.append(open_[ready])
+            i[open_[~steady_left]] *= 2
+            j[open_[~steady_right]] *= 2
+            open_ = open_[~ready]
+            self.grown += len(open_)
+        self.joins += len(left)
+        lengths = np.concatenate([n for _, n in found])
+        order = np.argsort(np.concatenate(whose))
+        at = len(tokens) + starts_of(lengths)[order]
+        # Three ranges for each part: what stays before a window, the window, what stays after it.
+        begin, count = np.zeros((3, len(sizes)), np.int64), np.zeros((3, len(sizes)), np.int64)
+        begin[0], count[0] = starts_of(sizes), sizes
+        count[0, left] -= i
+        begin[1, left], count[1, left] = at, lengths[order]
+        begin[2, left], count[2, left] = border + j, after - j
+        alone = np.ones(len(sizes), bool)
+        alone[left + 1] = False
+        begin, count = begin[:, alone], count[:, alone]
+        return gather(np.concatenate([tokens, *(w for w, _ in found)]), begin.T.ravel(), count.T.ravel()), count.sum(axis=0)
+
+    def reduce(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces (none empty), and how many each has: leaves, then neighbours joined until each piece is one part."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        leaves = -(-sizes // LEAF_BYTES)
+        parts = np.full(leaves.sum(), LEAF_BYTES, np.int64)
+        parts[np.cumsum(leaves) - 1] = sizes - (leaves - 1) * LEAF_BYTES
+        tokens, counts = self.merged(np.frombuffer(b"".join(pieces), np.uint8), parts)
+        while (leaves > 1).any():
+            place = np.arange(leaves.sum()) - np.repeat(starts_of(leaves), leaves)
+            left = np.flatnonzero((place % 2 == 0) & (place + 1 < np.repeat(leaves, leaves)))
+            tokens, counts = self.joined(tokens, counts, left)
+            leaves = -(-leaves // 2)
+        return tokens, counts
+
+
+@dataclass(slots=True)
+class Part:
+    """A range of a text in pieces: those up to the first and from the last place where a piece starts whatever
+    stands outside the range, and what lies between in strings that each start at such a place.  Without one: head alone."""
+
+    head: list[str]
+    body: list[str]
+    tail: list[str] | None
 
-    def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        size = 2
+class Encoder:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.tree = ranks, Tokens(ranks)
+        self.pattern = regex.compile(pattern)
+        space = regex.compile(r"\s")
+        self.spaces = frozenset(c for c in map(chr, range(0x3100)) if space.match(c))
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joins = 0
+
+    def leaf(self, text: str) -> Part:
+        """A space before a character that is no white space starts a piece, whatever stands before or after."""
+        words = text.split(" ")
+        starts = [k for k in range(1, len(words)) if words[k] and words[k][0] not in self.spaces]
+        if not starts:
+            return Part(self.pattern.findall(text), [], None)
+        if len(starts) == len(words) - 1:
+            body = [" " + w for w in words[1:-1]]
+        else:
+            body = [" " + " ".join(words[k:after]) for k, after in zip(starts, starts[1:], strict=False)]
+        return Part(self.pattern.findall(" ".join(words[: starts[0]])), body, self.pattern.findall(" " + " ".join(words[starts[-1] :])))
+
+    def join(self, left: list[str], right: list[str]) -> list[str]:
+        """Pieces of two neighbours, by windows that grow as those of tokens do.  A match of the pattern looks at
+        most LOOKAHEAD characters past its end; so many pieces of each side are to be found again."""
+        if not left or not right:
+            return left or right
+        self.joins += 1
+        i = j = LOOKAHEAD
         while True:
-            a, b = left[-size:], right[:size]
-            window = self.merge(b"".join(map(self.tokens.__getitem__, a + b)))
-            if (size >= len(left) or window[0] == a[0]) and (size >= len(right) or window[-1] == b[-1]):
-                return left[: len(left) - len(a)] + window + right[len(b) :]
-            size *= 2
-
-    def piece(self, text: str) -> list[int]:
-        if (ids := self.known.get(text)) is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.tree(data)
-            if len(text) <= CACHED_CHARS:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                self.known[text] = ids
-        return ids
-
-    def pieces(self, text: str) -> list[int]:
-        return [i for p in self.pattern.findall(text) for i in self.piece(p)]
-
-    def encode(self, text: str | None) -> list[list[int]]:
-        """Token ids of a text, in runs."""
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        runs = list(map(self.words.__getitem__, rest))
-        if None not in runs and (first or not rest):
-            return [self.pieces(first), *runs]
-        if not first and rest and runs[0] is not None and None not in runs:
-            return runs
-        runs, open_run = [], first
-        for word in rest:
-            if word and not self.space.match(word):
-                runs.append(self.pieces(open_run))
-                open_run = " " + word
+            a, b = left[-i:], right[:j]
+            found = self.pattern.findall("".join(a + b))
+            steady_left = i >= len(left) or found[0] == a[0]
+            steady_right = j >= len(right) or found[-LOOKAHEAD:] == b[-LOOKAHEAD:]
+            if steady_left and steady_right:
+                return left[:-i] + found + right[j:]
+            i, j = i * (1 if steady_left else 2), j * (1 if steady_right else 2)
+
+    def part(self, text: str) -> Part:
+        """Halves down to leaves, joined upwards."""
+        if len(text) <= LEAF_CHARS:
+            return self.leaf(text)
+        half = cut(len(text))
+        left, right = self.part(text[:half]), self.part(text[half:])
+        if left.tail is None:
+            return Part(self.join(left.head, right.head), right.body, right.tail)
+        seam = self.join(left.tail, right.head)
+        if right.tail is None:
+            return Part(left.head, left.body, seam)
+        left.body.append("".join(seam))
+        left.body += right.body
+        return Part(left.head, left.body, right.tail)
+
+    def learn(self, strings: set[str]) -> dict[str, bytes]:
+        """Ids (as int32 bytes) of strings that are new; frequent ones are kept, up to a bound."""
+        fresh, found = [], {}
+        for s in strings - self.recent.keys():
+            if (ids := self.older.get(s)) is not None:
+                self.recent[s] = ids
             else:
-                open_run += " " + word
-        return [*runs, self.pieces(open_run)]
+                fresh.append(s)
+        split = [self.pattern.findall(s) for s in fresh]
+        data = {p: p.encode() for pieces in split for p in pieces}
+        ids = {p: _int32([self.ranks[d]]) for p, d in data.items() if d in self.ranks}
+        rest = [p for p in data if p not in ids]
+        if rest:
+            tokens, counts = self.tree.reduce([data[p] for p in rest])
+            flat, ends = _int32(tokens), np.cumsum(counts * 4).tolist()
+            ids |= {p: flat[a:b] for p, a, b in zip(rest, [0, *ends], ends, strict=False)}
+        for s, pieces in zip(fresh, split, strict=True):
+            (self.recent if len(s) <= CACHED_CHARS else found)[s] = b"".join([ids[p] for p in pieces])
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of each text; all texts are reduced together."""
+        parts = [self.part(t) if t else Part([], [], None) for t in texts]
+        strings = [[*p.head, *p.body, *(p.tail or ())] for p in parts]
+        long = self.learn(set(chain.from_iterable(strings)))
+        get = self.recent.get if not long else lambda s: self.recent.get(s) or long[s]
+        out = [np.frombuffer(b"".join(map(get, s)), np.int32) for s in strings]
+        if len(self.recent) > CACHED:
+            self.older, self.recent = self.recent, {}
+        return out
+
+
+def _int32(ids) -> bytes:
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def concatenated(tokens: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of the ids: those of both halves, one after the other."""
+    if len(ids) <= LEAF_TOKENS:
+        return b"".join(tokens[ids])
+    half = cut(len(ids))
+    return concatenated(tokens, ids[:half]) + concatenated(tokens, ids[half:])
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
@@ -173,6 +321,15 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about CHARS_AT_ONCE bytes of text, at least one."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // CHARS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """Adds ids, the token ids of text.  ranks: a rank file's bytes (a vocabulary's size, whatever the corpus)."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -181,21 +338,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            column, start = batch.column("text"), 0
-            found, sizes, total = [], [], 0
-            for i in range(len(column) + 1):
-                if i == len(column) or total > TOKENS_AT_ONCE:
-                    ids = np.fromiter(chain.from_iterable(found), np.int32, total)
-                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                    part = batch.slice(start, i - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*batch.schema.names, "ids"])
-                    found, sizes, total, start = [], [], 0, i
-                if i < len(column):
-                    runs = encoder.encode(column[i].as_py())
-                    found += runs
-                    sizes.append(sum(map(len, runs)))
-                    total += sizes[-1]
+            for part in slices(batch):
+                found = encoder.encode(part.column("text").to_pylist())
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -212,7 +359,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
             token[i] = t
         for batch in batches:
             ids = batch.column("ids")
-            out = [b"".join(token[x.values.to_numpy()]) if x.is_valid else None for x in ids]
+            out = [concatenated(token, x.values.to_numpy()) if x.is_valid else None for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
