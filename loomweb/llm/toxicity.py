@@ -1,51 +1,49 @@
 """Operator 10, toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, prefixes of words (insults are often compounds) and a mark for each term that is
-repeated.  The vocabulary has every term that is more toxic than not by its smoothed share of toxic
-texts, however rare, whatever the number of texts; a text is its TF-IDF vector over it.  A term's weight
-grows with the evidence that it goes with the label (its log-likelihood ratio), so chance words of a few
-toxic texts count little beside insults.  Equal vectors of labelled examples are one entry with counts.
-
-The index cuts the entries into blocks.  Each term keeps its largest weight in each block, so a
-block's bound is a short sum; blocks are scored in the order of their bounds until the bound falls
-below the cosine of the last neighbour asked for.  All entries as near as that one count, so ties
-need no choice.  Where fewer examples share a term, the missing neighbours have cosine 0 and the whole
-sample's share.  The votes, weighted by distance, become probabilities by isotonic regression on
-votes that leave out each example itself.  A text without any term gets the share of toxic texts
-among the examples without any.  Examples of exactly the same text count as neighbours at distance 0.
-
-Bounds: the labelled rows that it learns from are a sample of at most MAX_EXAMPLES, those of the
-least hash, and the vocabulary has terms of their toxic texts only, so what is broadcast doesn't grow
-with the corpus.  Each text is scored in one pass without a shuffle.
-
-Defined results: null or empty text: the score of a text without terms; texts are read whole;
-repeated or null doc_ids: scored row by row (null: not held out); a document labelled twice: toxic if
-either says so; no labels: score 0; no rows: no rows; other columns are ignored.
+Terms are a text's own words and the beginnings of longer ones (compounds share those), all of them,
+whatever the labels say; only terms of a single example, which can't make anything similar, have no
+postings.  A weight is (1 + log tf) * idf * (1 + evidence), where evidence is the likelihood ratio of a
+term's toxic texts: about 0 for most terms, so their weights are the usual ones, while a word that goes
+with the label isn't drowned by a long text's topic.  Vectors have length 1.
+
+The index cuts the examples into blocks, alike ones together.  Frequent terms keep their largest weight
+in each block.  A text's rare terms are scored at once; with the frequent terms' largest weights that
+bounds what an example of a block can reach.  Blocks are scored in the order of their bounds until the
+bound falls below the cosine of the last neighbour asked for.  All examples as near as that one count,
+so ties need no choice.  Votes are weighted by 1 / (1 - cosine + SOFTEN) ** SHARPNESS, with one vote of
+the whole sample's share, and become probabilities by isotonic regression on votes that leave out each
+example itself.  A text without any known term gets the sample's share of toxic texts.
+
+Bounds: the labelled rows that it learns from are those of the least hash, at most MAX_EXAMPLES of
+them and MAX_CHARS characters, so what is broadcast doesn't grow with the corpus.  Each text is scored
+in one pass without a shuffle.
+
+Defined results: null or empty text: the sample's share; texts are read whole; repeated or null
+doc_ids: scored row by row (null: not held out); a document labelled twice: toxic if either says so;
+equal texts: one example with as many votes; no labels: score 0; no rows: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomweb.llm.shared import table, written
 
-MAX_EXAMPLES = 20_000
-LEAST_SHARE, EVIDENCE_POWER = 0.5, 3
-NEIGHBOURS, BLOCK, SOFTEN = 25, 64, 0.05
+MAX_EXAMPLES, MAX_CHARS = 3_000, 64_000_000
+PREFIXES = (4, 6)
+NEIGHBOURS, SOFTEN, SHARPNESS = 50, 0.05, 8
+BLOCK, FREQUENT, FIRST_SHARE = 64, 64, 4
 THRESHOLD = 0.7
-PREFIXES = (5, 6, 7, 8)
-REPEATS = (2, 4)
-CACHED = 1 << 18
+CACHED = 1 << 17
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -54,129 +52,148 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_terms(word: str) -> list[str]:
-    """The word, and its prefixes with a star."""
+    """The word, and its beginnings with a star."""
     return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
-def repeated(counts: dict) -> Iterator[tuple]:
-    """(term, times) pairs with a mark for each repeated term."""
-    for term, n in counts.items():
-        yield (term, 1), n
-        for least in REPEATS:
-            if n >= least:
-                yield (term, least), 1
-
-
-def all_terms(text: str | None) -> dict[str, int]:
+def term_counts(text: str | None) -> Counter:
     counts: Counter = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
         for term in word_terms(word):
             counts[term] += n
-    return {term if at == 1 else f"{term} x{at}": n for (term, at), n in repeated(counts)}
-
-
-class Vectors:
-    """Texts as {term's number: count} over a vocabulary; words met before are kept, up to a bound."""
-
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.stems = {t.split(" ")[0] for t in terms}
-        self.seen: dict[str, tuple] = {}
-
-    def of(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        counts: dict[str, int] = defaultdict(int)
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            if (found := self.seen.get(word)) is None:
-                if len(self.seen) >= CACHED:
-                    self.seen.clear()
-                found = self.seen[word] = tuple(t for t in word_terms(word) if t in self.stems)
-            for term in found:
-                counts[term] += n
-        named = ((self.number.get(t if at == 1 else f"{t} x{at}"), n) for (t, at), n in repeated(counts))
-        return tuple(sorted((i, n) for i, n in named if i is not None))
+    return counts
 
 
 @dataclass
-class Entries:
-    """Distinct vectors of the examples with their counts; idf (times evidence) by term; the share of toxic examples."""
+class Examples:
+    """Postings of distinct labelled texts: example and count of each term, by term; and the texts' votes."""
 
     terms: list[str]
-    idf: np.ndarray
-    vectors: list[tuple[tuple[int, int], ...]]
+    df: np.ndarray
+    example: np.ndarray
+    count: np.ndarray
     n: np.ndarray
     toxic: np.ndarray
-    example: list[int]
-    share: float | None = None
+    doc_id: np.ndarray
 
     def prior(self) -> float:
-        return self.toxic.sum() / max(1, self.n.sum()) if self.share is None else self.share
+        return float(self.toxic.sum() / max(1, self.n.sum()))
+
 
-    def weights(self, vector) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and L2-normalised TF-IDF weights of a vector that isn't empty."""
-        at = np.array([i for i, _ in vector], np.int64)
-        w = (1 + np.log([n for _, n in vector])) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def evidence(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
+    """The log-likelihood ratio of each term's toxic texts against the whole sample's share."""
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+    return 2 * (part(toxic, df * share) + part(df - toxic, df * (1 - share)))
 
 
 class BlockMaxIndex:
-    def __init__(self, entries: Entries, block: int = BLOCK):
-        self.entries, self.block = entries, block
-        self.blocks = max(1, -(-len(entries.vectors) // block))
-        rows = [(t, e, w) for e, v in enumerate(entries.vectors) for t, w in zip(*entries.weights(v), strict=True)]
-        rows.sort(key=lambda r: r[:2])
-        term, self.entry, self.weight = (np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        # Only cells (term, block) that have an entry: rare terms have few.
-        cell, first = np.unique(term * self.blocks + self.entry // block, return_index=True)
-        self.cells = np.searchsorted(cell, np.arange(len(entries.terms) + 1) * self.blocks)
-        self.start = np.append(first, len(rows))
-        self.at = cell % self.blocks
-        self.most = np.maximum.reduceat(self.weight, first) if rows else self.weight
+    def __init__(self, examples: Examples, block: int = BLOCK, frequent: int = FREQUENT):
+        e = self.examples = examples
+        self.size, self.block = len(e.n), block
+        self.blocks = max(1, -(-self.size // block))
+        term, share = np.repeat(np.arange(len(e.terms)), e.df), e.toxic / np.maximum(e.n, 1)
+        self.idf = np.log(1 + self.size / np.maximum(e.df, 1)) * (1 + evidence(np.bincount(term, share[e.example], len(e.terms)), e.df, share.mean() if self.size else 0.0))
+        weight = (1 + np.log(e.count)) * self.idf[term]
+        weight /= np.sqrt(np.maximum(np.bincount(e.example, weight**2, self.size), 1e-300))[e.example]
+        # Alike examples go together: sorted by the term that weighs most by how many examples have it.
+        lead = np.zeros(self.size, np.int64)
+        by = np.lexsort((-weight * e.df[term] / self.idf[term], e.example))
+        _, first = np.unique(e.example[by], return_index=True)
+        lead[e.example[by][first]] = term[by][first] + 1
+        self.order = np.argsort(lead, kind="stable")
+        place = np.empty(self.size, np.int64)
+        place[self.order] = np.arange(self.size)
+        entry = place[e.example]
+        by = np.lexsort((entry, term))
+        self.entry, self.weight = entry[by], weight[by]
+        self.start = np.concatenate(([0], np.cumsum(e.df)))
+        # Frequent terms: a row each of largest weights and of where each block's postings begin.
+        often = np.flatnonzero(e.df > frequent)
+        self.row = np.full(len(e.terms), -1)
+        self.row[often] = np.arange(len(often))
+        at = gather(self.start[often], e.df[often])
+        cell = np.repeat(np.arange(len(often)), e.df[often]) * self.blocks + self.entry[at] // block
+        self.most = np.zeros(len(often) * self.blocks)
+        np.maximum.at(self.most, cell, self.weight[at])
+        self.most = self.most.reshape(-1, self.blocks)
+        self.cell_size = np.bincount(cell, minlength=len(often) * self.blocks).reshape(-1, self.blocks)
+        self.cell_start = np.cumsum(self.cell_size, axis=1) - self.cell_size + self.start[often][:, None]
+        self.number = {t: i for i, t in enumerate(e.terms)}
+        self.n, self.toxic = e.n[self.order].astype(float), e.toxic[self.order].astype(float)
         self.scored = 0
+        self.words: dict[str, tuple] = {}
 
-    def nearest(self, vector, k: int = NEIGHBOURS, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines (descending), until they stand for k examples, with all as near as the last.
-
-        own: an entry that counts one example less (the one that asks).
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms of a text; words met before are kept, up to a bound."""
+        ids, counts = [], []
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            if (found := self.words.get(word)) is None:
+                if len(self.words) >= CACHED:
+                    self.words.clear()
+                found = self.words[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
+            ids += found
+            counts += [n] * len(found)
+        ids, inverse = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return self.weighted(ids, np.bincount(inverse, counts, len(ids)) if len(ids) else np.zeros(0))
+
+    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[ids]
+        return ids, w / max(math.sqrt(float(w @ w)), 1e-300)
+
+    def add(self, score: np.ndarray, weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        at = gather(starts, sizes)
+        score += np.bincount(self.entry[at], np.repeat(weights, sizes) * self.weight[at], len(score))
+
+    def nearest(self, ids: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines (descending), until they stand for k examples, with all as near as the last.
+
+        own: a place that counts one example less (the one that asks).
         """
-        terms, q = self.entries.weights(vector)
-        bound, parts = np.zeros(self.blocks), defaultdict(list)
-        for t, w in zip(terms, q, strict=True):
-            cells = slice(self.cells[t], self.cells[t + 1])
-            bound[self.at[cells]] += w * self.most[cells]
-            for c in range(cells.start, cells.stop):
-                parts[self.at[c]].append((w, slice(self.start[c], self.start[c + 1])))
+        row = self.row[ids]
+        rare, often = row < 0, row[row >= 0]
+        score = np.zeros(self.blocks * self.block)
+        self.add(score, q[rare], self.start[ids[rare]], self.examples.df[ids[rare]])
+        q = q[~rare]
+        bound = score.reshape(self.blocks, self.block).max(axis=1) + q @ self.most[often]
         order = np.argsort(-bound, kind="stable")
-        ids, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for step in range(0, len(order), 4):
-            part = [b for b in order[step : step + 4] if bound[b] > 0 and bound[b] >= least - 1e-9]
-            if not part:
+        seen, least = np.zeros(len(score), bool), 0.0
+        n = np.zeros(len(score))
+        n[: self.size] = self.n
+        if own >= 0:
+            n[own] -= 1
+        first = max(1, -(-self.blocks // FIRST_SHARE))
+        for blocks in (order[:first], order[first:]):
+            blocks = np.sort(blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)])
+            if not len(blocks):
                 break
-            for b in part:
-                score = np.zeros(self.block)
-                for w, at in parts[b]:
-                    score[self.entry[at] - b * self.block] += w * self.weight[at]
-                hit = np.flatnonzero(score > 0)
-                ids, cosines = np.append(ids, hit + b * self.block), np.append(cosines, score[hit])
-            self.scored += len(part)
-            n = self.entries.n[ids] - (ids == own)
-            by = np.lexsort((ids, -cosines))
-            ids, cosines, n = ids[by], cosines[by], n[by]
-            enough = np.flatnonzero(np.cumsum(n) >= k)
+            sizes = self.cell_size[np.ix_(often, blocks)]
+            self.add(score, np.repeat(q, len(blocks)), self.cell_start[np.ix_(often, blocks)].ravel(), sizes.ravel())
+            seen.reshape(self.blocks, self.block)[blocks] = True
+            self.scored += len(blocks)
+            places = np.flatnonzero(seen & (score > 0))
+            if len(places) > 2 * k + 2:  # each stands for an example at least, but for the one that asks
+                places = places[score[places] >= np.partition(score[places], -k - 1)[-k - 1] - 1e-9]
+            places = places[np.argsort(-score[places], kind="stable")]
+            enough = np.flatnonzero(np.cumsum(n[places]) >= k)
             if len(enough):
-                least = cosines[enough[0]]
-                keep = cosines >= least - 1e-9
-                ids, cosines = ids[keep], cosines[keep]
-        return ids, np.minimum(cosines, 1.0)
-
-    def vote(self, vector, own: int | None = None, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of toxic votes by 1 / (distance + SOFTEN), with one vote of the whole sample's share and missing neighbours at distance 1."""
-        ids, cosines = self.nearest(vector, own=own)
-        n, toxic = self.entries.n[ids].astype(float), self.entries.toxic[ids].astype(float)
-        if own is not None:
-            n, toxic = n - (ids == own), toxic - (ids == own) * own_toxic
-        w = 1 / (1 - cosines + SOFTEN)
-        others = 1 + max(0.0, NEIGHBOURS - n.sum()) / (1 + SOFTEN)
-        return float((w @ toxic + others * self.entries.prior()) / (w @ n + others)), ids, cosines
+                least = score[places[enough[0]]]
+        places = places[score[places] >= least - 1e-9] if least or seen.any() else np.zeros(0, np.int64)
+        return places, np.minimum(score[places], 1.0)
+
+    def vote(self, ids: np.ndarray, q: np.ndarray, own: int = -1, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic votes, weighted by distance."""
+        places, cosines = self.nearest(ids, q, own=own)
+        n, toxic = self.n[places], self.toxic[places]
+        if own >= 0:
+            n, toxic = n - (places == own), toxic - (places == own) * own_toxic
+        w = (1 - cosines + SOFTEN) ** -SHARPNESS
+        return float((w @ toxic + self.examples.prior()) / (w @ n + 1)), places, cosines
 
 
 def isotonic(votes: np.ndarray, share: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,154 +211,92 @@ def isotonic(votes: np.ndarray, share: np.ndarray, weight: np.ndarray) -> tuple[
 
 @dataclass
 class Model:
-    entries: Entries
-    empty_score: float
+    examples: Examples
     knots: tuple[np.ndarray, np.ndarray]
-    texts: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)  # digest of an example's text: n, toxic, example
-
-
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.vectors, self.index = model, Vectors(model.entries.terms), BlockMaxIndex(model.entries)
-        self.seen: dict[tuple, tuple[float, str]] = {}
+        self.index, self.knots = BlockMaxIndex(model.examples), model.knots
 
     def score(self, text: str | None) -> tuple[float, str]:
         """Score, and evidence: the three nearest examples as doc_id:cosine:share of toxic ones."""
-        score, near = self.by_terms(text)
-        if text and (equal := self.model.texts.get(digest(text))):
-            n, toxic, example = equal
-            score = (toxic / SOFTEN + score) / (n / SOFTEN + 1)
-            others = [e for e in near.split(",") if e and not e.startswith(f"{example}:")]
-            near = ",".join([f"{example}:1.0000:{toxic / n:.2f}", *others][:3])
-        return score, near
-
-    def by_terms(self, text: str | None) -> tuple[float, str]:
-        vector = self.vectors.of(text)
-        if not vector:
-            return self.model.empty_score, ""
-        if (found := self.seen.get(vector)) is None:
-            if len(self.seen) >= CACHED:
-                self.seen.clear()
-            vote, ids, cosines = self.index.vote(vector)
-            x, y = self.model.knots
-            e = self.model.entries
-            near = ",".join(f"{e.example[i]}:{c:.4f}:{e.toxic[i] / e.n[i]:.2f}" for i, c in zip(ids[:3], cosines[:3], strict=True))
-            found = self.seen[vector] = float(np.interp(vote, x, y)), near
-        return found
-
-
-def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, text, toxic of the sampled labelled rows that aren't held out."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+        ids, q = self.index.vector(text)
+        if not len(ids):
+            return self.index.examples.prior(), ""
+        vote, places, cosines = self.index.vote(ids, q)
+        e, at = self.index.examples, self.index.order[places[:3]]
+        near = ",".join(f"{d}:{c:.4f}:{s:.2f}" for d, c, s in zip(e.doc_id[at], cosines, e.toxic[at] / e.n[at], strict=False))
+        return float(np.interp(vote, *self.knots)), near
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """term, df and toxic_df over distinct texts; counted in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        toxic: Counter = Counter()
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                terms = all_terms(text).keys()
-                df.update(terms)
-                if label:
-                    toxic.update(terms)
-        for at in range(0, len(df), 100_000):
-            terms = list(df)[at : at + 100_000]
-            yield pa.RecordBatch.from_pydict({"term": terms, "df": [df[t] for t in terms], "toxic_df": [toxic[t] for t in terms]})
-
-    texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    parts = texts.mapInArrow(run, "term string, df long, toxic_df long")
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("toxic_df").alias("toxic_df"))
-
-
-def evidence(toxic_df: int, df: int, share: float) -> float:
-    """The log-likelihood ratio of a term's toxic texts against the whole sample's share."""
-    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
-    return 2 * (part(toxic_df, df * share) + part(df - toxic_df, df * (1 - share)))
-
-
-def choose_terms(counts: DataFrame, n: int, n_toxic: int) -> list[tuple[str, float]]:
-    """All terms that are more toxic than not, with their weights; a prefix no wider than what it begins goes."""
-    a, df = F.col("toxic_df"), F.col("df")
-    rows = counts.filter(((a + n_toxic / n) / (df + 1) >= LEAST_SHARE) & (a * n > df * n_toxic)).collect()
-    by_prefix: dict[tuple[str, str], int] = {}
-    for r in rows:
-        stem, _, mark = r["term"].partition(" ")
-        plain = stem.rstrip("*")
-        for k in PREFIXES:
-            if k < len(plain) or (k == len(plain) and not stem.endswith("*")):
-                key = plain[:k], mark
-                by_prefix[key] = max(by_prefix.get(key, 0), r["df"])
-    wider = lambda r: not (s := r["term"].partition(" "))[0].endswith("*") or by_prefix.get((s[0].rstrip("*"), s[2]), 0) < r["df"]
-    weight = lambda r: evidence(r["toxic_df"], r["df"], n_toxic / n) ** EVIDENCE_POWER * math.log(1 + n / r["df"])
-    return sorted((r["term"], weight(r)) for r in rows if wider(r))
-
-
-def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
-    sample = written(examples(docs, labels, most), "toxicity-examples")
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    chosen = choose_terms(term_counts(sample), texts["n"], texts["toxic"]) if 0 < texts["toxic"] < texts["n"] else []
-    terms = [t for t, _ in chosen]
-    idf = np.array([weight for _, weight in chosen], float)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(terms)
-        for batch in batches:
-            keys = [",".join(f"{i}:{n}" for i, n in vectors.of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.string())], names=["doc_id", "toxic", "key"])
+def sampled(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_chars: int = MAX_CHARS) -> DataFrame:
+    """text, n, toxic and doc_id of the distinct texts of the sampled labelled rows that aren't held out."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxicity-sample")
+    so_far = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most MAX_EXAMPLES rows
+    kept = rows.select("doc_id", so_far.alias("chars")).filter(F.col("chars") <= most_chars).select("doc_id")
+    return rows.join(F.broadcast(kept), "doc_id", "left_semi").groupBy("text").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
 
-    keyed = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"), "text").mapInArrow(run, "doc_id long, toxic long, key string")
-    rows = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("example")).orderBy("key").collect()
-    bare = next((r for r in rows if not r["key"]), None)
-    empty = (bare["toxic"] + total["toxic"] / total["n"]) / (bare["n"] + 1) if bare else total["toxic"] / max(1, total["n"])
-    rows = [r for r in rows if r["key"]]
-    vectors = [tuple(tuple(map(int, p.split(":"))) for p in r["key"].split(",")) for r in rows]
-    entries = Entries(terms, idf, vectors, np.array([r["n"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), [r["example"] for r in rows], total["toxic"] / max(1, total["n"]))
-    return Model(entries, float(empty), calibrated(docs.sparkSession, entries), equal_texts(sample))
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if counts := term_counts(text):
+                yield pa.RecordBatch.from_pydict({"term": pa.array(counts), "doc_id": pa.array([doc_id] * len(counts), pa.int64()), "n": pa.array(counts.values(), pa.int32())})
 
-def equal_texts(sample: DataFrame) -> dict[bytes, tuple[int, int, int]]:
-    """Digests of the examples' texts with counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [digest(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.binary())], names=["doc_id", "toxic", "key"])
+def gathered(sample: DataFrame) -> Examples:
+    """The sample's postings; terms of one example go before they reach the driver."""
+    heads = sample.select("doc_id", "n", "toxic").orderBy("doc_id").toArrow()
+    doc_id = heads["doc_id"].to_numpy()
+    rows = sample.select("doc_id", "text").mapInArrow(_counted, "term string, doc_id long, n int")
+    by_term = rows.groupBy("term").agg(F.collect_list(F.struct("doc_id", "n")).alias("in")).filter(F.size("in") > 1)  # a list has at most MAX_EXAMPLES rows
+    found = by_term.select("term", "in.doc_id", "in.n").orderBy("term").toArrow().combine_chunks()
+    ids, counts = (found[c].combine_chunks() for c in ("doc_id", "n"))
+    df = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    return Examples(found["term"].to_pylist(), df, np.searchsorted(doc_id, ids.flatten().to_numpy()), counts.flatten().to_numpy(), heads["n"].to_numpy(), heads["toxic"].to_numpy(), doc_id)
 
-    rows = sample.filter("text <> ''").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"), "text")
-    found = rows.mapInArrow(run, "doc_id long, toxic long, key binary").groupBy("key").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").alias("example"))
-    return {bytes(r["key"]): (r["n"], r["toxic"], r["example"]) for r in found.collect()}
 
-
-def calibrated(spark: SparkSession, entries: Entries) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
+    examples = gathered(written(sampled(docs, labels, most), "toxicity-examples"))
+    return Model(examples, calibrated(docs.sparkSession, examples))
+
+
+def own_votes(index: BlockMaxIndex, places: list[int]) -> list[tuple[float, int, int]]:
+    """(vote, label, how many) on each example by the others; examples without a shared term are left to the prior."""
+    e, out = index.examples, []
+    by = np.argsort(index.entry, kind="stable")
+    term = np.repeat(np.arange(len(e.terms)), e.df)
+    cuts = np.searchsorted(index.entry[by], np.arange(index.size + 1))
+    for p in places:
+        at = by[cuts[p] : cuts[p + 1]]
+        if len(at):
+            ids = term[at]
+            q = index.weight[at]  # of length 1 already
+            toxic, n = int(index.toxic[p]), int(index.n[p])
+            out += [(index.vote(ids, q, p, label)[0], label, k) for label, k in ((1, toxic), (0, n - toxic)) if k]
+    return out
+
+
+def calibrated(spark: SparkSession, examples: Examples) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic knots from the votes on each example by the others."""
-    if not entries.vectors:
-        return np.zeros(1), np.zeros(1)
-    shared = spark.sparkContext.broadcast(entries)
+    if not len(examples.terms):
+        return np.zeros(1), np.full(1, examples.prior())
+    shared = spark.sparkContext.broadcast(examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = shared.value
-        index = BlockMaxIndex(entries)
+        index = None
         for batch in batches:
-            out = []
-            for i in batch.column("id").to_pylist():
-                n, toxic = int(entries.n[i]), int(entries.toxic[i])
-                out += [(index.vote(entries.vectors[i], i, label)[0], label, k) for label, k in ((1, toxic), (0, n - toxic)) if k]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["vote", "label", "n"])
-
-    votes = spark.range(len(entries.vectors)).mapInArrow(run, "vote double, label long, n long")
-    rows = votes.groupBy("vote").agg(F.sum(F.col("label") * F.col("n")).alias("toxic"), F.sum("n").alias("n")).collect()
-    vote, toxic, n = (np.array([r[k] for r in rows], float) for k in ("vote", "toxic", "n"))
+            index = index or BlockMaxIndex(shared.value)
+            if out := own_votes(index, batch.column("id").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["vote", "label", "n"])
+
+    votes = spark.range(len(examples.n)).mapInArrow(run, "vote double, label long, n long")
+    rows = votes.groupBy("vote").agg(F.sum(F.col("label") * F.col("n")).alias("toxic"), F.sum("n").alias("n")).toArrow()
+    vote, toxic, n = (rows[c].to_numpy().astype(float) for c in ("vote", "toxic", "n"))
     return isotonic(vote, toxic / n, n)
 
 
