@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_SHARE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir.  Only a local session may go without; it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomweb-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,3 +58,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to found, which has each key once and n, how many of the total rows have it.
+
+    Keys of more than total / HOT_SHARE rows, of which there are fewer than HOT_SHARE whatever the total,
+    are broadcast, so that no key's rows have to meet in one task.
+    """
+    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(found.filter(is_hot).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(found.filter(~is_hot).drop("n"), key, how)
+    return rows.join(hot, key).unionByName(rest)

@@ -1,34 +1,72 @@
 import random
-from itertools import combinations
 
-from pyspark.sql import functions as F
+import pytest
 
 from loomweb.llm import url_rules
 
+from ..oracle import connect, differences
 
-def test_rules_equal_brute_force(spark):
-    rng = random.Random(5)
-    parts = ["casino", "win", "news", "shop", "a", "b"]
+
+def brute(rows, least, confidence):
+    """Minimal rules over the tokens of rows (tokens, bad): each a set of alternatives (tokens of the same rows)."""
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(i)
+    bad = {i for i, (_, b) in enumerate(rows) if b}
+    items = {}
+    for t, ids in where.items():
+        if len(ids & bad) >= least:
+            items.setdefault(frozenset(ids), []).append(t)
+    rules, level = [], [(frozenset([k]), ids) for k, ids in enumerate(items)]
+    while level:
+        grown = {}
+        for rule, ids in level:
+            if len(ids & bad) >= confidence * len(ids):
+                rules.append(rule)
+                continue
+            for k, more in enumerate(items):
+                if k not in rule and len(ids & more & bad) >= least:
+                    grown[rule | {k}] = ids & more
+        level = list(grown.items())
+    names = [tuple(sorted(v)) for v in items.values()]
+    return {frozenset(names[k] for k in r) for r in rules if not any(x < r for x in rules)}
+
+
+def mined(spark, rows, *args):
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), *args)
+    return rules, {frozenset(map(tuple, r.tokens)) for r in rules.collect()}
+
+
+def check_matches(spark, rows, rules, want):
+    sets = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(rows)], "key string, tokens array<string>")
+    got = {int(r.key): r.n_rules for r in url_rules.match_rules(sets, rules).collect()}
+    for i, (tokens, _) in enumerate(rows):
+        assert got.get(i, 0) == sum(all(set(x) & set(tokens) for x in rule) for rule in want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
     rows = []
-    for i in range(300):
-        url = f"http://{rng.choice(parts)}-{rng.choice(parts)}.{rng.choice(['example', 'site'])}.net/{rng.choice(parts)}/{i}?{rng.choice(['page', 'ref'])}=1"
-        rows.append((i, url, "casino" in url and rng.random() < 0.9))
-    frame = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
-    tokens = {r.page_id: r.tokens for r in url_rules.with_host_path(frame).select("page_id", url_rules.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")).collect()}
-    seen, bad = {}, {}
-    for i, _, b in rows:
-        for n in (1, 2, 3):
-            for c in combinations(sorted(tokens[i]), n):
-                seen[c] = seen.get(c, 0) + 1
-                bad[c] = bad.get(c, 0) + b
-    good = {c for c in seen if bad[c] >= 0.05 * len(rows) and bad[c] >= 0.7 * seen[c]}
-    mined = url_rules.mine_rules(url_rules.with_host_path(frame).select(url_rules.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad"), min_support=0.05)
-    found = mined.collect()
-    assert {tuple(r.rule_tokens) for r in found} == good and all(r.index_token in r.rule_tokens for r in found)
-    sets = spark.createDataFrame([(str(i), t) for i, t in tokens.items()], "key string, tokens array<string>")
-    got = {int(r.key): r.n_rules for r in url_rules.match_rules(sets, mined).collect()}
-    for i, t in tokens.items():
-        assert got.get(i, 0) == sum(set(c) <= set(t) for c in good)
+    for _ in range(500):
+        items = sorted(t for t in "abcdefg" if rng.random() < 0.6)
+        bad = ({"a", "b", "c", "d"} <= set(items) and rng.random() < 0.95) or ("g" in items and "f" in items and rng.random() < 0.9)
+        rows.append((items + ["g2"] * ("g" in items), bad))
+    rules, found = mined(spark, rows, 3, 0.02, 0.85)
+    want = brute(rows, 10, 0.85)
+    assert found == want and any(len(r) > 2 for r in want) and any(("g", "g2") in r for r in want)
+    check_matches(spark, rows, rules, want)
+
+
+def test_rare_tokens_make_no_rule_and_urls_with_many_tokens_end(spark):
+    many = [f"query=q{i}" for i in range(200)]
+    rows = [(["host=a", *many], True), (["host=b"], True), (["host=b"], True)] + [(["host=a"], False)] * 20
+    assert mined(spark, rows)[1] == brute(rows, 3, 0.7) == set()
+    rows += [(["host=c", *many], True)] * 4 + [(["host=c"], False)] * 9
+    rules, found = mined(spark, rows)
+    assert found == {frozenset([tuple(sorted(many))])}
+    check_matches(spark, [([many[7], "x"], False), (["x"], False)], rules, found)
 
 
 def test_defined_rows(spark):
@@ -43,28 +81,6 @@ def test_defined_rows(spark):
     assert url_rules.filter_urls(pages.limit(0), spark.createDataFrame([], "url string, bad boolean")).count() == 0
 
 
-def test_longer_rules_equal_brute_force(spark):
-    rng = random.Random(6)
-    rows = []
-    for i in range(600):
-        items = sorted(t for t in "abcdefg" if rng.random() < 0.6)
-        bad = ({"a", "b", "c", "d"} <= set(items) and rng.random() < 0.95) or ("g" in items and "f" in items and rng.random() < 0.9)
-        rows.append((items, bad))
-    seen, bads = {}, {}
-    for items, b in rows:
-        for n in range(1, len(items) + 1):
-            for c in combinations(items, n):
-                seen[c] = seen.get(c, 0) + 1
-                bads[c] = bads.get(c, 0) + b
-    good = {c for c in seen if bads[c] >= 0.02 * len(rows) and bads[c] >= 0.9 * seen[c]}
-    want = {c for c in good if len(c) <= 3 or not any(set(d) < set(c) for d in good)}
-    found = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.9, None)
-    assert {tuple(r.rule_tokens) for r in found.collect()} == want and ("a", "b", "c", "d") in want and len(want) < len(good)
-    got = {r.key: r.n_rules for r in url_rules.match_rules(spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(rows)], "key string, tokens array<string>"), found).collect()}
-    for i, (items, _) in enumerate(rows):
-        assert (str(i) in got) == any(set(c) <= set(items) for c in good)
-
-
 def test_a_rule_of_four_tokens_blocks(spark):
     rows = []
     for i in range(320):
@@ -73,3 +89,9 @@ def test_a_rule_of_four_tokens_blocks(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     got = {r.page_id: r.verdict for r in url_rules.filter_urls(frame, frame).collect()}
     assert all((got[i] == "block") == bad for i, _, bad in rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_query_equals_its_sql(spark, sf):
+    at = f"/root/testdata/{sf}"
+    assert differences(url_rules.op7_url_filter(spark, at), connect(at), url_rules.OP7_SQL) == ""
