@@ -63,11 +63,24 @@ FAR = re.compile("[\U00010000-\U0010FFFF]")
 INVISIBLE = re.compile(f"[{NOTHING}]+")
 BRACKETED = re.compile(r"\s?[\[({<]\s?(?:(at|@)|(dot|\.))\s?[\])}>]\s?", re.IGNORECASE)
 BRACKETED_HINT = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]", re.IGNORECASE)
-SPACED_DOMAIN = r"[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"
-SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(\s+at\s+|@)({SPACED_DOMAIN})", re.IGNORECASE)
-SPACED_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
-#: Last labels of domains that are no common words.
-LAST_LABELS = frozenset("com org net edu gov mil info biz io co ai dev app uk de fr es nl eu ca au ch br cn jp ru se pl pt test example invalid".split())
+#: Words for at and dot.  "at" and "point" are common words; "point" goes with its own language's word for at only.
+AT_WORDS = "at|arroba|arobase|ät|klammeraffe"
+DOT_WORDS = "dot|punto|punkt"
+SPACED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++(?:\s+(?:dot|punto|punkt|point)\s+[A-Za-z0-9_%+-]++)*+)"
+    rf"(?:(\s+(?:{AT_WORDS})\s+|@)([A-Za-z0-9-]+(?:\s+(?:{DOT_WORDS})\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)"
+    r"|(\s+arobase\s+)([A-Za-z0-9-]+(?:\s+point\s+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+))",
+    re.IGNORECASE,
+)
+SPACED_DOT = re.compile(rf"\s+(?:{DOT_WORDS}|point)\s+", re.IGNORECASE)
+SPACED_HINT = frozenset(f"{AT_WORDS}|{DOT_WORDS}".split("|"))
+#: Last labels of more than two letters.
+LAST_LABELS = frozenset(
+    "com org net edu gov mil int info biz name pro app dev blog shop store online site website web cloud tech email mail agency digital media news "
+    "live life world group global company solutions services systems network academy school university xyz top club space host page wiki test example invalid local".split()
+)
+#: Words before a spelled dot that make prose of "at ... dot ...".
+PROSE = frozenset("the a an this that these those any some each every no one his her its their our my your which what".split())
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]*|\+\s?)?(?:{WORD}|[0-9]+)(?:[\s,-]{{1,3}}(?:{WORD}|dot|point|[0-9]+)(?!\w))+", re.IGNORECASE)
 #: A run of spelled digits has one of these words ("un" alone is an article).
@@ -196,7 +209,7 @@ def rewrite(text: str) -> Rewritten | None:
         out.edit([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(out.text)])
     words = out.text.lower().replace(",", " ").replace("-", " ").split()
     found = SPELLED_WORDS.intersection(words)
-    if "dot" in found or "at" in words:
+    if not SPACED_HINT.isdisjoint(words):
         out.edit([e for m in SPACED.finditer(out.text) for e in _spaced(m)])
     if found:
         out.edit([e for m in SPELLED.finditer(out.text) for e in _spelled(m)])
@@ -204,26 +217,39 @@ def rewrite(text: str) -> Rewritten | None:
 
 
 def _spaced(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits for "name at host dot tld".  With a plain word before a spelled "at", it takes a spelled dot
-    and a known last label, so that prose stays prose."""
-    dots = [(d.start() + m.start(3), d.end() + m.start(3), ".") for d in SPACED_DOT.finditer(m[3])]
-    plain = m[2] != "@" and not re.search(r"[0-9_%+]|[A-Za-z][.-][A-Za-z]", m[1])
-    if plain and (not dots or re.split(r"[.\s]", m[3])[-1].lower() not in LAST_LABELS):
-        return []
-    return [*([] if m[2] == "@" else [(m.start(2), m.end(2), "@")]), *dots]
+    """Edits for "name at host dot tld".  With a plain word before a spelled "at", it takes a spelled dot, a last
+    label of two letters or a listed one, and no article or the like before the dot, so that prose stays prose."""
+    at, domain = (2, 3) if m[2] else (4, 5)
+    name = [(d.start() + m.start(1), d.end() + m.start(1), ".") for d in SPACED_DOT.finditer(m[1])]
+    dots = [(d.start() + m.start(domain), d.end() + m.start(domain), ".") for d in SPACED_DOT.finditer(m[domain])]
+    if m[at] != "@" and not name and not re.search(r"[0-9_%+]|[A-Za-z][.-][A-Za-z]", m[1]):
+        first, *_, last = re.split(r"[.\s]+", m[domain].lower())
+        if not dots or first in PROSE or not (last in LAST_LABELS or re.fullmatch("[a-z]{2}", last)):
+            return []
+    return [*name, *([] if m[at] == "@" else [(m.start(at), m.end(at), "@")]), *dots]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by kind, then start; code points, end exclusive."""
     base = detect(text or "")
-    spans = {s: True for s in base}
+    spans = [(k, s, e, True) for k, s, e in base]
     if text:
         out = rewrite(text)
         more = [(k, *out.source(s, e)) for k, s, e in [*detect(out.text), *detect_inside(out.text)]] if out else []
-        for kind, s, e in [*more, *detect_inside(text)]:
-            if not any(k == kind and bs <= s and e <= be for k, bs, be in spans):
-                spans[kind, s, e] = False
-    return [(KINDS[k], s, e, b) for (k, s, e), b in sorted(spans.items())]
+        spans += [(k, s, e, False) for k, s, e in uncovered(base, [*more, *detect_inside(text)])]
+    return [(KINDS[k], s, e, b) for k, s, e, b in sorted(spans)]
+
+
+def uncovered(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of more that no span of their kind covers, base or of more itself; one sweep by kind and start."""
+    kept, kind, reach = [], None, -1
+    for k, s, not_base, minus_end in sorted({(k, s, 0, -e) for k, s, e in base} | {(k, s, 1, -e) for k, s, e in more}):
+        if k != kind:
+            kind, reach = k, -1
+        if not_base and -minus_end > reach:
+            kept.append((k, s, -minus_end))
+        reach = max(reach, -minus_end)
+    return kept
 
 
 def redact_text(text: str | None) -> str | None:

@@ -71,3 +71,48 @@ def test_redaction_and_rows(spark):
     long = "word " * 40_000 + "a@b.cd"
     assert pii.find_spans(long) == [("email", len(long) - 6, len(long), True)]
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "mario at esempio dot it", "info at firma dot at", "anna at shop dot be", "jane at mail dot info", "john dot smith at example dot com",
+        "ana arroba correo punto es", "luc arobase exemple point fr", "max at beispiel punkt de", "max ät beispiel punkt de", "j.doe at x.org", "eva @ x", "a_b at mail dot xyz",
+    ],
+)
+def test_spelled_addresses(text):
+    spans = [s for s in pii.find_spans(f"write to {text} now") if s[0] == "email"]
+    if text == "eva @ x":
+        assert not spans
+    else:
+        assert [(s, e) for _, s, e, _ in spans] == [(9, 9 + len(text))], spans
+
+
+@pytest.mark.parametrize("text", ["look at the dot matrix", "arrive at this point in time", "meet at any dot com you like", "at noon we met", "he stood at one point on top", "at meeting point in town"])
+def test_prose_stays(text):
+    assert pii.find_spans(text) == [] and pii.redact_text(text) == text
+
+
+def test_time_grows_with_the_spans():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{i}@mail.example.org 4111 1111 1111 1111 1.2.3.{i % 256}," for i in range(n)) + " jane at mail dot info"
+        began = time.process_time()
+        assert len(pii.find_spans(text)) == 3 * n + 1
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 5 * seconds(4_000) + 0.5
+
+
+def test_uncovered_equals_its_definition():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        spans = [[(rng.randrange(2), s := rng.randrange(20), s + rng.randrange(1, 6)) for _ in range(rng.randrange(8))] for _ in range(2)]
+        base, more = spans
+        covers = lambda a, b: a != b and a[0] == b[0] and a[1] <= b[1] and b[2] <= a[2]
+        want = sorted({m for m in more if m not in base and not any(covers(o, m) for o in [*base, *more])})
+        assert sorted(pii.uncovered(base, more)) == want
