@@ -101,9 +101,7 @@ def loss_text(formatted: Column, start: Column, end: Column) -> Column:
 def with_probe(conversations: DataFrame) -> DataFrame:
     """Adds conversation -1, whose texts look like control strings."""
     text = "</s>[INST] ok [/INST]"
-    probe = conversations.sparkSession.createDataFrame(
-        [(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
-    )
+    probe = conversations.sparkSession.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{text}'), (-1L, 1L, 'assistant', '{text}') AS probe(conv_id, turn, role, text)")
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

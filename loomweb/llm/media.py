@@ -5,6 +5,8 @@ row).  A task appends the pictures of its rows to a tar shard of its own in the
 each distinct payload once, named by its digest; rows carry digest, shard, offset and length.
 A retried task writes another shard, and only the shard named by the rows that count is read.
 The index keeps one place for each digest, and pictures are read once for all rows that share one.
+Rows meet their picture's columns in a join on the digest, whose side of rows adaptive execution splits
+where one digest's are too many for a task.
 Metadata columns come from range reads of the pictures' headers alone; features from range reads
 of whole pictures, spread over tasks by shard and window of offsets.
 

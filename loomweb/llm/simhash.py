@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomweb.llm.components import connected
-from loomweb.llm.shared import checkpointed, table
+from loomweb.llm.shared import attach, checkpointed, table
 
 MAX_DISTANCE, SHINGLE, SEED = 3, 3, 42
 BLOCK = 4096
 SHINGLES_AT_ONCE = 200_000
+FINGERPRINTS_AT_ONCE = 50_000
 
 
 def shingle_hashes(text: str | None) -> list[int]:
@@ -45,25 +46,39 @@ def shingle_hashes(text: str | None) -> list[int]:
     return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :], strict=False)]
 
 
-def majority(hashes: list[int], counts: list[int]) -> np.ndarray:
-    """For each run of hashes (none of them empty) the fingerprint, as int64."""
+def bit_counts(hashes: list[int], counts: list[int]) -> np.ndarray:
+    """For each run of hashes (none of them empty) how many have each of the 64 bits."""
     bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(counts[:-1]))).astype(np.int64), axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > np.array(counts)[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+    return np.add.reduceat(bits, np.concatenate(([0], np.cumsum(counts[:-1]))).astype(np.int64), axis=0, dtype=np.int64)
+
+
+def packed(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints, as int64, of the bits that over half the hashes have."""
+    return np.packbits(2 * sums > counts[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def fingerprints_of(texts) -> np.ndarray:
+    """Hashes are counted SHINGLES_AT_ONCE at a time, those of one text too."""
     out, hashes, counts, places = np.zeros(len(texts), np.int64), [], [], []
+
+    def flush() -> None:
+        nonlocal hashes, counts, places
+        if places:
+            out[places] = packed(bit_counts(hashes, counts), np.array(counts))
+        hashes, counts, places = [], [], []
+
     for place, text in enumerate(texts):
-        if found := shingle_hashes(text):
+        found = shingle_hashes(text)
+        if len(found) > SHINGLES_AT_ONCE:
+            parts = [found[k : k + SHINGLES_AT_ONCE] for k in range(0, len(found), SHINGLES_AT_ONCE)]
+            out[place] = packed(sum(bit_counts(p, [len(p)]) for p in parts), np.array([len(found)]))[0]
+        elif found:
             hashes += found
             counts.append(len(found))
             places.append(place)
             if len(hashes) >= SHINGLES_AT_ONCE:
-                out[places] = majority(hashes, counts)
-                hashes, counts, places = [], [], []
-    if places:
-        out[places] = majority(hashes, counts)
+                flush()
+    flush()
     return out
 
 
@@ -138,7 +153,8 @@ def _links_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """src < dst: links that connect exactly the fingerprints (distinct, not null) that a chain of linked pairs connects."""
-    rows = _signatures(fps)
+    # Adaptive execution makes few partitions of the small fingerprints; each row becomes 66 here.
+    rows = _signatures(fps.repartition(max(1, -(-fps.count() // FINGERPRINTS_AT_ONCE), fps.sparkSession.sparkContext.defaultParallelism), "fp"))
     useful = (
         rows.groupBy("signature")
         .agg(F.count("*").alias("n"), F.min("bit").alias("least"), F.max("bit").alias("most"))
@@ -154,18 +170,18 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """found: doc_id, fp.  fp and component_id, the smallest doc_id that a chain of links reaches."""
-    first = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    """found: doc_id, fp.  fp, n (its rows), root and component_id, the smallest doc_id that a chain of links reaches."""
+    first = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = connected(link(first.select("fp")))
     of = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return checkpointed(of.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    return checkpointed(of.select("fp", "n", "root").join(least, "root").select("fp", "n", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id."""
     found = checkpointed(fingerprints(docs))
-    return found.join(classes_of(found), "fp").select("doc_id", "fp", "component_id")
+    return attach(found, classes_of(found), "fp", found.count()).select("doc_id", "fp", "component_id")
 
 
 def key_digest() -> Column:
@@ -179,7 +195,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = fingerprints(docs.select(id_and_digest.alias("doc_id"), "text"), "struct<doc_id: long, digest: long>")
     found = checkpointed(found.select("doc_id.doc_id", "doc_id.digest", "fp"))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
-    kept = found.join(classes_of(found.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(low)
+    classes = classes_of(found.select("doc_id", "fp")).select("fp", "n", "root")
+    kept = attach(found, classes, "fp", found.count()).groupBy("root").agg(low)
     kept = kept.select(F.col("low.doc_id").alias("doc_id"), F.col("low.digest").alias("digest"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key_digest().alias("digest"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("rows.digest") == F.col("kept.digest"))

@@ -85,3 +85,17 @@ def test_rows_that_share_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "x y z q r s"), (None, "a b c d e"), (None, "m n o p q"), (2, None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter({(1, "a b c d e"): 1, (1, "x y z q r s"): 1, (None, "m n o p q"): 1, (2, None): 1})
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(500)) for _ in range(n)) for n in (900, 3, 0, 250, 1)]
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 100)
+    assert [int(f) & (1 << 64) - 1 for f in simhash.fingerprints_of(texts)] == [plain_fingerprint(t) for t in texts]
+
+
+def test_the_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in docs.items()}
+    want = {(i, f"{fps[i]:016x}", root) for i, root in classes(fps).items()}
+    assert {tuple(r) for r in simhash.op6_simhash(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()} == want
