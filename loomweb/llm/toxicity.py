@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from loomweb.llm.shared import table, written
 
 MAX_EXAMPLES, MAX_CHARS = 3_000, 64_000_000
-PREFIXES = (4, 6)
-NEIGHBOURS, SOFTEN, SHARPNESS = 50, 0.05, 8
-BLOCK, FREQUENT, FIRST_SHARE = 64, 64, 4
+PREFIXES = (5,)
+NEIGHBOURS, SOFTEN, SHARPNESS = 100, 0.05, 8
+BLOCK, FREQUENT, FIRST_SHARE = 64, 64, 8
 THRESHOLD = 0.7
 CACHED = 1 << 17
 WORD = re.compile(r"[^\W_]+")
@@ -162,30 +162,46 @@ class BlockMaxIndex:
         q = q[~rare]
         bound = score.reshape(self.blocks, self.block).max(axis=1) + q @ self.most[often]
         order = np.argsort(-bound, kind="stable")
-        seen, least = np.zeros(len(score), bool), 0.0
+        seen = np.zeros(len(score), bool)
         n = np.zeros(len(score))
         n[: self.size] = self.n
         if own >= 0:
             n[own] -= 1
-        first = max(1, -(-self.blocks // FIRST_SHARE))
-        for blocks in (order[:first], order[first:]):
-            blocks = np.sort(blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)])
-            if not len(blocks):
-                break
-            sizes = self.cell_size[np.ix_(often, blocks)]
-            self.add(score, np.repeat(q, len(blocks)), self.cell_start[np.ix_(often, blocks)].ravel(), sizes.ravel())
-            seen.reshape(self.blocks, self.block)[blocks] = True
-            self.scored += len(blocks)
-            places = np.flatnonzero(seen & (score > 0))
-            if len(places) > 2 * k + 2:  # each stands for an example at least, but for the one that asks
-                places = places[score[places] >= np.partition(score[places], -k - 1)[-k - 1] - 1e-9]
-            places = places[np.argsort(-score[places], kind="stable")]
-            enough = np.flatnonzero(np.cumsum(n[places]) >= k)
-            if len(enough):
-                least = score[places[enough[0]]]
-        places = places[score[places] >= least - 1e-9] if least or seen.any() else np.zeros(0, np.int64)
+        # Few blocks give a first bound; then all from the first to the last block that can reach it are scored.
+        blocks = np.sort(order[: max(1, -(-self.blocks // FIRST_SHARE))])
+        rare_score, score = score, score.copy()
+        self.add(score, np.repeat(q, len(blocks)), self.cell_start[np.ix_(often, blocks)].ravel(), self.cell_size[np.ix_(often, blocks)].ravel())
+        seen.reshape(self.blocks, self.block)[blocks] = True
+        self.scored += len(blocks)
+        places, least = self.best(score, seen, n, k)
+        more = (bound > 0) & (bound >= least - 1e-9)
+        more[blocks] = False
+        if more.any():
+            more[blocks] = True
+            reach = np.flatnonzero(more)
+            low, high = reach[0], reach[-1]  # alike examples are neighbours, so little lies between that can't reach it
+            starts, ends = self.cell_start[often, low], self.cell_start[often, high] + self.cell_size[often, high]
+            score = rare_score
+            if len(often):
+                slices = list(map(slice, starts.tolist(), ends.tolist()))
+                entry, weight = np.concatenate([self.entry[x] for x in slices]), np.concatenate([self.weight[x] for x in slices])
+                score += np.bincount(entry, np.repeat(q, ends - starts) * weight, len(score))
+            seen[low * self.block : (high + 1) * self.block] = True
+            self.scored += int(high - low + 1)
+            places, least = self.best(score, seen, n, k)
+        places = places[score[places] >= least - 1e-9]
         return places, np.minimum(score[places], 1.0)
 
+    @staticmethod
+    def best(score: np.ndarray, seen: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Places (descending) that hold at least the k nearest examples of the seen ones, and the cosine of the last of these (0: fewer)."""
+        places = np.flatnonzero(seen & (score > 0))
+        if len(places) > 2 * k + 2:  # each stands for an example at least, but for the one that asks
+            places = places[score[places] >= np.partition(score[places], -k - 1)[-k - 1] - 1e-9]
+        places = places[np.argsort(-score[places], kind="stable")]
+        enough = np.flatnonzero(np.cumsum(n[places]) >= k)
+        return places, float(score[places[enough[0]]]) if len(enough) else 0.0
+
     def vote(self, ids: np.ndarray, q: np.ndarray, own: int = -1, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of toxic votes, weighted by distance."""
         places, cosines = self.nearest(ids, q, own=own)
