@@ -281,6 +281,10 @@ def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h, u) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
 
 
+# So that a filter which the optimiser infers from an explode of its fields isn't pushed below it, where it would parse again.
+parse_page = parse_page.asNondeterministic()
+
+
 STYLE = "mark.kw{background:#ffe58f} mark.kw.now{background:#ff9c6e}"
 SCRIPT = (
     "(function(){var word=%s.toLowerCase(),walk=document.createTreeWalker(document.body,4),all=[],n;"

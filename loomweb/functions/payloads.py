@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomweb.functions import urls
 
@@ -84,34 +88,61 @@ def payload_candidates(row: Column, site: Column, keyword: Column, default_score
     )
 
 
-def _well_formed_xml(xml: Column) -> Column:
-    """A root element and as many end tags as start tags: enough to keep a broken sitemap from failing the query."""
-    tags = lambda p: F.regexp_count(xml, F.lit(p))
-    return F.rlike(xml, F.lit(r"(?s)^\s*(?:<\?xml.*?\?>)?\s*<[A-Za-z].*>\s*$")) & (tags(r"<[A-Za-z](?:[^>]*[^/>])?>") == tags(r"</[A-Za-z][^>]*>")) & (tags("&(?!#|[a-z]+;)") == 0)
-
-
-def _xpath(xml: Column, path: str) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(_well_formed_xml(xml), F.coalesce(F.xpath(F.when(_well_formed_xml(xml), xml), F.lit(path)), none)).otherwise(none)
+XML = T.StructType(
+    [
+        T.StructField("locs", T.ArrayType(T.StringType())),
+        T.StructField("sitemaps", T.ArrayType(T.StringType())),
+        T.StructField("items", T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("title", T.StringType())]))),
+    ]
+)
+
+
+def read_xml(xml: str | None) -> dict:
+    """What a sitemap, an index or a feed names, whatever the namespace; nothing if it isn't well-formed."""
+    out: dict[str, list] = {"locs": [], "sitemaps": [], "items": []}
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except (ElementTree.ParseError, ValueError):
+        return out
+    name = lambda node: node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+    named = lambda node, *names: [c for c in node if name(c) in names]
+    text = lambda nodes: (nodes[0].text or "").strip() if nodes else ""
+    for node in root.iter():
+        if name(node) == "loc":
+            out["locs"].append((node.text or "").strip())
+        elif name(node) in ("item", "entry"):
+            links, titles = named(node, "link"), named(node, "title")
+            if name(node) == "entry":
+                url = next((c.get("href") for c in links if c.get("href") and (c.get("rel") or "alternate").lower() == "alternate"), "")
+            else:
+                url = text(links)
+            out["items"].append({"url": url, "title": " ".join("".join(titles[0].itertext()).split()) if titles else ""})
+    if name(root) == "sitemapindex":
+        out["sitemaps"] = [text(named(c, "loc")) for c in named(root, "sitemap")]
+    return out
+
+
+@F.pandas_udf(XML)
+def parse_xml(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_xml(x) for x in xml], columns=XML.names)
+
+
+def _addresses(raw: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.filter(raw, lambda u: u != ""), urls.normalize), lambda u: u != ""))
 
 
 def sitemap_urls(xml: Column) -> Column:
-    """The normalised addresses of a sitemap, whatever its namespace."""
-    return F.array_distinct(F.filter(F.transform(_xpath(xml, "//*[local-name()='loc']/text()"), urls.normalize), lambda u: u != ""))
+    """The normalised addresses of a sitemap."""
+    return _addresses(parse_xml(xml)["locs"])
 
 
 def sitemap_index_urls(xml: Column) -> Column:
     """The sitemaps that an index names; none if it is no index."""
-    return F.array_distinct(F.filter(F.transform(_xpath(xml, "/*[local-name()='sitemapindex']/*[local-name()='sitemap']/*[local-name()='loc'][1]/text()"), urls.normalize), lambda u: u != ""))
+    return _addresses(parse_xml(xml)["sitemaps"])
 
 
 def feed_items(xml: Column) -> Column:
-    """array<struct<url, title>> of the items of a feed (RSS) or its entries (Atom)."""
-    item, entry = "//*[local-name()='item']", "//*[local-name()='entry']"
-    link = "*[local-name()='link']"
-    alternate = f"{link}[@href and (not(@rel) or @rel='alternate')]"
-    pairs = lambda u, t: F.transform(F.arrays_zip(u.alias("u"), t.alias("t")), lambda x: F.struct(x["u"].alias("url"), x["t"].alias("title")))
-    rss = pairs(_xpath(xml, f"{item}[*[local-name()='title']]/{link}[1]/text()"), _xpath(xml, f"{item}[{link}]/*[local-name()='title'][1]/text()"))
-    atom = pairs(_xpath(xml, f"{entry}[*[local-name()='title']]/{alternate}[1]/@href"), _xpath(xml, f"{entry}[{alternate}]/*[local-name()='title'][1]/text()"))
-    tidy = F.transform(F.concat(rss, atom), lambda x: F.struct(urls.normalize(x["url"]).alias("url"), F.trim(F.regexp_replace(F.coalesce(x["title"], F.lit("")), r"(?U)\s+", " ")).alias("title")))
-    return F.filter(tidy, lambda x: x["url"] != "")
+    """array<struct<url, title>> of the items of a feed (RSS) or its entries (Atom) that have an address, the first of equal ones."""
+    tidy = F.transform(F.filter(parse_xml(xml)["items"], lambda x: x["url"] != ""), lambda x: F.struct(urls.normalize(x["url"]).alias("url"), x["title"].alias("title")))
+    firsts = lambda items: F.filter(items, lambda x, i: (x["url"] != "") & (F.array_position(F.transform(items, lambda y: y["url"]), x["url"]) == i + 1))
+    return F.get(F.transform(F.array(tidy), firsts), F.lit(0))

@@ -56,31 +56,43 @@ def found(x: Column, pattern: str, flags: str = UNIX) -> Column:
 
 def snippet(text: Column, keyword: Column, radius: int = RADIUS) -> Column:
     """The first occurrence of a keyword, whatever its case, with context; null if there is none."""
-    norm = collapse(text)
-    at = F.instr(F.lower(norm), F.lower(keyword))
-    start, end = F.greatest(at - 1 - radius, F.lit(0)), F.least(at - 1 + F.char_length(keyword) + radius, F.char_length(norm))
-    cut = F.concat(
-        F.when(start > 0, "…").otherwise(""), F.substr(norm, start + 1, end - start), F.when(end < F.char_length(norm), "…").otherwise("")
-    )
-    return F.when(at > 0, cut)
+
+    def cut(x: Column) -> Column:
+        norm, at = x["norm"], x["at"]
+        start, end = F.greatest(at - 1 - radius, F.lit(0)), F.least(at - 1 + F.char_length(keyword) + radius, F.char_length(norm))
+        return F.when(
+            at > 0, F.concat(F.when(start > 0, "…").otherwise(""), F.substr(norm, start + 1, end - start), F.when(end < F.char_length(norm), "…").otherwise(""))
+        )
+
+    return let(let(collapse(text), lambda n: F.struct(n.alias("norm"), F.instr(F.lower(n), F.lower(keyword)).alias("at"))), cut)
+
+
+def let(x: Column, body) -> Column:
+    """body(x), with x worked out once however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def project_title(text: Column, patterns=TITLE_PATTERNS) -> Column:
     """The first pattern's title of at least 8 characters, cleaned; '' if there is none."""
-    out = F.lit("")
-    for pattern in reversed(patterns):
-        title = strip(F.regexp_extract(text, UNIX + pattern, 1))
-        title = F.regexp_replace(title, U + r"^[：:，,、。；;\s]+", "")
+
+    def cleaned(title: Column) -> Column:
+        title = F.regexp_replace(strip(title), U + r"^[：:，,、。；;\s]+", "")
         title = F.regexp_replace(title, U + LATIN_PREFIX, "")
-        title = F.regexp_replace(title, U + r"[：:，,、。；;\s]+$", "")
-        out = F.when(F.char_length(title) >= 8, title).otherwise(out)
-    return out
+        return F.regexp_replace(title, U + r"[：:，,、。；;\s]+$", "")
+
+    found = let(text, lambda t: F.array(*(F.regexp_extract(t, UNIX + p, 1) for p in patterns)))
+    titles = F.transform(F.filter(found, lambda t: F.char_length(t) >= 8), cleaned)
+    return F.coalesce(F.get(F.filter(titles, lambda t: F.char_length(t) >= 8), F.lit(0)), F.lit(""))
 
 
 def page_title(title: Column) -> Column:
     """A title without its site's name; as it was if less than 4 characters stay."""
-    cut = F.regexp_replace(strip(title), UNIX + r"\s*[-–—_|｜]\s*.+$", "")
-    return F.when(F.char_length(cut) < 4, strip(title)).otherwise(cut)
+
+    def cut(whole: Column) -> Column:
+        short = F.regexp_replace(whole, UNIX + r"\s*[-–—_|｜]\s*.+$", "")
+        return let(short, lambda s: F.when(F.char_length(s) < 4, whole).otherwise(s))
+
+    return let(strip(title), cut)
 
 
 def path_name(path: Column) -> Column:
@@ -91,29 +103,36 @@ def path_name(path: Column) -> Column:
 
 
 def display_title(headings: Column, main_text: Column, title: Column, path: Column, url: Column) -> Column:
-    cleaned = page_title(title)
     titles = F.transform(F.filter(headings, lambda h: F.char_length(h) >= 8), lambda h: project_title(h))
-    heading = F.get(F.filter(titles, lambda t: t != ""), 0)
+    heading = F.get(F.filter(titles, lambda t: t != ""), F.lit(0))
     main = F.when(F.char_length(main_text) >= 40, project_title(main_text)).otherwise("")
-    own = project_title(cleaned)
-    return F.coalesce(
-        left(heading, 60),
-        F.when((main != "") & (F.char_length(cleaned) >= 8) & F.contains(cleaned, main), left(cleaned, 80)).when(main != "", left(main, 60)),
-        F.when(own != "", left(own, 60)),
-        F.when((F.char_length(cleaned) >= 8) & ~found(cleaned, SITE_NAME), left(cleaned, 80)),
-        path_name(path),
-        F.when(cleaned != "", cleaned).otherwise(left(url, 80)),
-    )
+
+    def choose(x: Column) -> Column:
+        cleaned, main, own = x["cleaned"], x["main"], x["own"]
+        return F.coalesce(
+            F.when((main != "") & (F.char_length(cleaned) >= 8) & F.contains(cleaned, main), left(cleaned, 80)).when(main != "", left(main, 60)),
+            F.when(own != "", left(own, 60)),
+            F.when((F.char_length(cleaned) >= 8) & ~found(cleaned, SITE_NAME), left(cleaned, 80)),
+            path_name(path),
+            F.when(cleaned != "", cleaned).otherwise(left(url, 80)),
+        )
+
+    parts = let(page_title(title), lambda c: F.struct(c.alias("cleaned"), main.alias("main"), project_title(c).alias("own")))
+    return F.coalesce(left(heading, 60), let(parts, choose))
 
 
 def entry_title(raw: Column, path: Column, url: Column, summary: Column) -> Column:
-    own, plain = project_title(F.coalesce(summary, F.lit("")), ENTRY_TITLE_PATTERNS), strip(raw)
-    return F.coalesce(
-        F.when(own != "", left(own, 60)),
-        F.when((F.char_length(plain) >= 6) & ~found(plain, SITE_NAME), left(plain, 80)),
-        path_name(path),
-        F.when(plain != "", plain).otherwise(left(url, 80)),
-    )
+    def choose(x: Column) -> Column:
+        own, plain = x["own"], x["plain"]
+        return F.coalesce(
+            F.when(own != "", left(own, 60)),
+            F.when((F.char_length(plain) >= 6) & ~found(plain, SITE_NAME), left(plain, 80)),
+            path_name(path),
+            F.when(plain != "", plain).otherwise(left(url, 80)),
+        )
+
+    own = project_title(F.coalesce(summary, F.lit("")), ENTRY_TITLE_PATTERNS)
+    return let(F.struct(own.alias("own"), strip(raw).alias("plain")), choose)
 
 
 def without_boilerplate(text: Column) -> Column:

@@ -60,23 +60,33 @@ def _host_port(url: Column) -> Column:
     return F.regexp_replace(netloc(url), "^.*@", "")
 
 
-def host(url: Column) -> Column:
-    """Lower-cased, without user, port and IPv6 brackets; '' if there is none."""
-    at = _host_port(url)
+def _host_of(at: Column) -> Column:
     bracketed = F.regexp_extract(at, r"^\[([^\]]*)\]", 1)
     return F.lower(F.when(F.startswith(at, F.lit("[")), bracketed).otherwise(F.regexp_extract(at, "^[^:]*", 0)))
 
 
+def _port_of(at: Column) -> Column:
+    return F.regexp_extract(at, r"^(?:\[[^\]]*\]|[^:]*):([0-9]+)$", 1).try_cast("int")
+
+
+def _is_well_formed(at: Column, port: Column) -> Column:
+    shape = F.rlike(at, F.lit(r"^(?:\[[0-9A-Fa-f:.]+\]|[^\[\]:]*)(?::[0-9]{0,9})?$"))
+    return shape & (F.coalesce(port, F.lit(0)) <= 65535)
+
+
+def host(url: Column) -> Column:
+    """Lower-cased, without user, port and IPv6 brackets; '' if there is none."""
+    return _host_of(_host_port(url))
+
+
 def port(url: Column) -> Column:
     """The port that is written, as int; null if there is none or it is no number."""
-    return F.regexp_extract(_host_port(url), r"^(?:\[[^\]]*\]|[^:]*):([0-9]+)$", 1).try_cast("int")
+    return _port_of(_host_port(url))
 
 
 def well_formed(url: Column) -> Column:
     """Whether the authority can be taken apart (ports up to 65535, brackets in pairs)."""
-    at = _host_port(url)
-    shape = F.rlike(at, F.lit(r"^(?:\[[0-9A-Fa-f:.]+\]|[^\[\]:]*)(?::[0-9]{0,9})?$"))
-    return shape & (F.coalesce(port(url), F.lit(0)) <= 65535)
+    return _is_well_formed(_host_port(url), port(url))
 
 
 def has_user(url: Column) -> Column:
@@ -98,7 +108,11 @@ def quote(x: Column) -> Column:
 
 def query_pairs(url: Column) -> Column:
     """array<struct<key, value>> in order, decoded; blank values stay, empty parts go."""
-    parts = F.filter(F.split(query(url), "&"), lambda p: p != "")
+    return _pairs_of(query(url))
+
+
+def _pairs_of(query: Column) -> Column:
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
     at = lambda p: F.instr(p, "=")
     return F.transform(
         parts,
@@ -109,25 +123,39 @@ def query_pairs(url: Column) -> Column:
     )
 
 
+def _let(x: Column, body) -> Column:
+    """body(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def normalize(url: Column) -> Column:
     """The key of a URL: no fragment and tracking keys, scheme and host lower-cased, trailing slashes
     gone, query sorted by key (equal keys keep their order); '' if it can't be taken apart."""
-    kept = F.filter(query_pairs(url), lambda q: ~F.lower(q["key"]).isin(*TRACKING_KEYS))
+    part = lambda x, n: F.regexp_extract(x, "(?s)" + _SPLIT, n)
+    split = _let(_clean(url), lambda x: F.struct(F.lower(part(x, 1)).alias("scheme"), part(x, 2).alias("netloc"), part(x, 3).alias("path"), part(x, 4).alias("query")))
+    at = lambda x: F.regexp_replace(x["netloc"], "^.*@", "")
+    return _let(_let(split, lambda x: F.struct(x.alias("url"), at(x).alias("at"), _host_of(at(x)).alias("host"), _port_of(at(x)).alias("port"))), _normalized)
+
+
+def _normalized(x: Column) -> Column:
+    """x: url (struct of scheme, netloc, path, query), at (netloc without user), host and port."""
+    url, host, port = x["url"], x["host"], x["port"]
+    kept = F.filter(_pairs_of(url["query"]), lambda q: ~F.lower(q["key"]).isin(*TRACKING_KEYS))
     numbered = F.transform(kept, lambda q, i: F.struct(q["key"].alias("key"), i.alias("i"), q["value"].alias("value")))
     encoded = F.transform(F.array_sort(numbered), lambda q: F.concat(_encode(q["key"]), F.lit("="), _encode(q["value"])))
-    search = F.array_join(encoded, "&")
-    raw_path = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
+    search = F.when(url["query"] == "", "").otherwise(F.array_join(encoded, "&"))
+    raw_path = F.when(url["path"] == "", F.lit("/")).otherwise(url["path"])
     short_path = F.when(raw_path == "/", raw_path).otherwise(F.regexp_replace(raw_path, "/+$", ""))
-    user = F.regexp_extract(netloc(url), "^(?:.*@)?", 0)
-    name = F.when(F.contains(host(url), F.lit(":")), F.concat(F.lit("["), host(url), F.lit("]"))).otherwise(host(url))
-    authority = F.concat(user, name, F.when(port(url).isNotNull(), F.concat(F.lit(":"), port(url).cast("string"))).otherwise(""))
+    user = F.regexp_extract(url["netloc"], "^(?:.*@)?", 0)
+    name = F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    authority = F.concat(user, name, F.when(port.isNotNull(), F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
     whole = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""),
-        F.when(netloc(url) != "", F.concat(F.lit("//"), authority)).otherwise(""),
+        F.when(url["scheme"] != "", F.concat(url["scheme"], F.lit(":"))).otherwise(""),
+        F.when(url["netloc"] != "", F.concat(F.lit("//"), authority)).otherwise(""),
         short_path,
-        F.when(search != "", F.concat(F.lit("?"), search)).otherwise(""),
+        _let(search, lambda s: F.when(s != "", F.concat(F.lit("?"), s)).otherwise("")),
     )
-    return F.when(well_formed(url), whole).otherwise("")
+    return F.when(_is_well_formed(x["at"], port), whole).otherwise("")
 
 
 def is_ip(name: Column) -> Column:

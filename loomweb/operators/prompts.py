@@ -41,6 +41,32 @@ def prompt(kept: DataFrame, order: list, head: str, tail: str = "") -> DataFrame
     return ranked.agg(F.count("*").alias("n_blocks"), F.concat(F.lit(head), joined, F.lit(tail)).alias("content"))
 
 
+#: What the model is asked for: the forms that expansion(), overview() and answer_entries() read.
+EXPAND_RULES = (
+    "你为站内搜索补充检索词。请只输出一个 JSON 字符串数组，最多 {limit} 项，不附带解释。"
+    "每个词都要与某个原词至少有一个相同的汉字，不得重复原词，不要单字词和过于宽泛的词；想不出时输出 []。"
+)
+SUMMARY_RULES = (
+    "请根据下面的搜索命中片段作答，分为两部分。\n"
+    "【概述】\n两到五句话，说明时间范围、主题和要点。\n"
+    "【条目】\n每个有实际内容的页面写一段，段与段之间空一行。每段依次为：首行“[YYYY-MM-DD]《标题》”（不知道日期时省略方括号部分），"
+    "接着一到三句摘要，末行是该页面的完整网址。标题要具体，导航、登录、联系方式等页面略去。\n"
+    "不得写入片段中没有的内容。"
+)
+ASK_RULES = "请只依据给出的页面回答问题，引用页面时写出完整网址；页面内容不足以回答时请直接说明。"
+
+
+def messages(system: str, content: Column) -> Column:
+    """array<struct<role, content>>: the instructions and the user's message."""
+    part = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(part("system", F.lit(system)), part("user", content))
+
+
+def expand_messages(keywords: Column, host: Column, limit: int = 5) -> Column:
+    """The messages that ask for related keywords."""
+    return messages(EXPAND_RULES.format(limit=limit), F.concat(F.lit("网站："), host, F.lit("\n关键词："), F.array_join(keywords, "、")))
+
+
 def expansion(answer: Column, limit: int = 5) -> Column:
     """The keywords of a JSON list inside an answer; none if there is no such list."""
     inside = F.regexp_extract(answer, r"(?s)\[.*\]", 0)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1500
+CHUNK_CHARS, QUERIES_AT_ONCE = 1500, 1000
 
 
 def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
@@ -37,7 +41,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5) -> DataFrame:
-    """vec_id, similarity of the k vectors nearest to one query vector."""
-    scored = vectors.select("vec_id", cosine(F.col("embedding"), query).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+    """query_id, vec_id, similarity (rounded) of the k vectors (vec_id, embedding) nearest to each query (vec_id, embedding).
+
+    Queries are broadcast QUERIES_AT_ONCE at a time; each task keeps k rows for a query before the shuffle.
+    """
+    blocks, parts = max(1, -(-queries.count() // QUERIES_AT_ONCE)), []
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    for block in range(blocks):
+        asked = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        scored = vectors.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("similarity"))
+        parts.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean_text(main_text: Column, visible_text: Column) -> Column:
+    """What is chunked of a page: its main text, or all that is visible where there is none."""
+    blank = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", "") == ""
+    return F.when(~blank(main_text), main_text).when(~blank(visible_text), visible_text)
+
+
+def embedded(rows: DataFrame, embed: Callable[[pd.Series], pd.Series], text: str = "chunk") -> DataFrame:
+    """rows with a column embedding, from a function that takes a batch of texts to a batch of vectors."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield embed(batch)
+
+    return rows.withColumn("embedding", run(F.col(text)))

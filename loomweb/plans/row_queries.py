@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomweb.functions import dates, payloads, text, urls
 from loomweb.operators import candidates, graph, jobs, planning, prompts, retrieval
+from loomweb.plans import search
 from loomweb.plans.page_queries import sql_norm
 from loomweb.runtime import table
 
@@ -166,15 +167,15 @@ SELECT keyword, page, event_id, stopped_at FROM r JOIN s USING (keyword) WHERE p
 
 
 def range_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(F.to_date("ts").alias("day"))
-    return planning.split_windows(rows, "2024-01-01", "2024-01-30", 60).select(F.date_format("win_start", "yyyy-MM-dd").alias("win_start"), F.date_format("win_end", "yyyy-MM-dd").alias("win_end"), "total")
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+    return planning.split_windows(rows, "2024-01-01", "2024-01-30", 1000).select(F.date_format("win_start", "yyyy-MM-dd").alias("win_start"), F.date_format("win_end", "yyyy-MM-dd").alias("win_end"), "total")
 
 
-RANGE_SPLIT = """WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error'), w AS (
+RANGE_SPLIT = """WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day FROM events), w AS (
   SELECT DATE '2024-01-01' AS a, DATE '2024-01-30' AS b
-  UNION ALL SELECT unnest([a, a + CAST((b - a) // 2 AS INT) + 1]), unnest([a + CAST((b - a) // 2 AS INT), b]) FROM w WHERE a < b AND (SELECT count(*) FROM d WHERE day BETWEEN a AND b) > 60)
+  UNION ALL SELECT unnest([a, a + CAST((b - a) // 2 AS INT) + 1]), unnest([a + CAST((b - a) // 2 AS INT), b]) FROM w WHERE a < b AND (SELECT count(*) FROM d WHERE day BETWEEN a AND b) > 1000)
 SELECT strftime(a, '%Y-%m-%d') AS win_start, strftime(b, '%Y-%m-%d') AS win_end, (SELECT count(*) FROM d WHERE day BETWEEN a AND b) AS total FROM w
-WHERE a = b OR (SELECT count(*) FROM d WHERE day BETWEEN a AND b) <= 60"""
+WHERE a = b OR (SELECT count(*) FROM d WHERE day BETWEEN a AND b) <= 1000"""
 
 
 def token_bucket(spark, sf_dir):
@@ -296,13 +297,17 @@ SITEMAPS = r"SELECT DISTINCT h AS host, regexp_replace(u, '/+$', '') AS url FROM
 
 
 def feeds(spark, sf_dir):
+    """One feed for each host; of its items some lack a title, some a link, some have an empty title."""
     pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", "^[^?#]*", 0).alias("u"), "page_id")
-    item = F.concat(F.lit("<item><title> No. \n"), F.col("page_id"), F.lit("</title><link>"), "u", F.lit("</link></item>"))
-    xml = F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+    k = F.col("page_id") % 6
+    title = F.when(k == 0, "").when(k == 1, "<title/>").otherwise(F.concat(F.lit("<title> No. \n"), F.col("page_id"), F.lit("</title>")))
+    link = F.when(k == 2, "").otherwise(F.concat(F.lit("<link>"), F.col("u"), F.lit("</link>")))
+    item = F.concat(F.lit("<item>"), title, link, F.lit("<d><![CDATA[<p>]]></d><!-- <x> --></item>"))
+    xml = F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), ""), F.lit("</channel></rss>"))
     return pages.groupBy("host").agg(xml.alias("xml")).select("host", F.inline(payloads.feed_items(F.col("xml"))))
 
 
-FEEDS = r"SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS url, 'No. ' || page_id AS title FROM pages"
+FEEDS = r"SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') AS url, CASE WHEN page_id % 6 < 2 THEN '' ELSE 'No. ' || page_id END AS title FROM pages WHERE page_id % 6 <> 2 QUALIFY row_number() OVER (PARTITION BY host, regexp_replace(regexp_extract(pages.url, '^[^?#]*'), '/+$', '') ORDER BY page_id) = 1"
 
 
 def adapters(spark, sf_dir):
@@ -364,14 +369,13 @@ def chunks(spark, sf_dir):
 
 
 def nearest_vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    query = rows.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    scored = rows.crossJoin(F.broadcast(query)).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(5)
+    """Each vector whose id is divisible by 50 against all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), digits=5)
 
 
-NEAREST_VECTORS = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 5"""
+NEAREST_VECTORS = """SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS similarity
+FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, v.vec_id) <= 5"""
 
 
 def upserted(spark, sf_dir):
@@ -438,6 +442,48 @@ def hub_articles(spark, sf_dir):
 HUB_ARTICLES = rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, {sql_norm("url")} AS link FROM pages)
 SELECT host AS url, link, page_id AS pos FROM p WHERE regexp_matches(split_part(link, '?', 1), '\.s?html?$') QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 3"""
 
+def prompt_messages(spark, sf_dir):
+    """The messages that ask for related keywords, for each conversation's first words."""
+    words = F.slice(F.split("text", " "), 1, 2)
+    asked = F.explode(prompts.expand_messages(words, F.lit("h.cn")))
+    return table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", asked.alias("m")).select("conv_id", "turn", "m.role", F.md5("m.content").alias("content"))
+
+
+PROMPT_MESSAGES = f"""WITH m AS (SELECT conv_id, turn, '网站：h.cn' || chr(10) || '关键词：' || array_to_string(string_split(text, ' ')[1:2], '、') AS said FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, 'user' AS role, md5(said) AS content FROM m UNION ALL SELECT conv_id, turn, 'system', md5('{prompts.EXPAND_RULES.format(limit=5)}') FROM m"""
+
+
+def start_page_errors(spark, sf_dir):
+    """Jobs whose start page a fetch did not bring."""
+    pages = table(spark, sf_dir, "pages")
+    asked = pages.select(F.col("page_id").alias("job_id"), F.concat("url", F.when(F.contains("url", F.lit("#")), "x").otherwise("#x")).alias("start_url"))
+    return search.start_pages(asked, pages.filter("page_id % 3 > 0").select("url"))
+
+
+START_PAGE_ERRORS = """WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(url, '^[^#]*'), '[?&]utm_source=feed', ''), '/+$', '') AS k FROM pages)
+SELECT page_id AS job_id, url || CASE WHEN contains(url, '#') THEN 'x' ELSE '#x' END AS start_url, CASE WHEN NOT EXISTS (SELECT 1 FROM p o WHERE o.page_id % 3 > 0 AND o.k = p.k) THEN 'start page not fetched' END AS error FROM p"""
+
+
+def page_merge(spark, sf_dir):
+    """A crawl's pages and those a discovery adds."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return search.merged_pages(pages.filter("page_id % 2 = 0"), pages.filter("page_id % 3 = 0").withColumn("url", F.concat("url", F.when(F.contains("url", F.lit("#")), "d").otherwise("#d"))))
+
+
+PAGE_MERGE = """WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(url, '^[^#]*'), '[?&]utm_source=feed', ''), '/+$', '') AS k FROM pages), b AS (
+  SELECT page_id, url, k, 0 AS r FROM p WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url || CASE WHEN contains(url, '#') THEN 'd' ELSE '#d' END, k, 1 FROM p WHERE page_id % 3 = 0)
+SELECT page_id, url FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, url) = 1"""
+
+
+def run_diagnostics(spark, sf_dir):
+    """What a run of all pages left, in one document."""
+    pages = table(spark, sf_dir, "pages")
+    return search.diagnostics(pages.select((F.col("page_id") % 4).alias("hit_count")), pages)
+
+
+RUN_DIAGNOSTICS = """SELECT '{"pages":' || count(*) || ',"pages_with_hits":' || count(*) FILTER (page_id % 4 > 0) || ',"hits":' || sum(page_id % 4) || ',"ok":true}' AS document FROM pages"""
+
+
 QUERIES = {
     "count_gate": count_gate, "window_requests": window_requests, "hub_articles": hub_articles,
     "notice_titles": notice_titles, "notice_summaries": notice_summaries, "notice_dates": notice_dates, "snippets": snippets, "keyword_sets": keyword_sets, "jobs_due": jobs_due, "since_filter": since_filter,
@@ -454,3 +500,5 @@ ORACLES = {
     "entry_cards": ENTRY_CARDS, "summary_prompt": SUMMARY_PROMPT, "model_answers": MODEL_ANSWERS, "nearest_vectors": NEAREST_VECTORS, "upserted": UPSERTED, "job_table": JOB_TABLE,
     "cache_entries": CACHE_ENTRIES, "page_counts": PAGE_COUNTS,
 }
+QUERIES |= {"prompt_messages": prompt_messages, "start_page_errors": start_page_errors, "page_merge": page_merge, "run_diagnostics": run_diagnostics}
+ORACLES |= {"prompt_messages": PROMPT_MESSAGES, "start_page_errors": START_PAGE_ERRORS, "page_merge": PAGE_MERGE, "run_diagnostics": RUN_DIAGNOSTICS}

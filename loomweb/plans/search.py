@@ -41,7 +41,8 @@ def _results(parsed: DataFrame, keywords: list[str]) -> DataFrame:
 def search(snapshot: DataFrame, keywords: list[str], rendered: DataFrame | None = None, expand: Callable[[list[str]], list[str]] | None = None) -> Search:
     """Pages (page_id, url, html) with their hits.  Where few are found on pages that seem to be filled in
     by scripts, the rendered snapshot is searched too, and taken if it has more hits."""
-    words = list(keywords) + [k for k in (related(snapshot, keywords, expand(keywords)) if expand else []) if k not in keywords]
+    more = attempt(expand, keywords) or [] if expand else []
+    words = list(keywords) + [k for k in related(snapshot, keywords, more) if k not in keywords]
     parsed = pages.parsed(snapshot)
     results = checkpointed(_results(parsed, words))
     total = lambda r: r.agg(F.coalesce(F.sum("hit_count"), F.lit(0))).first()[0]
@@ -55,6 +56,36 @@ def search(snapshot: DataFrame, keywords: list[str], rendered: DataFrame | None
     return Search(snapshot, results, False)
 
 
+def attempt(model: Callable, *args):
+    """What a model says; None where it fails, since a search goes on without it."""
+    try:
+        return model(*args)
+    except Exception:  # noqa: BLE001 - whatever the callable raises, the search's own results stand
+        return None
+
+
+def start_pages(jobs_table: DataFrame, found: DataFrame) -> DataFrame:
+    """jobs_table: job_id, start_url; found: url of fetched pages.  job_id, start_url and error: null, or why the job
+    can't run, which is that its start page was not fetched."""
+    seen = found.select(urls.normalize(F.col("url")).alias("start_key")).distinct().withColumn("fetched", F.lit(True))
+    keyed = jobs_table.withColumn("start_key", urls.normalize(F.col("start_url"))).join(seen, "start_key", "left")
+    return keyed.select("job_id", "start_url", F.when(F.col("fetched").isNull(), F.lit("start page not fetched")).alias("error"))
+
+
+def merged_pages(crawled: DataFrame, discovered: DataFrame) -> DataFrame:
+    """Pages of a crawl, then those of a discovery that the crawl lacks, by normalised url; each url once, the first one."""
+    both = crawled.withColumn("source_rank", F.lit(0)).unionByName(discovered.withColumn("source_rank", F.lit(1)))
+    keyed = both.withColumn("norm_url", urls.normalize(F.col("url")))
+    return pages.first_of(keyed, ["norm_url"], ["source_rank", "url"]).drop("norm_url", "source_rank")
+
+
+def diagnostics(results: DataFrame, fetched: DataFrame, wanted: int = 1) -> DataFrame:
+    """One JSON document about a run: pages fetched, pages with hits, hits, and whether there are as many as wanted."""
+    hits = results.agg(F.count_if(F.col("hit_count") > 0).alias("pages_with_hits"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hits"))
+    both = hits.crossJoin(fetched.agg(F.count("*").alias("pages")))  # one row each
+    return both.select(F.to_json(F.struct("pages", "pages_with_hits", "hits", (F.col("hits") >= wanted).alias("ok"))).alias("document"))
+
+
 def related(any_frame: DataFrame, keywords: list[str], expanded: list[str]) -> list[str]:
     """Expanded keywords that stay on topic."""
     if not expanded:
@@ -113,14 +144,14 @@ def run_job(snapshot: DataFrame, keywords: list[str], previous: DataFrame | None
 
 
 def summarize(results: DataFrame, keywords: list[str], model: Callable[[str], str] | None = None) -> DataFrame:
-    """results of a search.  The prompt, and with a model its overview and entries."""
+    """results of a search.  The prompt, or with a model (from messages to text) its overview and entries, null if it fails."""
     snippets = F.transform("hits", lambda h: h["snippet"])
     blocks = results.select("page_id", F.coalesce("published_date", F.lit("")).alias("day"), prompts.summary_block(F.col("page_title"), F.col("url"), F.col("published_date"), snippets).alias("block"))
     order = [F.desc("day"), F.col("page_id")]
     made = prompts.prompt(prompts.within_budget(blocks, order, least=12), order, f"搜索关键词：{'、'.join(keywords)}\n\n")
     if model is None:
         return made
-    answer = model(made.first()["content"])
+    answer = attempt(model, made.select(prompts.messages(prompts.SUMMARY_RULES, F.col("content")).alias("m")).first()["m"])
     said = results.sparkSession.createDataFrame([(answer,)], "answer string")
     return said.select(prompts.overview(F.col("answer")).alias("overview"), prompts.answer_entries(F.col("answer")).alias("entries"))
 

@@ -51,3 +51,22 @@ def test_keywords(spark):
     assert one(spark, text.keyword_union(lists("a", "a"), lists("b", "a"))) == ["a", "a", "b"]
     assert one(spark, text.keyword_list(F.col("v")), " a　b\n") == ["a", "b"]
     assert one(spark, text.looks_scripted(F.col("v")), "x $.AJAX(") is True
+
+
+def test_titles_are_worked_out_once(spark):
+    """The plan names each pattern a few times, not once for each use of a title."""
+    from loomweb.functions import text, urls
+
+    rows = spark.createDataFrame([(["x"], "m", "t", "http://h/a")], "headings array<string>, main string, title string, url string")
+    plan = rows.select(text.display_title(F.col("headings"), F.col("main"), F.col("title"), F.lit("/a"), F.col("url")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") + plan.count("regexp_replace") < 100
+    plan = rows.select(urls.normalize(F.col("url")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 12 and plan.count("regexp_replace") < 12
+
+
+def test_pages_are_parsed_once(spark):
+    from loomweb.operators import matching, pages
+
+    rows = spark.createDataFrame([(1, "http://h/a", "<p>a b</p>")], "page_id long, url string, html string")
+    for found in (matching.page_results(matching.match_pages(pages.parsed(rows), ["a"])), pages.same_site_links(pages.links(pages.parsed(rows)))):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [parse_page") <= 1
