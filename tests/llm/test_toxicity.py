@@ -137,7 +137,7 @@ def test_held_out_accuracy(spark):
     hit = [r.toxic for r in scored if r.score >= toxicity.THRESHOLD]
     toxic = sum(r.toxic for r in scored)
     print(f"{sum(hit)} of {toxic} toxic found, {len(hit) - sum(hit)} of {len(scored) - toxic} others")
-    assert toxic > 50 and sum(hit) >= 0.85 * toxic and sum(hit) >= 0.9 * len(hit)
+    assert toxic > 50 and sum(hit) >= 0.9 * toxic and sum(hit) >= 0.9 * len(hit)
     assert len({round(r.score, 6) for r in scored}) > 100
 
 
