@@ -16,27 +16,44 @@ def search_budget(archive: bool) -> dict[str, int]:
     return {"initial_pages": first, "max_pages": most, "timeout_seconds": seconds}
 
 
-def split_windows(rows: DataFrame, start: str, end: str, fits: int = 10) -> DataFrame:
-    """Date windows of [start, end] that hold at most fits rows or one day: win_start, win_end, total.
+MAX_WINDOWS = 60
+
 
-    rows: day (date).  Windows that hold more are halved, all of one generation at once; counts come
-    from one table of rows a day, which has no more rows than the range has days.
+def _window_tree(rows: DataFrame, start: str, end: str, fits: int) -> DataFrame:
+    """All windows that halving [start, end] meets: win_start, win_end, total, leaf, and path, whose order is that in
+    which they are asked for: a window before its halves, the newer half before the older one.
+
+    rows: day (date).  Windows that hold more than fits rows are halved down to one day, all of one generation at
+    once; counts come from one table of rows a day, which has no more rows than the range has days.
     """
     spark = rows.sparkSession
     daily = checkpointed(rows.groupBy("day").agg(F.count("*").alias("n")))
-    now = spark.createDataFrame([(start, end)], "a string, b string").select(F.col("a").cast("date").alias("win_start"), F.col("b").cast("date").alias("win_end"))
+    now = spark.createDataFrame([(start, end, "")], "a string, b string, path string").select(F.col("a").cast("date").alias("win_start"), F.col("b").cast("date").alias("win_end"), "path")
+    leaf = (F.col("total") <= fits) | (F.col("win_start") == F.col("win_end"))
     done = None
     while True:
-        counted = now.join(F.broadcast(daily), F.col("day").between(F.col("win_start"), F.col("win_end")), "left").groupBy("win_start", "win_end").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-        counted = checkpointed(counted)
-        leaf = (F.col("total") <= fits) | (F.col("win_start") == F.col("win_end"))
-        done = counted.filter(leaf) if done is None else done.unionByName(counted.filter(leaf))
-        wide = counted.filter(~leaf)
+        joined = now.join(F.broadcast(daily), F.col("day").between(F.col("win_start"), F.col("win_end")), "left").groupBy("win_start", "win_end", "path")
+        counted = checkpointed(joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("leaf", leaf))
+        done = counted if done is None else done.unionByName(counted)
+        wide = counted.filter(~F.col("leaf"))
         if wide.isEmpty():
             return done
         middle = F.date_add("win_start", F.floor(F.datediff("win_end", "win_start") / 2).cast("int"))
-        halves = F.array(F.struct(F.col("win_start").alias("a"), middle.alias("b")), F.struct(F.date_add(middle, 1).alias("a"), F.col("win_end").alias("b")))
-        now = wide.select(F.explode(halves).alias("w")).select(F.col("w.a").alias("win_start"), F.col("w.b").alias("win_end"))
+        half = lambda a, b, mark: F.struct(a.alias("win_start"), b.alias("win_end"), F.concat("path", F.lit(mark)).alias("path"))
+        halves = F.array(half(F.date_add(middle, 1), F.col("win_end"), "0"), half(F.col("win_start"), middle, "1"))
+        now = wide.select(F.explode(halves).alias("w")).select("w.*")
+
+
+def split_windows(rows: DataFrame, start: str, end: str, fits: int = 10) -> DataFrame:
+    """Date windows of [start, end] that hold at most fits rows or one day: win_start, win_end, total."""
+    return _window_tree(rows, start, end, fits).filter("leaf").select("win_start", "win_end", "total")
+
+
+def window_visits(rows: DataFrame, start: str, end: str, fits: int = 10, most: int = MAX_WINDOWS) -> DataFrame:
+    """The windows that a source reads whose first page holds fits rows, after at most that many requests, split ones
+    included: n (the request), win_start, win_end, total, and overflow (a single day with more rows than fit)."""
+    asked = _window_tree(rows, start, end, fits).withColumn("n", F.row_number().over(Window.orderBy("path")))  # at most two windows a day
+    return asked.filter((F.col("n") <= most) & F.col("leaf")).select("n", "win_start", "win_end", "total", (F.col("total") > fits).alias("overflow"))
 
 
 def scan_until_old(rows: DataFrame, cutoff: str) -> DataFrame:

@@ -484,6 +484,20 @@ def run_diagnostics(spark, sf_dir):
 RUN_DIAGNOSTICS = """SELECT '{"pages":' || count(*) || ',"pages_with_hits":' || count(*) FILTER (page_id % 4 > 0) || ',"hits":' || sum(page_id % 4) || ',"ok":true}' AS document FROM pages"""
 
 
+def window_visits(spark, sf_dir):
+    """The windows of a month of events that 20 requests read, newest first."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+    text_of = lambda day: F.date_format(day, "yyyy-MM-dd").alias(day)
+    return planning.window_visits(rows, "2024-01-01", "2024-01-30", 1000, 20).select("n", text_of("win_start"), text_of("win_end"), "total", "overflow")
+
+
+WINDOW_VISITS = """WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day FROM events), w AS (
+  SELECT DATE '2024-01-01' AS a, DATE '2024-01-30' AS b, '' AS path
+  UNION ALL SELECT unnest([a + CAST((b - a) // 2 AS INT) + 1, a]), unnest([b, a + CAST((b - a) // 2 AS INT)]), unnest([path || '0', path || '1']) FROM w WHERE a < b AND (SELECT count(*) FROM d WHERE day BETWEEN a AND b) > 1000)
+, t AS (SELECT *, (SELECT count(*) FROM d WHERE day BETWEEN a AND b) AS total, row_number() OVER (ORDER BY path) AS n FROM w)
+SELECT n, strftime(a, '%Y-%m-%d') AS win_start, strftime(b, '%Y-%m-%d') AS win_end, total, total > 1000 AS overflow FROM t WHERE n <= 20 AND (a = b OR total <= 1000)"""
+
+
 QUERIES = {
     "count_gate": count_gate, "window_requests": window_requests, "hub_articles": hub_articles,
     "notice_titles": notice_titles, "notice_summaries": notice_summaries, "notice_dates": notice_dates, "snippets": snippets, "keyword_sets": keyword_sets, "jobs_due": jobs_due, "since_filter": since_filter,
@@ -500,5 +514,5 @@ ORACLES = {
     "entry_cards": ENTRY_CARDS, "summary_prompt": SUMMARY_PROMPT, "model_answers": MODEL_ANSWERS, "nearest_vectors": NEAREST_VECTORS, "upserted": UPSERTED, "job_table": JOB_TABLE,
     "cache_entries": CACHE_ENTRIES, "page_counts": PAGE_COUNTS,
 }
-QUERIES |= {"prompt_messages": prompt_messages, "start_page_errors": start_page_errors, "page_merge": page_merge, "run_diagnostics": run_diagnostics}
-ORACLES |= {"prompt_messages": PROMPT_MESSAGES, "start_page_errors": START_PAGE_ERRORS, "page_merge": PAGE_MERGE, "run_diagnostics": RUN_DIAGNOSTICS}
+QUERIES |= {"window_visits": window_visits, "prompt_messages": prompt_messages, "start_page_errors": start_page_errors, "page_merge": page_merge, "run_diagnostics": run_diagnostics}
+ORACLES |= {"window_visits": WINDOW_VISITS, "prompt_messages": PROMPT_MESSAGES, "start_page_errors": START_PAGE_ERRORS, "page_merge": PAGE_MERGE, "run_diagnostics": RUN_DIAGNOSTICS}
