@@ -145,6 +145,8 @@ def _pseudo(pool: DataFrame, learner: str, kinds: dict[float, int]) -> DataFrame
     given = pool.filter(F.col(f"for_{learner}").isNotNull()).withColumn("label", F.col(f"for_{learner}"))
     if learner == "metadata":
         given = with_metadata(given.groupBy("label", "page").agg(F.sum("weight").alias("weight"))).coalesce(1)
+    # Stored: a fit sends its rows' lineage, with the models that made them, to all tasks of each iteration.
+    given = written(given.select("label", "weight", learner), f"quality-for-{learner}")
     n = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     scale = F.lit(0.0)
     for kind, count in n.items():
