@@ -133,8 +133,9 @@ def normalize(url: Column) -> Column:
     gone, query sorted by key (equal keys keep their order); '' if it can't be taken apart."""
     part = lambda x, n: F.regexp_extract(x, "(?s)" + _SPLIT, n)
     split = _let(_clean(url), lambda x: F.struct(F.lower(part(x, 1)).alias("scheme"), part(x, 2).alias("netloc"), part(x, 3).alias("path"), part(x, 4).alias("query")))
-    at = lambda x: F.regexp_replace(x["netloc"], "^.*@", "")
-    return _let(_let(split, lambda x: F.struct(x.alias("url"), at(x).alias("at"), _host_of(at(x)).alias("host"), _port_of(at(x)).alias("port"))), _normalized)
+    with_at = _let(split, lambda x: F.struct(x.alias("url"), F.regexp_replace(x["netloc"], "^.*@", "").alias("at")))
+    whole = _let(with_at, lambda x: F.struct(x["url"].alias("url"), x["at"].alias("at"), _host_of(x["at"]).alias("host"), _port_of(x["at"]).alias("port")))
+    return _let(whole, _normalized)
 
 
 def _normalized(x: Column) -> Column:
