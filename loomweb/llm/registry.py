@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomweb.llm import bpe, chat_format, decontaminate, filter_audit, license_scan, media, pii, quality, simhash, toxicity, url_rules
+from loomweb.llm import bpe, chat_format, decontaminate, exact_dedup, filter_audit, license_scan, media, pii, quality, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
     "op5_chat_format": chat_format.OP5_SQL,
     "op7_url_filter": url_rules.OP7_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
