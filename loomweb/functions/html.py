@@ -13,24 +13,38 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame image isindex nextid spacer".split())
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta",
+    "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex",
+    "nextid", "spacer",
+))
 HIDDEN_STRINGS = frozenset(("script", "style", "template"))
 # What is noise in a page, where its main text may be, and what marks dates, searches,
 # categories, feeds and pagination.
-NOISE_TAGS = frozenset("script style noscript nav header footer aside".split())
-NOISE_CLASSES = frozenset("nav navbar footer sidebar advert ad login top banner crumbs breadcrumb location path toolbar share related recommend hot links".split())
+NOISE_TAGS = frozenset(("script", "style", "noscript", "nav", "header", "footer", "aside"))
+NOISE_CLASSES = frozenset((
+    "nav", "navbar", "footer", "sidebar", "advert", "ad", "login", "top", "banner", "crumbs", "breadcrumb",
+    "location", "path", "toolbar", "share", "related", "recommend", "hot", "links",
+))
 MAIN_TAGS = ("article", "main")
-MAIN_CLASSES = frozenset("article-content content-main article_body detail-content detail info-detail article-detail news-content bulletin-content con_text text_content info_content content_box".split())
-MAIN_IDS = frozenset("content detail mainContent article".split())
-DATE_NAMES = frozenset("article:published_time date pubdate dc.date citation_date dc.date.issued dcterms.issued publish-date release_date".split())
+MAIN_CLASSES = frozenset((
+    "article-content", "content-main", "article_body", "detail-content", "detail", "info-detail",
+    "article-detail", "news-content", "bulletin-content", "con_text", "text_content", "info_content",
+    "content_box",
+))
+MAIN_IDS = frozenset(("content", "detail", "mainContent", "article"))
+DATE_NAMES = frozenset((
+    "article:published_time", "date", "pubdate", "dc.date", "citation_date", "dc.date.issued",
+    "dcterms.issued", "publish-date", "release_date",
+))
 DATE_CLASS = re.compile("time|date|pub|publish", re.IGNORECASE)
-UNSEEN_PARENTS = frozenset("script style noscript a title".split())
-SEARCH_NAMES = frozenset("q s key keyword keywords query searchcontent".split())
+UNSEEN_PARENTS = frozenset(("script", "style", "noscript", "a", "title"))
+SEARCH_NAMES = frozenset(("q", "s", "key", "keyword", "keywords", "query", "searchcontent"))
 SEARCH_WORDS = ("搜索", "检索", "search")
 CATEGORY_WORDS = ("新闻", "资讯", "公告", "采购", "攻略", "法规", "信息公开", "news", "article", "notice", "guide")
 SCRIPT_SEARCH = re.compile(r"""['"]([^'"]*(?:search|find|query)[^'"]*?)\?(q|s|key|keyword|keywords|query|searchContent)=""", re.IGNORECASE)
 PAGE_WORDS = frozenset(("下一页", "下页", "上一页", "上页", ">", "»", "<", "«"))
-PAGE_KEYS = frozenset("page p currpage currentpage pageindex pageno".split())
+PAGE_KEYS = frozenset(("page", "p", "currpage", "currentpage", "pageindex", "pageno"))
 PAGE_PATH = re.compile(r"(?:^|[/_-])(?:page|p)(?:[/_-]?\d+)(?:\.[a-z0-9]+)?/?$", re.IGNORECASE)
 PAGE_MARK = re.compile(r"(?:^|[\s_-])(?:pagination|pager|pages?|page[-_]?nav)(?:$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
