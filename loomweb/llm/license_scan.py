@@ -9,7 +9,8 @@ template's bigrams; and a text or unit is looked at only if it has one of the wo
 of a template's bigrams are left to reach t.
 
 Defined results: null or empty text, or one without a match: no licences, dice null; ties: the
-template named first, the window that starts first; repeated rows: judged row by row; other columns are ignored.
+template named first, the window that starts first; a window is reported besides a line,
+paragraph or text that it equals; repeated rows: judged row by row; other columns are ignored.
 """
 
 from __future__ import annotations

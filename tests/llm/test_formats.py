@@ -56,6 +56,7 @@ def dice(a, b):
 
 
 def test_licences_equal_brute_force(spark):
+    """Lines, paragraphs and texts; windows, which are reported besides, have a test of their own."""
     rng = random.Random(2)
     grams = {n: set(license_scan.template_bigrams(t)) for n, t in license_scan.TEMPLATES.items()}
     texts = [None, "", "MIT", "plain text", "Released under the MIT License."]
@@ -64,7 +65,7 @@ def test_licences_equal_brute_force(spark):
             words = [w if rng.random() >= share else "edit" for w in template.split()]
             texts += [" ".join(words).upper(), f"head line\n{' '.join(words)}\n\ntail of it", f"{'filler ' * 30}\n\n{' '.join(words[: len(words) // 2])}\n{' '.join(words[len(words) // 2 :])}\n\nend"]
     frame = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, license string")
-    got = {r.doc_id: {(m.kind, m.position, m.license, round(m.dice, 9)) for m in r.matches} for r in license_scan.scan_licenses(frame).collect()}
+    got = {r.doc_id: {(m.kind, m.position, m.license, round(m.dice, 9)) for m in r.matches if m.kind != "window"} for r in license_scan.scan_licenses(frame).collect()}
     import re
 
     for i, t in enumerate(texts):
