@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomweb.llm import bpe, chat_format, decontaminate, exact_dedup, filter_audit, license_scan, media, pii, quality, simhash, toxicity, url_rules
+from loomweb.llm import bpe, chat_format, decontaminate, exact_dedup, filter_audit, license_scan, media, pii, quality, simhash, token_alignment, toxicity, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
