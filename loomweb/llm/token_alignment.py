@@ -6,15 +6,14 @@ each A token two bisections stab that index: the first B token that ends after i
 that starts before its end; those between overlap it, and each such pair of occurrences is a link.  A gap between
 two B tokens that no A token spans is the border of a group.
 
-Neither tokenizer looks across a space that stands between two visible characters: A's pattern starts a
-piece at such a space, and no piece of B has its mark of a space after another character (segmentable() checks
-that).  Texts are cut there, each distinct segment of a batch is encoded and aligned once, and frequent ones are
-kept, so a text is put together from segments.
+Neither tokenizer looks across a space or a line end that stands between two visible characters: A's pattern starts
+a piece there, and no piece of B has either after another character (segmentable() checks that).  Texts are cut
+there into segments, and each distinct segment is encoded and aligned once for many texts; a bounded number of them is kept.
 
-How often two ids are linked in the corpus is counted in one pass, in the tasks first.  The second pass adds up the
-counts for each text.  Pairs of more than one in HOT_LINKS of all links, which are fewer than HOT_LINKS whatever the
-corpus, are broadcast as arrays; the other links of a text, none of whose pairs is hot, join their counts.  A B id's highest
-count is broadcast too, a row for each id of the vocabulary.
+One pass encodes, and stores each text's distinct pairs of linked ids and how often each occurs.  Their
+corpus-wide counts are summed up from there, in the tasks first, and a last pass adds them up for each text.  Pairs of more
+than one in HOT_LINKS of all links, which are fewer than HOT_LINKS whatever the corpus, are broadcast as arrays; the other
+pairs of a text, none of which is hot, join their counts.  A B id's highest count is broadcast, a row for each id.
 
 Defined results: null and empty texts, and texts that either tokenizer does not give back as they are: no tokens, all
 counts 0 and no groups; repeated rows and ids: each row counts and has a result; texts are read whole; no rows: no rows;
@@ -26,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -40,7 +38,9 @@ from loomweb.llm.shared import new_folder, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments kept by a task, and the longest that is kept.
-CACHED, CACHED_CHARS = 1 << 16, 48
+CACHED, CACHED_CHARS = 1 << 18, 48
+#: Characters of distinct segments that are encoded as one string.
+JOINED_CHARS = 20_000
 HOT_LINKS = 1 << 19
 #: A pair of ids as one number: A's id times this plus B's.
 WIDTH = 1 << 20
@@ -67,6 +67,7 @@ class TokenizerA:
             self.bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Tokens of texts, as they are."""
         return [e.ids for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -79,12 +80,13 @@ class TokenizerB:
         self.bytes = [bytes([int(self.inner.id_to_piece(i)[1:-1], 16)]) if self.inner.is_byte(i) else self.inner.id_to_piece(i).replace("▁", " ").encode() for i in ids]
 
     def segmentable(self) -> bool:
-        """Whether no piece has a space after another character."""
-        return not any(b" " in token.lstrip(b" ") for token in self.bytes)
+        """Whether no piece has a space after another character, or a line end beside another."""
+        return not any(b" " in token.lstrip(b" ") or (b"\n" in token and len(token) > 1) for token in self.bytes)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """texts: each with a space before it, which the tokenizer adds itself."""
-        return self.inner.encode([t[1:] for t in texts], num_threads=1)
+        """Tokens of texts; the tokenizer adds a space itself, which is the text's own, or a token of its own before a line end."""
+        found = self.inner.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
+        return [x if t[:1] == " " else x[1:] for x, t in zip(found, texts, strict=True)]
 
 
 def is_visible(c: str) -> bool:
@@ -92,12 +94,17 @@ def is_visible(c: str) -> bool:
 
 
 def segments(text: str) -> list[str]:
-    """text, which starts with a space, cut before each space between two visible characters."""
-    words = text.split(" ")
-    if all(words[1:]) and all(is_visible(w[0]) and is_visible(w[-1]) for w in words[1:]):
-        return [" " + w for w in words[1:]]
-    starts = [1] + [k for k in range(2, len(words)) if words[k] and is_visible(words[k][0]) and words[k - 1] and is_visible(words[k - 1][-1])]
-    return [" " + " ".join(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+    """text, which starts with a space, cut before each single space or line end between two visible characters."""
+    marked = text.replace("\n", " \n")  # a segment's own first character is the one after the space, if that is a line end
+    words = marked.split(" ")
+    if text.replace("\n", "").isprintable() and all(words[1:]) and "\n" not in words:
+        return [w if w[0] == "\n" else " " + w for w in words[1:]]
+    found, start = [], 0
+    for k in range(2, len(text) - 1):
+        if text[k] in " \n" and is_visible(text[k - 1]) and is_visible(text[k + 1]):
+            found.append(text[start:k])
+            start = k
+    return [*found, text[start:]]
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,81 +117,140 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return first, last, np.cumsum(change)[: len(b)] == 0
 
 
-@dataclass
 class Segments:
     """What is known of each distinct segment, by its place."""
 
-    place: dict[str, int] = field(default_factory=dict)
-    valid: list[bool] = field(default_factory=list)
-    #: Tokens of A and of B, groups and links.
-    sizes: list[tuple[int, int, int, int]] = field(default_factory=list)
-    groups: list[str] = field(default_factory=list)
-    pairs: list[np.ndarray] = field(default_factory=list)
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.valid = np.zeros(0, bool)
+        #: Tokens of A and of B, groups and links.
+        self.sizes = np.zeros((0, 4), np.int64)
+        #: Groups as text, each with a semicolon after it.
+        self.groups: list[str] = []
+        self.pairs = np.zeros(0, np.int64)
+
+    def add(self, new: list[str], valid: np.ndarray, sizes: np.ndarray, groups: list[str], pairs: np.ndarray) -> None:
+        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.valid, self.sizes = np.concatenate([self.valid, valid]), np.concatenate([self.sizes, sizes])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.groups += groups
 
 
 class Aligner:
     def __init__(self, a: str, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = TokenizerA(a), TokenizerB(b)
-        self.a_size = np.array([len(t) for t in self.a.bytes], np.int64)
-        self.b_size = np.array([len(t) for t in self.b.bytes], np.int64)
+        self.size = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
+        # An id as text with what follows it: inside a group, and at the end of its side of a group.
+        self.inside, self.last = ([np.array([f"{i}{end}" for i in range(len(t.bytes))], object) for t, end in ends] for ends in (((self.a, ","), (self.b, ",")), ((self.a, "|"), (self.b, ";"))))
         self.cut = segments if self.b.segmentable() else lambda text: [text]
-        self.known, self.added = Segments(), 0
+        self.known = Segments()
 
     def forget(self) -> None:
         """Keeps the number of segments in memory bounded, between batches."""
-        if len(self.known.sizes) > CACHED:
+        if len(self.known.groups) > CACHED:
             self.known = Segments()
 
+    def encode_each(self, new: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of A and how many each segment has, the same for B, none for a segment that either does not give back as it is;
+        and which segments they do."""
+        ids = [t.encode(new) for t in (self.a, self.b)]
+        valid = [all(b"".join([t.bytes[i] for i in x]) == s.encode() for t, x in zip((self.a, self.b), (x, y), strict=True)) for s, x, y in zip(new, *ids, strict=True)]
+        kept = [[x if v else [] for x, v in zip(side, valid, strict=True)] for side in ids]
+        return [np.array(x, np.int64) for side in kept for x in (list(chain.from_iterable(side)), [len(y) for y in side])], valid
+
+    def encode_joined(self, new: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The same for segments that may stand one after the other: as one string, which spares both libraries much of a call's work."""
+        whole, ends, found = "".join(new), np.cumsum([len(s.encode()) for s in new]), []
+        for t, size in zip((self.a, self.b), self.size, strict=True):
+            ids = t.encode([whole])[0]
+            reached = np.cumsum(size[ids])
+            at = np.searchsorted(reached, ends)
+            if b"".join([t.bytes[i] for i in ids]) != whole.encode() or (reached[np.minimum(at, len(ids) - 1)] != ends).any():
+                return self.encode_each(new)
+            found += [np.array(ids, np.int64), np.diff(at, prepend=-1)]
+        return found, [True] * len(new)
+
     def learn(self, new: list[str]) -> None:
-        a, b = self.a.encode(new), self.b.encode(new)
-        whole = [s.encode() for s in new]
-        valid = [b"".join([self.a.bytes[i] for i in x]) == w == b"".join([self.b.bytes[i] for i in y]) for x, y, w in zip(a, b, whole, strict=True)]
-        a = [x if v else [] for x, v in zip(a, valid, strict=True)]
-        b = [x if v else [] for x, v in zip(b, valid, strict=True)]
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
-        first, last, ends = overlaps(self.a_size[a_ids], self.b_size[b_ids])
+        odd = [s for s in new if not (s[0] in " \n" and len(s) > 1 and is_visible(s[1]) and is_visible(s[-1]))]
+        plain, found, valid, order = new, [], [], []
+        if odd:
+            apart = set(odd)
+            plain = [s for s in new if s not in apart]
+        for encode, strings in ((self.encode_joined, plain), (self.encode_each, odd)):
+            for part in runs(strings):
+                ids, good = encode(part)
+                found.append(ids)
+                valid += good
+                order += part
+        a_ids, a_count, b_ids, b_count = (np.concatenate(x) for x in zip(*found, strict=True))
+        first, last, ends = overlaps(self.size[0][a_ids], self.size[1][b_ids])
         counts = last - first + 1
         pairs = np.repeat(a_ids * WIDTH, counts) + gather(b_ids, first, counts)
-        a_to, b_to = (np.cumsum([0, *map(len, x)]) for x in (a, b))
-        link_to, ends_to = np.concatenate(([0], np.cumsum(counts)))[a_to], np.concatenate(([0], np.cumsum(ends)))[b_to]
-        # The A tokens of a group end with those that reach its last B token and no further.
-        b_cuts = np.flatnonzero(ends) + 1
-        a_cuts = np.searchsorted(np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])[b_cuts - 1]) + 1
-        a_text, b_text = a_ids.astype(str).tolist(), b_ids.astype(str).tolist()
-        a_from, b_from = np.concatenate(([0], a_cuts[:-1])).tolist(), np.concatenate(([0], b_cuts[:-1])).tolist()
-        names = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip(a_from, a_cuts.tolist(), b_from, b_cuts.tolist(), strict=False)]
-        known, link_to, ends_to = self.known, link_to.tolist(), ends_to.tolist()
-        for k, s in enumerate(new):
-            known.place[s] = len(known.sizes)
-            known.valid.append(valid[k])
-            known.sizes.append((len(a[k]), len(b[k]), ends_to[k + 1] - ends_to[k], link_to[k + 1] - link_to[k]))
-            known.groups.append(";".join(names[ends_to[k] : ends_to[k + 1]]))
-            known.pairs.append(pairs[link_to[k] : link_to[k + 1]].copy())
+        # Tokens in the order of their groups, A's before B's; an A token's group is that of the first B token it overlaps.
+        b_group = np.cumsum(ends) - ends
+        a_group = b_group[first]
+        a_ends = np.append(a_group[1:] != a_group[:-1], True)[: len(a_group)]
+        sort = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        texts = np.concatenate([np.where(e, self.last[k][ids], self.inside[k][ids]) for k, (ids, e) in enumerate(((a_ids, a_ends), (b_ids, ends)))])[sort].tolist()
+        a_to, b_to = (np.concatenate(([0], np.cumsum(n))) for n in (a_count, b_count))
+        cuts = (a_to + b_to).tolist()
+        links = np.diff(np.concatenate(([0], np.cumsum(counts)))[a_to])
+        groups = np.diff(np.concatenate(([0], np.cumsum(ends)))[b_to])
+        self.known.add(order, np.array(valid, bool), np.column_stack([a_count, b_count, groups, links]), ["".join(texts[p:q]) for p, q in zip(cuts, cuts[1:], strict=False)], pairs)
 
     def same_bytes(self, found: list[str]) -> bool:
         """Whether all segments together are what both tokenizers give back."""
         whole = "".join(found).encode()
         return all(b"".join([t.bytes[i] for ids in t.encode(found) for i in ids]) == whole for t in (self.a, self.b))
 
-    def align(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The places of each text's segments; none for a text without tokens."""
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all texts' segments, one text after the other, and how many each text has: none for one without tokens."""
         cut = [self.cut(" " + t) if t else [] for t in texts]
-        new = [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in self.known.place]
+        known = self.known.place
+        new = [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in known]
         if new:
             self.learn(new)
-        out = []
-        for found in cut:
-            places = np.fromiter(map(self.known.place.__getitem__, found), np.int64, len(found))
-            if not all(self.known.valid[p] for p in np.unique(places)):
-                if self.same_bytes(found):
+        counts = np.array([len(x) for x in cut], np.int64)
+        places = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if not self.known.valid[places].all():
+            for k in np.unique(np.repeat(np.arange(len(cut)), counts)[~self.known.valid[places]]).tolist():
+                if self.same_bytes(cut[k]):
                     raise ValueError("tokenizers change parts of a text and give back the whole")
-                places = places[:0]
-            out.append(places)
+                counts[k] = 0
+            keep = np.repeat(counts > 0, [len(x) for x in cut])
+            places = places[keep]
         for s in new:
             if len(s) > CACHED_CHARS:
-                del self.known.place[s]
-        return out
+                del known[s]
+        return places, counts
+
+    def strings(self, places: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The groups of each text as text."""
+        names, to = list(map(self.known.groups.__getitem__, places.tolist())), np.cumsum(np.append(0, counts)).tolist()
+        return ["".join(names[p:q])[:-1] for p, q in zip(to, to[1:], strict=False)]
+
+    def links(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, pair and times: the distinct pairs of linked ids of each text, in order."""
+        n = self.known.sizes[:, 3]
+        flat = gather(self.known.pairs, starts_of(n)[places], n[places])
+        text = np.repeat(np.repeat(np.arange(len(counts)), counts), n[places])
+        return distinct(text, flat, np.ones(len(flat), np.int64))
+
+
+def runs(strings: list[str]) -> Iterator[list[str]]:
+    """Strings in runs of about JOINED_CHARS characters."""
+    part = np.cumsum([len(s) for s in strings]) // JOINED_CHARS if strings else np.zeros(0, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(strings)]
+    yield from (strings[p:q] for p, q in zip(cuts, cuts[1:], strict=False) if p < q)
+
+
+def distinct(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (text, pair) once, with the sum of times; in order."""
+    order = np.lexsort([pair, text])
+    text, pair, times = text[order], pair[order], times[order]
+    starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1]))[: len(text)])
+    return text[starts], pair[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
 _ALIGNERS: dict[int, Aligner] = {}
@@ -219,34 +285,60 @@ def align(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 aligner.forget()
-                places, known = aligner.align(part.column("text").to_pylist()), aligner.known
-                groups = [[dict(zip("ab", ([int(i) for i in x.split(",")] for x in g.split("|")), strict=True)) for p in own for g in known.groups[p].split(";")] for own in places]
+                texts = aligner.strings(*aligner.align(part.column("text").to_pylist()))
+                groups = [[dict(zip("ab", ([int(i) for i in x.split(",")] for x in g.split("|")), strict=True)) for g in t.split(";")] if t else [] for t in texts]
                 pair = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(groups, pa.list_(pair))], names=[*part.schema.names, "groups"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("groups", kind)]))
 
 
-def link_counts(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
-    """pair and n, how many links of all texts hold it; combined in the tasks first."""
+_SIZES = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, counts)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def linked(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256; a, b and times: the distinct pairs of linked ids.  A row for each of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared.value)
         for batch in batches:
-            keys, counts = [], []
             for part in slices(batch):
                 aligner.forget()
-                places = np.concatenate([np.zeros(0, np.int64), *aligner.align(part.column("text").to_pylist())])
-                own, times = np.unique(places, return_counts=True)
-                pairs = [aligner.known.pairs[p] for p in own.tolist()]
-                keys += pairs
-                counts.append(np.repeat(times, [len(p) for p in pairs]))
-            pair, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(pair)).astype(np.int64)
+                places, counts = aligner.align(part.column("text").to_pylist())
+                whose = np.repeat(np.arange(len(counts)), counts)
+                sizes = [np.bincount(whose, c, len(counts)).astype(np.int64) for c in aligner.known.sizes[places].T]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in aligner.strings(places, counts)]
+                text, pair, times = aligner.links(places, counts)
+                n = np.bincount(text, minlength=len(counts))
+                made = [part.column("doc_id"), *map(pa.array, sizes), pa.array(digests, pa.string()), *(_lists(x, n) for x in (pair // WIDTH, pair % WIDTH, times))]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", *_SIZES, "groups_sha256", "a", "b", "times"])
+
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in _SIZES), "groups_sha256 string", "a array<int>", "b array<int>", "times array<int>"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, pair and times of a batch of linked() rows."""
+    a, b, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "times"))
+    n = batch.column("a").value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), n), a * WIDTH + b, times
+
+
+def link_counts(rows: DataFrame) -> DataFrame:
+    """pair and n, how many links of all texts hold it; combined in the tasks first.  rows: linked(), stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, pair, times = _pairs_of(batch)
+            _, pair, n = distinct(np.zeros(len(pair), np.int64), pair, times)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.select("a", "b", "times").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def with_best(counts: DataFrame) -> DataFrame:
@@ -256,55 +348,6 @@ def with_best(counts: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(best, "b").select("pair", "n", (F.col("n") == F.col("best")).alias("is_best"))
 
 
-_COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-_SCORED = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string, rest array<struct<pair: long, times: long>>"
-
-
-def scores(docs: DataFrame, files: tuple[str, bytes], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """A row for each of docs; n_best and count_sum are those of the hot pairs, the other pairs are the rest.  hot: sorted pairs, n, is_best."""
-    shared = docs.sparkSession.sparkContext.broadcast(files)
-    hot_shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (pair, n, is_best) = _aligner(shared.value), hot_shared.value
-        for batch in batches:
-            for part in slices(batch):
-                aligner.forget()
-                places, known = aligner.align(part.column("text").to_pylist()), aligner.known
-                # Sums of each segment that occurs here, then of each text.
-                own, at = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_inverse=True)
-                links = [known.pairs[p] for p in own.tolist()]
-                of = np.repeat(np.arange(len(own)), [len(x) for x in links])
-                flat = np.concatenate([np.zeros(0, np.int64), *links])
-                found = np.minimum(np.searchsorted(pair, flat), max(len(pair) - 1, 0))
-                is_hot = pair[found] == flat if len(pair) else np.zeros(len(flat), bool)
-                count_sum, best = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-                np.add.at(count_sum, of[is_hot], n[found[is_hot]])
-                np.add.at(best, of[is_hot], is_best[found[is_hot]])
-                sizes = np.array([known.sizes[p] for p in own.tolist()], np.int64).reshape(-1, 4)
-                values = np.column_stack([sizes, best, count_sum])
-                cold_of, cold = of[~is_hot], flat[~is_hot]
-                cold_count = np.bincount(cold_of, minlength=len(own))
-                cold_from = starts_of(cold_count)
-                totals, digests, rest = [], [], []
-                to = np.cumsum([0, *map(len, places)])
-                for k, p in enumerate(places):
-                    mine = at[to[k] : to[k + 1]]
-                    totals.append(values[mine].sum(axis=0))
-                    digests.append(hashlib.sha256(";".join([known.groups[x] for x in p.tolist()]).encode()).hexdigest() if len(p) else "")
-                    some = mine[cold_count[mine] > 0]
-                    pairs, times = np.unique(gather(cold, cold_from[some], cold_count[some]), return_counts=True)
-                    rest.append((pairs, times))
-                columns = np.array(totals, np.int64).reshape(-1, 6).T
-                pairs, times = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*rest, strict=True))
-                ends = pa.array(np.cumsum([0, *(len(x) for x, _ in rest)]), pa.int32())
-                cold_pairs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pairs, times], ["pair", "times"]))
-                made = [part.column("doc_id"), *(pa.array(c) for c in columns), pa.array(digests, pa.string()), cold_pairs]
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", *_COUNTS, "groups_sha256", "rest"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCORED)
-
-
 def hot_pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted pairs, n and is_best of the pairs with more than one in HOT_LINKS of all links: fewer than HOT_LINKS."""
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -312,19 +355,40 @@ def hot_pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(rows.column(c).to_numpy() for c in ("pair", "n", "is_best"))
 
 
-def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabularies())
+def scores(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """row, n_best and count_sum of its hot pairs, and rest: its other pairs.  rows: row and the lists of linked()."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_pair, n, is_best = shared.value
+        for batch in batches:
+            text, pair, times = _pairs_of(batch)
+            found = np.minimum(np.searchsorted(hot_pair, pair), max(len(hot_pair) - 1, 0))
+            is_hot = hot_pair[found] == pair if len(hot_pair) else np.zeros(len(pair), bool)
+            sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
+            for out, values in zip(sums, (is_best, n), strict=True):
+                np.add.at(out, text[is_hot], times[is_hot] * values[found[is_hot]])
+            cold = pa.StructArray.from_arrays([pa.array(pair[~is_hot]), pa.array(times[~is_hot])], ["pair", "times"])
+            ends = np.cumsum(np.append(0, np.bincount(text[~is_hot], minlength=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cold)], names=["row", "n_best", "count_sum", "rest"])
+
+    return rows.select("row", "a", "b", "times").mapInArrow(run, "row long, n_best long, count_sum long, rest array<struct<pair: long, times: long>>")
 
 
 def alignment(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
     """doc_id and the counts of the text's tokens, groups and links, a row for each of docs."""
     spark, place = docs.sparkSession, new_folder(docs.sparkSession, "links")
-    with_best(link_counts(docs, files)).write.parquet(f"{place}/counts")
+    linked(docs, files).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{place}/links")
+    links = spark.read.parquet(f"{place}/links")
+    with_best(link_counts(links)).write.parquet(f"{place}/counts")
     counts = spark.read.parquet(f"{place}/counts")
-    hot = hot_pairs(counts)
-    scores(docs, files, hot).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{place}/scores")
+    scores(links, hot_pairs(counts)).write.parquet(f"{place}/scores")
     scored = spark.read.parquet(f"{place}/scores")
     rest = scored.select("row", F.explode("rest").alias("of")).select("row", "of.*").join(counts, "pair")
-    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("more_best"))
-    more = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0))).alias(c)
-    return scored.join(rest, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", more("n_best", "more_best"), more("count_sum", "more_sum"), "groups_sha256")
+    rest = rest.select("row", F.when(F.col("is_best"), F.col("times")).otherwise(0).alias("n_best"), (F.col("times") * F.col("n")).alias("count_sum"))
+    sums = scored.select("row", "n_best", "count_sum").unionByName(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return links.join(sums, "row").select("doc_id", *_SIZES, "n_best", "count_sum", "groups_sha256")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabularies())

@@ -78,7 +78,7 @@ def test_segments_give_the_tokens_of_whole_texts(aligner):
     assert aligner.b.segmentable()
     for text in [t for t in ODD + random_texts(3000) if t]:
         cut = token_alignment.segments(" " + text)
-        assert "".join(cut) == " " + text and all(s[0] == " " for s in cut)
+        assert "".join(cut) == " " + text and all(s[0] in " \n" for s in cut)
         for t in (aligner.a, aligner.b):
             if "▁" not in text or t is aligner.a:
                 assert [i for ids in t.encode(cut) for i in ids] == t.encode([" " + text])[0], text
@@ -121,8 +121,8 @@ def test_few_segments_are_kept(spark, files, aligner, monkeypatch):
     own = token_alignment.Aligner(*files)
     for texts in (["a b c d e f g h i j k l"], ["m n o"], ["x" * 100 + " y"]):
         own.forget()
-        places = own.align(texts)
-        assert sum(own.known.sizes[p][0] for p in places[0].tolist()) == plain(aligner, texts)[0][0]
+        places, _ = own.align(texts)
+        assert own.known.sizes[places, 0].sum() == plain(aligner, texts)[0][0]
     assert len(own.known.place) < 10 and " " + "x" * 100 not in own.known.place
 
 
