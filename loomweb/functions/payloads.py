@@ -127,22 +127,31 @@ def parse_xml(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_xml(x) for x in xml], columns=XML.names)
 
 
-def _addresses(raw: Column) -> Column:
+def addresses(raw: Column) -> Column:
+    """Normalised, each once, in order; without those that can't be."""
     return F.array_distinct(F.filter(F.transform(F.filter(raw, lambda u: u != ""), urls.normalize), lambda u: u != ""))
 
 
 def sitemap_urls(xml: Column) -> Column:
     """The normalised addresses of a sitemap."""
-    return _addresses(parse_xml(xml)["locs"])
+    return addresses(parse_xml(xml)["locs"])
 
 
 def sitemap_index_urls(xml: Column) -> Column:
     """The sitemaps that an index names; none if it is no index."""
-    return _addresses(parse_xml(xml)["sitemaps"])
+    return addresses(parse_xml(xml)["sitemaps"])
+
+
+def tidy_items(items: Column) -> Column:
+    """array<struct<url, title>>: items that have an address, normalised, of equal addresses the first: sorted by address,
+    then the first of each run back in its order."""
+    placed = F.transform(items, lambda x, i: F.struct(F.when(x["url"] != "", urls.normalize(x["url"])).alias("url"), i.alias("at"), x["title"].alias("title")))
+    by_url = F.array_sort(F.filter(placed, lambda x: F.coalesce(x["url"], F.lit("")) != ""))
+    runs = F.transform(F.array(by_url), lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["url"] != x["url"])))
+    ordered = F.array_sort(F.transform(F.get(runs, F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["url"].alias("url"), x["title"].alias("title"))))
+    return F.transform(ordered, lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title")))
 
 
 def feed_items(xml: Column) -> Column:
     """array<struct<url, title>> of the items of a feed (RSS) or its entries (Atom) that have an address, the first of equal ones."""
-    tidy = F.transform(F.filter(parse_xml(xml)["items"], lambda x: x["url"] != ""), lambda x: F.struct(urls.normalize(x["url"]).alias("url"), x["title"].alias("title")))
-    firsts = lambda items: F.filter(items, lambda x, i: (x["url"] != "") & (F.array_position(F.transform(items, lambda y: y["url"]), x["url"]) == i + 1))
-    return F.get(F.transform(F.array(tidy), firsts), F.lit(0))
+    return tidy_items(parse_xml(xml)["items"])

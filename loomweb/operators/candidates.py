@@ -13,17 +13,17 @@ from loomweb.runtime import checkpointed
 STOP_REASONS = {"date-boundary": 10, "provider-page-limit": 20, "channel-failure": 30, "html-page-budget": 40, "time-budget": 50}
 
 
-def merge(candidates: DataFrame) -> DataFrame:
-    """One candidate for each normalised http(s) URL: that of the highest score (the first of equals)
+def merge(candidates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One candidate for each normalised http(s) URL (of equal keys): that of the highest score (the first of equals)
     with the sorted evidence of all, and the date of the last row that raised the score and has one,
     else the first date.  candidates: pos, url, source, score, published_date, source_evidence and others."""
     rows = candidates.withColumn("norm_url", urls.normalize(F.col("url")))
     rows = rows.filter(urls.scheme(F.col("norm_url")).isin("http", "https") & (urls.host(F.col("norm_url")) != ""))
-    before = Window.partitionBy("norm_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "norm_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     date = F.nullif("published_date", F.lit(""))
     rows = rows.withColumn("raises", F.coalesce(F.col("score") > F.max("score").over(before), F.lit(True)))
     rest = [c for c in ("source", "keyword", "title_hint", "score", "requires_render", "section") if c in candidates.columns]
-    merged = rows.groupBy("norm_url").agg(
+    merged = rows.groupBy(*keys, "norm_url").agg(
         F.max_by(F.struct(*rest), F.struct("score", -F.col("pos"))).alias("best"),
         F.coalesce(
             F.max_by(date, F.when(F.col("raises") & date.isNotNull(), F.col("pos"))), F.min_by(date, F.when(date.isNotNull(), F.col("pos")))
@@ -31,7 +31,7 @@ def merge(candidates: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array("source"), F.coalesce("source_evidence", F.array().cast("array<string>"))))))).alias("source_evidence"),
         F.min("pos").alias("pos"),
     )
-    return merged.select("pos", F.col("norm_url").alias("url"), "best.*", "published_date", "source_evidence")
+    return merged.select(*keys, "pos", F.col("norm_url").alias("url"), "best.*", "published_date", "source_evidence")
 
 
 def source_quota(candidates: DataFrame, per_source: int) -> DataFrame:

@@ -59,3 +59,70 @@ def hub_quota(links: DataFrame, per_hub: int = 24) -> DataFrame:
     good = links.filter(urls.is_article(F.col("link"))).groupBy("url", "link").agg(F.min("pos").alias("pos"))
     n = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
     return good.withColumn("n", n).filter(F.col("n") <= per_hub).drop("n")
+
+
+# Hubs that a start page's own links give, and articles of each.
+FIRST_HUBS, HUB_ARTICLES, MOST_PAGES = 2, 24, 5000
+
+
+def hub_first(starts: DataFrame, links: DataFrame, brings: DataFrame, depth: int, most: int = MOST_PAGES, hubs: int = FIRST_HUBS, per_hub: int = HUB_ARTICLES) -> DataFrame:
+    """site, stage, level, place, url, final_url: what a crawl tries, in the order of (stage, level, place).
+
+    First the start page's hubs, by the links' ranks, then their positions; when all of them have come, the articles that
+    each links to, hub by hub, at most so many each, none twice; then level by level all links in the order of their pages.
+    All of them share one budget of pages, failed ones included (final_url null); the first level goes on from
+    the hubs too.  starts: site, url, final_url; links: url (as brought), pos, link (usable ones of the page's own
+    host); brings: link, final_url of links that bring a page of that host.
+
+    All sites go on at once.  The windows over a site see one stage's new links, of which they keep at most a budget's.
+    """
+    start = checkpointed(starts.select("site", F.lit(0).alias("stage"), F.lit(0).alias("level"), F.lit(0).alias("place"), "url", "final_url").filter("final_url IS NOT NULL"))
+    own = start.select("site", F.explode(F.array("url", "final_url")).alias("url")).distinct()
+    budget = start.groupBy("site").agg(F.lit(most - 1).alias("left"))
+
+    def tried(found: DataFrame, stage: int, level: int, left: DataFrame, at_most: int, order: list) -> DataFrame:
+        """found: site, link and order; the first ones that the budget allows, and what they bring."""
+        n = F.row_number().over(Window.partitionBy("site").orderBy(*order))
+        kept = found.withColumn("place", n).filter(F.col("place") <= min(at_most, most)).join(left, "site").filter(F.col("place") <= F.col("left"))
+        rows = kept.join(brings, "link", "left").select("site", F.lit(stage).alias("stage"), F.lit(level).alias("level"), "place", F.col("link").alias("url"), "final_url", *(["hub"] if stage == 2 else []))
+        return checkpointed(rows)
+
+    def without(found: DataFrame, visited: DataFrame) -> DataFrame:
+        return found.join(visited.select("site", F.col("url").alias("link")), ["site", "link"], "left_anti")
+
+    def after(left: DataFrame, made: DataFrame) -> DataFrame:
+        spent = made.groupBy("site").agg(F.count("*").alias("spent"))
+        return checkpointed(left.join(spent, "site", "left").select("site", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")))
+
+    def linked(of: DataFrame) -> DataFrame:
+        return of.filter("final_url IS NOT NULL").select("site", "place", F.col("final_url").alias("url")).join(links, "url")
+
+    first = linked(start).filter(urls.is_hub(F.col("link"))).groupBy("site", "link").agg(F.min(F.struct(urls.link_rank(F.col("link")), "pos")).alias("at"))
+    hub_pages = tried(without(first, own), 1, 0, budget, hubs, ["at"])
+    budget = after(budget, hub_pages)
+    visited = own.unionByName(hub_pages.select("site", "url"))
+
+    good = linked(hub_pages).filter(urls.is_article(F.col("link"))).groupBy("site", F.col("place").alias("hub"), "link").agg(F.min(F.struct(urls.link_rank(F.col("link")), "pos")).alias("at"))
+    good, taken = checkpointed(without(good, visited)), None
+    for hub in range(1, hubs + 1):  # a later hub's share has none of an earlier one's articles
+        more = good.filter(F.col("hub") == hub)
+        if taken is not None:
+            more = more.join(taken.select("site", "link"), ["site", "link"], "left_anti")
+        more = more.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("at"))).filter(F.col("n") <= per_hub).drop("n")
+        taken = more if taken is None else checkpointed(taken.unionByName(more))
+    articles = tried(taken, 2, 0, budget, hubs * per_hub, ["hub", "at"]).drop("hub")
+    budget = after(budget, articles)
+    visited = checkpointed(visited.unionByName(articles.filter("final_url IS NOT NULL").select("site", F.col("final_url").alias("url"))).distinct())
+
+    out, current = start.unionByName(hub_pages).unionByName(articles), start
+    for level in range(1, depth + 1):
+        found = linked(current).groupBy("site", "link").agg(F.min(F.struct("place", "pos")).alias("at"))
+        made = tried(without(found, visited), 3, level, budget, most, ["at"])
+        out = out.unionByName(made)
+        if level == depth:
+            break
+        budget, visited = after(budget, made), checkpointed(visited.unionByName(made.select("site", "url")))
+        current = made if level > 1 else made.unionByName(hub_pages.withColumn("place", F.col("place") + most))
+        if current.isEmpty():
+            break
+    return out

@@ -56,23 +56,39 @@ def window_visits(rows: DataFrame, start: str, end: str, fits: int = 10, most: i
     return asked.filter((F.col("n") <= most) & F.col("leaf")).select("n", "win_start", "win_end", "total", (F.col("total") > fits).alias("overflow"))
 
 
-def scan_until_old(rows: DataFrame, cutoff: str) -> DataFrame:
-    """Rows of list pages up to the page where a scan stops: the first that has a row older than cutoff
-    while all dates so far have come in falling order.  rows: keyword, page, pos, day (string or null).
-
-    Rows older than cutoff go; a row without a date stays.  Adds stopped_at, the keyword's last page.
-    """
+def _dated(rows: DataFrame, cutoff: str) -> DataFrame:
+    """rows with d, their valid day, rises (later than the one before) and old (before cutoff)."""
     valid = F.when(F.rlike("day", F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_date("day", "yyyy-MM-dd"))
-    order = Window.partitionBy("keyword").orderBy("page", "pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("keyword").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, -1)
     dated = rows.withColumn("d", valid)
-    dated = dated.withColumn("rises", F.coalesce(F.col("d") > F.last("d", ignorenulls=True).over(before), F.lit(False)))
-    pages = dated.groupBy("keyword", "page").agg(F.max("rises").alias("rises"), F.max(F.coalesce(F.col("d") < F.lit(cutoff).cast("date"), F.lit(False))).alias("old"))
+    rises = F.coalesce(F.col("d") > F.last("d", ignorenulls=True).over(before), F.lit(False))
+    return dated.withColumns({"rises": rises, "old": F.coalesce(F.col("d") < F.lit(cutoff).cast("date"), F.lit(False))})
+
+
+def _stops(dated: DataFrame) -> DataFrame:
+    pages = dated.groupBy("keyword", "page").agg(F.max("rises").alias("rises"), F.max("old").alias("old"))
     so_far = Window.partitionBy("keyword").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.min(F.when(F.col("ends"), F.col("page")))
     pages = pages.withColumn("ends", F.col("old") & ~F.max("rises").over(so_far))
-    stops = pages.groupBy("keyword").agg(F.coalesce(F.min(F.when(F.col("ends"), F.col("page"))), F.max("page")).alias("stopped_at"))
-    kept = dated.join(stops, "keyword").filter((F.col("page") <= F.col("stopped_at")) & (F.col("d").isNull() | (F.col("d") >= F.lit(cutoff).cast("date"))))
-    return kept.drop("d", "rises")
+    return pages.groupBy("keyword").agg(F.coalesce(end, F.max("page")).alias("stopped_at"), end.isNotNull().alias("by_date"))
+
+
+def list_stops(rows: DataFrame, cutoff: str) -> DataFrame:
+    """keyword, stopped_at (the last page that a scan of its list reads) and by_date (whether an old row ends it).
+
+    A scan stops after the first page that has a row older than cutoff while all dates so far have come in falling
+    order.  rows: keyword, page, pos, day (string or null)."""
+    return _stops(_dated(rows, cutoff))
+
+
+def scan_until_old(rows: DataFrame, cutoff: str) -> DataFrame:
+    """Rows of list pages up to the page where a scan stops, see list_stops().
+
+    Rows older than cutoff go; a row without a date stays.  Adds stopped_at, the keyword's last page.
+    """
+    dated = _dated(rows, cutoff)
+    kept = dated.join(_stops(dated).drop("by_date"), "keyword").filter((F.col("page") <= F.col("stopped_at")) & ~F.col("old"))
+    return kept.drop("d", "rises", "old")
 
 
 def fetch_batches(candidates: DataFrame, first: int, most: int, failed: DataFrame) -> DataFrame:

@@ -109,5 +109,38 @@ def stream_delta(line: Column) -> Column:
     return F.nullif(F.get_json_object(F.when(F.is_valid_utf8(data) & (data != "[DONE]"), data), "$.choices[0].delta.content"), F.lit(""))
 
 
+def answer_events(lines: DataFrame, fallback: Column | None = None) -> DataFrame:
+    """answer_id, n, event: what a reader of a streamed answer is sent, in the order of n.
+
+    lines: answer_id, seq, line (as the model's server sent it) and failure (null, or why the stream broke off there), in
+    any order.  Each text that a line adds is a delta; nothing after the end mark or a failure counts.  A failure is an
+    error event, and the last one; else the parsed answer follows, its overview and entries (fallback's where it has
+    none, an array as answer_entries() gives), and then done.  A stream without an end mark ends with its last line.
+
+    The windows over an answer see its lines, which a model's longest answer bounds.
+    """
+    own = Window.partitionBy("answer_id")
+    is_end = F.startswith("line", F.lit("data:")) & (F.trim(F.substr("line", F.lit(6))) == "[DONE]")
+    stop = F.min(F.when(is_end | F.col("failure").isNotNull(), F.col("seq"))).over(own)
+    # The line that ends a stream stays, so that an answer without any text is not lost.
+    read = lines.withColumns({"delta": stream_delta(F.col("line")), "stop": stop}).filter(F.col("stop").isNull() | (F.col("seq") <= F.col("stop")))
+    read = read.withColumn("delta", F.when(F.col("stop").isNull() | (F.col("seq") < F.col("stop")), F.col("delta")))
+    n = F.row_number().over(own.orderBy(F.col("delta").isNull(), "seq"))
+    deltas = read.filter("delta IS NOT NULL").withColumn("n", n).select("answer_id", "n", event(F.struct(F.lit("delta").alias("type"), F.col("delta").alias("text"))).alias("event"))
+    whole = read.groupBy("answer_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("seq", "delta")))), lambda x: x["delta"]), "").alias("answer"),
+        F.count("delta").cast("int").alias("n_deltas"),
+        F.max(F.when(F.col("seq") == F.col("stop"), F.col("failure"))).alias("failure"),
+    )
+    found = answer_entries(F.col("answer"))
+    some = F.size(found) > 0
+    entries = found if fallback is None else F.when(some, found).otherwise(fallback)
+    first = F.when(some, overview(F.col("answer"))).otherwise(text.strip(F.col("answer")))
+    parsed = event(F.struct(F.lit("parsed").alias("type"), first.alias("overview"), entries.alias("entries")))
+    last = F.when(F.col("failure").isNotNull(), F.array(event(F.struct(F.lit("error").alias("type"), F.col("failure").alias("message"))))).otherwise(F.array(parsed, event(F.struct(F.lit("done").alias("type")))))
+    tail = whole.select("answer_id", "n_deltas", F.posexplode(last).alias("k", "event")).select("answer_id", (F.col("n_deltas") + F.col("k") + 1).alias("n"), "event")
+    return deltas.unionByName(tail)
+
+
 def event(row: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(row), F.lit("\n\n"))

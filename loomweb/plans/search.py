@@ -6,6 +6,7 @@ from messages to text.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from loomweb.functions import text, urls
 from loomweb.operators import candidates, graph, jobs, matching, pages, planning, prompts
 from loomweb.runtime import checkpointed
 
+log = logging.getLogger(__name__)
+
 PROFILES_WITH_RECALL = ("freecms",)
 
 
@@ -61,6 +64,7 @@ def attempt(model: Callable, *args):
     try:
         return model(*args)
     except Exception:  # noqa: BLE001 - whatever the callable raises, the search's own results stand
+        log.warning("a model failed; the search goes on without it", exc_info=True)
         return None
 
 
@@ -157,10 +161,11 @@ def summarize(results: DataFrame, keywords: list[str], model: Callable[[str], st
 
 
 def ask(results: DataFrame, keywords: list[str], question: str) -> DataFrame:
-    """The prompt that answers a question from the found pages' main texts."""
+    """n_blocks, content and messages: the prompt that answers a question from the found pages' main texts, and with its instructions."""
     blocks = results.select("page_id", prompts.question_block(F.col("page_title"), F.col("url"), F.col("main_text")).alias("block"))
     kept = prompts.within_budget(blocks, ["page_id"], least=10)
-    return prompts.prompt(kept, ["page_id"], f"搜索关键词：{'、'.join(keywords)}\n\n", f"\n问题：{question}")
+    made = prompts.prompt(kept, ["page_id"], f"搜索关键词：{'、'.join(keywords)}\n\n", f"\n问题：{question}")
+    return made.withColumn("messages", prompts.messages(prompts.ASK_RULES, F.col("content")))
 
 
 def entries(results: DataFrame) -> DataFrame:
