@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +39,11 @@ from loomweb.llm.shared import new_folder, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments kept by a task, and the longest that is kept.
-CACHED, CACHED_CHARS = 1 << 18, 48
+CACHED, CACHED_CHARS = 1 << 17, 48
 #: Characters of distinct segments that are encoded as one string.
 JOINED_CHARS = 20_000
 HOT_LINKS = 1 << 19
+ROWS_AT_ONCE = 1000
 #: A pair of ids as one number: A's id times this plus B's.
 WIDTH = 1 << 20
 
@@ -296,12 +298,14 @@ def align(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
 _SIZES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, counts)), pa.int32()), pa.array(values, pa.int32()))
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each text's values as the bytes of 32-bit integers: one value a row for Spark to carry, not thousands."""
+    ends = pa.py_buffer((4 * np.cumsum(np.append(0, counts))).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, pa.py_buffer(values.astype(np.int32))])
 
 
 def linked(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256; a, b and times: the distinct pairs of linked ids.  A row for each of docs."""
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256; a, b and times: the distinct pairs of linked ids, packed.  A row for each of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,25 +319,31 @@ def linked(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in aligner.strings(places, counts)]
                 text, pair, times = aligner.links(places, counts)
                 n = np.bincount(text, minlength=len(counts))
-                made = [part.column("doc_id"), *map(pa.array, sizes), pa.array(digests, pa.string()), *(_lists(x, n) for x in (pair // WIDTH, pair % WIDTH, times))]
+                made = [part.column("doc_id"), *map(pa.array, sizes), pa.array(digests, pa.string()), *(_packed(x, n) for x in (pair // WIDTH, pair % WIDTH, times))]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", *_SIZES, "groups_sha256", "a", "b", "times"])
 
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in _SIZES), "groups_sha256 string", "a array<int>", "b array<int>", "times array<int>"])
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in _SIZES), "groups_sha256 string", "a binary", "b binary", "times binary"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, pair and times of a batch of linked() rows."""
-    a, b, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "times"))
-    n = batch.column("a").value_lengths().to_numpy(zero_copy_only=False)
+    a, b, times = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).astype(np.int64) for c in ("a", "b", "times"))
+    n = pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False) // 4
     return np.repeat(np.arange(batch.num_rows), n), a * WIDTH + b, times
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
 def link_counts(rows: DataFrame) -> DataFrame:
     """pair and n, how many links of all texts hold it; combined in the tasks first.  rows: linked(), stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             _, pair, times = _pairs_of(batch)
             _, pair, n = distinct(np.zeros(len(pair), np.int64), pair, times)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
@@ -361,7 +371,7 @@ def scores(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_pair, n, is_best = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             text, pair, times = _pairs_of(batch)
             found = np.minimum(np.searchsorted(hot_pair, pair), max(len(hot_pair) - 1, 0))
             is_hot = hot_pair[found] == pair if len(hot_pair) else np.zeros(len(pair), bool)
