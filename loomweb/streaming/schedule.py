@@ -44,7 +44,7 @@ class JobTimers(StatefulProcessor):
         kind, hours, minute, enabled, last = job
         if not enabled:
             return None
-        at = next_time(kind, hours, minute, last, now)
+        at = max(now, next_time(kind, hours, minute, last, now))
         self.handle.registerTimer(at)
         return at
 
