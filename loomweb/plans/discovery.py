@@ -4,6 +4,8 @@ of pages that is widened once, with every counter of the run.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,10 +39,11 @@ class Discovery:
 
 
 def gathered(sources: list[DataFrame]) -> DataFrame:
-    """The candidates of several sources (see providers.Found) in the sources' order, with pos."""
+    """The candidates of several sources (see providers.Found) in the sources' order, with pos, one number of source, request
+    (65,536 by 65,536 at most, far above any limit) and place in a document (16 million at most)."""
     every = None
     for k, rows in enumerate(sources):
-        rows = rows.select("site", "url", "source", "keyword", "title_hint", "score", "published_date", F.struct(F.lit(k).alias("batch"), F.col("at.seq").alias("seq"), F.col("at.place").alias("place"), F.col("at.pos").alias("pos")).alias("pos"))
+        rows = rows.select("site", "url", "source", "keyword", "title_hint", "score", "published_date", (F.lit(k << 56) + F.shiftleft(F.col("at.seq").cast("long"), 40) + F.shiftleft(F.col("at.place").cast("long"), 24) + F.col("at.pos")).alias("pos"))
         every = rows if every is None else every.unionByName(rows)
     return every.withColumn("source_evidence", F.array("source"))
 
@@ -115,23 +118,79 @@ COUNTERS = (
 )
 
 
+# Sources whose rows have dates, so that one without counts as unknown.
+DATED_SOURCES = ("site-search-api", "freecms-recent", "yngp", "yunnan-cms")
+ERRORS = ("unreachable", "status", "no target", "too many redirects", "not allowed", "loop")
+
+
+@dataclass
 class Counted:
-    """Counters of one search that come with the jobs it runs anyway: each node of its plan is observed, so no row is read
-    again to be counted.  A node's figures are there once an action has run it."""
+    """A search and its COUNTERS."""
 
-    def __init__(self):
-        self.nodes: dict[str, Observation] = {}
+    discovery: Discovery
+    counters: dict
 
-    def observe(self, name: str, rows: DataFrame, *metrics: Column) -> DataFrame:
-        self.nodes[name] = Observation(name)
-        return rows.observe(self.nodes[name], *metrics)
 
-    def visits(self, source: str, found: Found) -> Found:
-        """A source's visits and candidates, stored once, with their figures."""
-        of = lambda c: F.coalesce(c, F.lit(0))
-        seen = self.observe(f"visits {source}", found.visits, of(F.count_if("granted")).alias("tried"), of(F.count_if(F.col("granted") & F.col("error").isNull())).alias("succeeded"), of(F.count_if(F.col("granted") & F.col("error").isNotNull())).alias("warnings"), of(F.count_if(~F.col("granted"))).alias("refused"))
-        listed = self.observe(f"candidates {source}", found.candidates, of(F.count_if(F.col("score") < STRONG_SCORE)).alias("weak"), of(F.count_if(F.coalesce("published_date", F.lit("")) == "")).alias("unknown"))
-        return Found(checkpointed(seen), checkpointed(listed))
+def _observed(found: Found) -> tuple[Found, dict]:
+    """A source's visits and candidates, stored; its figures come with the jobs that store them, so no row is read again to be counted."""
+    seen, listed = Observation(), Observation()
+    of = lambda condition, name: F.count_if(condition).alias(name)
+    granted, failed = F.col("granted"), F.col("error").isNotNull()
+    kinds = [of(granted & (F.col("error") == e), e) for e in ERRORS]
+    visits = checkpointed(found.visits.observe(seen, of(granted, "tried"), of(granted & ~failed, "succeeded"), of(~granted, "refused"), *kinds))
+    rows = checkpointed(found.candidates.observe(listed, of(F.coalesce("published_date", F.lit("")) == "", "unknown")))
+    return Found(visits, rows), {**seen.get, **listed.get}
 
-    def total(self, kind: str, metric: str) -> int:
-        return sum(o.get[metric] for n, o in self.nodes.items() if n.startswith(kind))
+
+def counted_search(
+    sources: dict[str, Callable[[], Found]], visited: DataFrame, answers: DataFrame, allowed: Callable[[Column], Column], profile: str = "generic", used: int = 0, stops: tuple[str, ...] = (),
+    recent_days: int | None = None, rendered: int = 0, weak: int = 0, elapsed_ms: int | None = None, first: int = FIRST, most: int = MOST,
+) -> Counted:
+    """One site's search: its sources in order, then its candidates within the budget, of which used pages are taken; and its COUNTERS.
+
+    stops: why sources ended; rendered and weak: pages and candidates that others have counted.  Warnings are told by kind, with
+    their number.
+    """
+    began = time.monotonic()
+    spark = visited.sparkSession
+    found, figures = {}, {}
+    for name, run in sources.items():
+        found[name], figures[name] = _observed(run())
+    taken = spark.createDataFrame([(visited.first()["site"] if used else "", used)], "site string, pages int")
+    made = fetched(gathered([f.candidates for f in found.values()]), visited, taken, answers, allowed, first, most)
+    told = Observation()
+    made.visits = checkpointed(made.visits.observe(told, *(F.count_if(F.col("granted") & (F.col("error") == e)).alias(e) for e in ERRORS)))
+    stats = made.stats.first()
+    of = lambda name: stats[name] if stats else 0
+    reasons = [r for r in (*stops, stats["stop_reason"] if stats else None) if r in cands.STOP_REASONS]
+    counters = {
+        "profile": profile,
+        "sourcesTried": sorted(n for n, f in figures.items() if f["tried"]),
+        "sourcesSucceeded": sorted(n for n, f in figures.items() if f["succeeded"]),
+        "candidatesFound": of("candidates_found"),
+        "candidatesFetched": of("candidates_fetched"),
+        "renderedPages": rendered,
+        "budgetExpanded": bool(of("budget_expanded")),
+        "partial": bool(of("partial")) or any(f["refused"] for f in figures.values()),
+        "elapsedMs": int((time.monotonic() - began) * 1000) if elapsed_ms is None else elapsed_ms,
+        "warnings": [f"{n}: {e} ({f[e]})" for n, f in (*figures.items(), ("pages", told.get)) for e in ERRORS if f[e]],
+        "recentWindowDays": recent_days,
+        "weakCandidates": weak,
+        "unknownDateCandidates": sum(f["unknown"] for n, f in figures.items() if n in DATED_SOURCES),
+        "stopReason": max(reasons, key=cands.STOP_REASONS.get, default=None),
+    }
+    return Counted(made, counters)
+
+
+def report(hits: DataFrame, pages_crawled: int, counters: dict) -> DataFrame:
+    """One JSON document about a search.  hits: url, hit_count, strength (strong or weak) of the pages found."""
+    strong = F.coalesce(F.sum(F.when(F.col("strength") == "strong", F.col("hit_count"))), F.lit(0))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hit_count")).alias("n"), "url"))), lambda x: x["url"])
+    row = hits.agg(strong.alias("strong"), F.count_if(F.col("strength") == "weak").alias("weak"), listed.alias("urls"))
+    plain = {"pagesCrawled": pages_crawled, "recentWindowDays": counters["recentWindowDays"], "stopReason": counters["stopReason"], "discovery": counters}
+
+    @F.udf("string")
+    def document(strong: int, weak: int, found: list) -> str:
+        return json.dumps({**plain, "totalHits": strong, "strongHits": strong, "weakHits": weak, "resultUrls": found}, ensure_ascii=False)
+
+    return row.select(document("strong", "weak", "urls").alias("document"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomweb.plans import discovery
+from loomweb.operators import providers
+from loomweb.plans import discovery, provider_queries
 from loomweb.runtime import table
 
 _FIRST, _MOST = 30, 50
@@ -80,5 +81,34 @@ DISCOVERY_CANDIDATES = f"""{_RUN}, led AS (SELECT DISTINCT n, final_url FROM sho
 ), merged AS (SELECT site, url, max(score) AS score, arg_max(source, score * 10000000 - pos) AS source FROM resolved GROUP BY site, url)
 SELECT site, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank, url, score, source FROM merged"""
 
-QUERIES = {"discovery_visits": discovery_visits, "discovery_counters": discovery_counters, "discovery_pages": discovery_pages, "discovery_candidates": discovery_candidates}
-ORACLES = {"discovery_visits": DISCOVERY_VISITS, "discovery_counters": DISCOVERY_COUNTERS, "discovery_pages": DISCOVERY_PAGES, "discovery_candidates": DISCOVERY_CANDIDATES}
+_SITE = "http://s0.example.org"
+
+
+def search_counters(spark, sf_dir) -> DataFrame:
+    """All counters of one site's search over two sources, whose candidates are fetched; every fourth is gone."""
+    (asked, found), (hubs, lists) = provider_queries.search_inputs(spark, sf_dir), provider_queries.category_inputs(spark, sf_dir)
+    one = lambda df: df.filter(F.col("site") == _SITE)
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit(f"{_SITE}/d/"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 4 == 1, 404).otherwise(200).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("x").alias("body"))
+    sources = {
+        "site-search": lambda: providers.site_search(one(asked), found, provider_queries.anywhere, provider_queries.SEARCH_LIMIT, provider_queries.SEARCH_MORE),
+        "category": lambda: providers.category(one(hubs), lists, provider_queries.anywhere, "g", 500, provider_queries.HUB_MORE),
+    }
+    told = discovery.counted_search(sources, spark.createDataFrame([], "site string, url string"), pages, provider_queries.anywhere, elapsed_ms=0).counters
+    row = [(k, ";".join(v) if isinstance(v, list) else None if v is None else str(v).lower() if isinstance(v, bool) else str(v)) for k, v in told.items()]
+    return spark.createDataFrame(row, "counter string, value string")
+
+
+_SEARCHED = f"""s AS ({provider_queries.SITE_SEARCH_VISITS}), c AS ({provider_queries.CATEGORY_VISITS}), found AS (
+  SELECT url FROM ({provider_queries.SITE_SEARCH}) WHERE site = '{_SITE}' UNION SELECT url FROM ({provider_queries.CATEGORY_WALK}) WHERE site = '{_SITE}'
+), figures AS (
+  SELECT count(*) AS n, count(*) FILTER (CAST(regexp_extract(url, '[0-9]+$') AS INT) % 4 = 1) AS gone, (SELECT count(*) FROM s WHERE site = '{_SITE}' AND granted AND error IS NOT NULL) AS bad_s, (SELECT count(*) FROM c WHERE site = '{_SITE}' AND error IS NOT NULL) AS bad_c,
+    (SELECT count(*) FILTER (error IS NULL AND granted) FROM s WHERE site = '{_SITE}') AS good_s, (SELECT count(*) FILTER (error IS NULL) FROM c WHERE site = '{_SITE}') AS good_c, (SELECT coalesce(bool_or(NOT granted), false) FROM s WHERE site = '{_SITE}') AS refused FROM found)"""
+SEARCH_COUNTERS = f"""WITH {_SEARCHED}, told AS (SELECT unnest([
+  {{'counter': 'profile', 'value': 'generic'}}, {{'counter': 'sourcesTried', 'value': 'category;site-search'}}, {{'counter': 'sourcesSucceeded', 'value': concat_ws(';', CASE WHEN good_c > 0 THEN 'category' END, CASE WHEN good_s > 0 THEN 'site-search' END)}},
+  {{'counter': 'candidatesFound', 'value': n::VARCHAR}}, {{'counter': 'candidatesFetched', 'value': (n - gone)::VARCHAR}}, {{'counter': 'renderedPages', 'value': '0'}}, {{'counter': 'budgetExpanded', 'value': (gone > 0)::VARCHAR}}, {{'counter': 'partial', 'value': refused::VARCHAR}},
+  {{'counter': 'elapsedMs', 'value': '0'}}, {{'counter': 'warnings', 'value': concat_ws(';', CASE WHEN bad_s > 0 THEN 'site-search: unreachable (' || bad_s || ')' END, CASE WHEN bad_c > 0 THEN 'category: unreachable (' || bad_c || ')' END, CASE WHEN gone > 0 THEN 'pages: status (' || 2 * gone || ')' END)}},
+  {{'counter': 'recentWindowDays', 'value': NULL}}, {{'counter': 'weakCandidates', 'value': '0'}}, {{'counter': 'unknownDateCandidates', 'value': '0'}}, {{'counter': 'stopReason', 'value': NULL}}]) AS t FROM figures)
+SELECT t.counter AS counter, t.value AS "value" FROM told"""
+
+QUERIES = {"search_counters": search_counters, "discovery_visits": discovery_visits, "discovery_counters": discovery_counters, "discovery_pages": discovery_pages, "discovery_candidates": discovery_candidates}
+ORACLES = {"search_counters": SEARCH_COUNTERS, "discovery_visits": DISCOVERY_VISITS, "discovery_counters": DISCOVERY_COUNTERS, "discovery_pages": DISCOVERY_PAGES, "discovery_candidates": DISCOVERY_CANDIDATES}

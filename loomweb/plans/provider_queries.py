@@ -55,10 +55,11 @@ def _page_href(base, k):
     return F.concat(base, F.lit("/page"), k.cast("string"))
 
 
-_LIMIT, _MORE = 40, 15
+SEARCH_LIMIT, SEARCH_MORE = 40, 15
 
 
-def _searched(spark, sf_dir) -> providers.Found:
+def search_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Three searches of each site, and their answers."""
     docs = _docs(spark, sf_dir).withColumn("seq", (F.col("page_id") % 3).cast("int"))
     word = F.get(F.array(*map(F.lit, WORDS)), F.col("seq"))
     docs = docs.withColumn("base", F.concat("site", F.lit("/s/"), word))
@@ -68,7 +69,11 @@ def _searched(spark, sf_dir) -> providers.Found:
     asked = docs.select("site", "seq").distinct()
     word = F.get(F.array(*map(F.lit, WORDS)), F.col("seq"))
     asked = asked.select("site", "seq", F.lit("site-search").alias("source"), word.alias("keyword"), F.concat("site", F.when(F.col("seq") == 1, "/go/").otherwise("/s/"), word).alias("url"))
-    return providers.site_search(asked, answers.unionByName(go), anywhere, _LIMIT, _MORE)
+    return asked, answers.unionByName(go)
+
+
+def _searched(spark, sf_dir) -> providers.Found:
+    return providers.site_search(*search_inputs(spark, sf_dir), anywhere, SEARCH_LIMIT, SEARCH_MORE)
 
 
 def site_search_visits(spark, sf_dir):
@@ -87,7 +92,7 @@ _SEARCHES = f"""WITH RECURSIVE {_DOCS}, content AS (SELECT DISTINCT site, page_i
   UNION ALL
   SELECT site, seq, place + 1, node, queue[2:] || fresh, visited || fresh FROM (
     SELECT r.* EXCLUDE (node), queue[1] AS node, CASE WHEN c.k IS NULL THEN [] ELSE [x FOR x IN [1, 2 * c.k + 1, 2 * c.k] IF NOT list_contains(visited, x)] END AS fresh
-    FROM run r LEFT JOIN content c ON c.site = r.site AND c.seq = r.seq AND c.k = r.queue[1] WHERE len(queue) > 0 AND place < {_MORE})
+    FROM run r LEFT JOIN content c ON c.site = r.site AND c.seq = r.seq AND c.k = r.queue[1] WHERE len(queue) > 0 AND place < {SEARCH_MORE})
 ), named AS (
   SELECT r.site, r.seq, r.place, greatest(node, 1) AS page, c.k IS NOT NULL AS there, r.site || '/s/' || ['{WORDS[0]}', '{WORDS[1]}', '{WORDS[2]}'][r.seq + 1] AS base, node,
     CASE WHEN c.k IS NULL THEN CASE WHEN node = 0 AND r.seq = 1 THEN 2 ELSE 1 END WHEN node = 0 THEN CASE WHEN r.seq = 1 THEN 2 ELSE 1 END WHEN node = 1 OR node % 7 = 3 THEN 2 ELSE 1 END AS charge
@@ -95,7 +100,7 @@ _SEARCHES = f"""WITH RECURSIVE {_DOCS}, content AS (SELECT DISTINCT site, page_i
 ), visits AS (
   SELECT site, seq::INT AS seq, place, CASE WHEN node > 0 THEN base || '/page' || node WHEN seq = 1 THEN site || '/go/hi' ELSE base END AS url, page,
     CASE WHEN there THEN CASE WHEN node <= 1 THEN base WHEN node % 7 = 3 THEN base || '/part' || node ELSE base || '/page' || node END END AS final_url, charge,
-    sum(charge) OVER (PARTITION BY site ORDER BY seq, place) <= {_LIMIT} AS granted, CASE WHEN NOT there THEN 'unreachable' END AS error FROM named)"""
+    sum(charge) OVER (PARTITION BY site ORDER BY seq, place) <= {SEARCH_LIMIT} AS granted, CASE WHEN NOT there THEN 'unreachable' END AS error FROM named)"""
 SITE_SEARCH_VISITS = f"{_SEARCHES} SELECT * EXCLUDE (page) FROM visits"
 SITE_SEARCH = f"""{_SEARCHES}
 SELECT v.site, v.site || '/d/' || d.page_id AS url, ['{WORDS[0]}', '{WORDS[1]}', '{WORDS[2]}'][v.seq + 1] AS keyword, d.title AS title_hint,
@@ -104,10 +109,11 @@ FROM visits v JOIN docs d ON d.site = v.site AND d.page_id % 3 = v.seq AND d.k =
 QUALIFY row_number() OVER (PARTITION BY v.site, d.page_id ORDER BY v.seq, v.place) = 1"""
 
 
-_HUB_MORE = 20
+HUB_MORE = 20
 
 
-def _category(spark, sf_dir) -> providers.Found:
+def category_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Four lists of each site, one of them named twice, and their answers."""
     docs = _docs(spark, sf_dir).withColumn("hub", (F.col("page_id") % 4).cast("int"))
     docs = docs.withColumn("base", F.concat("site", F.lit("/c/"), F.col("hub").cast("string")))
     k, base, hub = F.col("k"), F.col("base"), F.regexp_extract("base", "[0-9]$", 0).cast("int")
@@ -118,7 +124,11 @@ def _category(spark, sf_dir) -> providers.Found:
     answers = _list_answers(docs, F.concat(own, across, to_hub))
     hubs = docs.select("site", F.explode(F.array(*(F.lit(h) for h in (0, 1, 2, 3, 0)))).alias("h")).distinct()
     hubs = hubs.select("site", F.col("h").alias("seq"), F.concat("site", F.lit("/c/"), F.col("h").cast("string")).alias("url"))
-    return providers.category(hubs, answers, anywhere, "g", 500, _HUB_MORE)
+    return hubs, answers
+
+
+def _category(spark, sf_dir) -> providers.Found:
+    return providers.category(*category_inputs(spark, sf_dir), anywhere, "g", 500, HUB_MORE)
 
 
 def category_walk(spark, sf_dir):
@@ -144,7 +154,7 @@ _CATEGORY = f"""WITH RECURSIVE {_DOCS}, content AS (
         CASE WHEN going THEN CASE WHEN list_contains(visited, queue[1]) THEN NULL ELSE queue[1] END ELSE CASE WHEN list_contains(visited, (hub + 1) * 100000) THEN NULL ELSE (hub + 1) * 100000 END END AS visit,
         CASE WHEN going THEN queue[2:] ELSE []::BIGINT[] END AS queue,
         CASE WHEN going AND NOT list_contains(visited, queue[1]) THEN more + 1 ELSE more END AS more
-      FROM (SELECT *, len(queue) > 0 AND more < {_HUB_MORE} AS going FROM run) WHERE going OR hub < 3
+      FROM (SELECT *, len(queue) > 0 AND more < {HUB_MORE} AS going FROM run) WHERE going OR hub < 3
     ) n LEFT JOIN content c ON c.site = n.site AND c.node = CASE WHEN n.visit % 100000 = 0 THEN n.visit + 1 ELSE n.visit END)
 ), visits AS (
   SELECT r.site, hub, step, visit, c.node IS NOT NULL AS there, visit // 100000 AS list, visit % 100000 AS page, row_number() OVER (PARTITION BY r.site, hub ORDER BY step) - 1 AS place
