@@ -43,11 +43,16 @@ def dual_quota(candidates: DataFrame, per_source: int, per_section: int) -> Data
     """The greedy choice by (score, url) under both quotas, where a row that one quota refuses doesn't
     use up the other.  candidates: url (unique), source, section, score.
 
-    In rounds: a row whose rank among the open rows fits what both of its quotas have left is chosen,
-    whatever becomes of the rows before it; rows of used-up groups go; the others wait.
+    Of the rows of one source and section only the first can be chosen, as many as the smaller quota, for a row is never chosen
+    unless those of its kind before it are; the others go at once, before any shuffle by source.  The rest goes in rounds:
+    a row whose rank among the open rows fits what both of its quotas have left is chosen, whatever becomes of the
+    rows before it; rows of used-up groups go; the others wait.
     """
     order = [F.desc("score"), "url"]
     now = candidates.select("url", "source", F.coalesce("section", F.lit("")).alias("section"), "score", F.lit(False).alias("chosen"))
+    kind_rank = F.row_number().over(Window.partitionBy("source", "section").orderBy(*order))
+    can = F.when(F.col("section") == "", F.lit(per_source)).otherwise(F.lit(min(per_source, per_section)))
+    now = now.withColumn("kind_rank", kind_rank).filter((F.col("kind_rank") <= max(per_source, min(per_source, per_section))) & (F.col("kind_rank") <= can)).drop("kind_rank")
     while True:
         used = lambda key: F.sum(F.col("chosen").cast("int")).over(Window.partitionBy(key))
         rank = lambda key: F.sum((~F.col("chosen")).cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

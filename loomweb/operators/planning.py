@@ -19,21 +19,26 @@ def search_budget(archive: bool) -> dict[str, int]:
 MAX_WINDOWS = 60
 
 
-def _window_tree(rows: DataFrame, start: str, end: str, fits: int) -> DataFrame:
+def _window_tree(rows: DataFrame, start: str, end: str, fits: int, keys: DataFrame | None = None) -> DataFrame:
     """All windows that halving [start, end] meets: win_start, win_end, total, leaf, and path, whose order is that in
-    which they are asked for: a window before its halves, the newer half before the older one.
+    which they are asked for: a window before its halves, the newer half before the older one.  keys: a tree for each of them.
 
-    rows: day (date).  Windows that hold more than fits rows are halved down to one day, all of one generation at
-    once; counts come from one table of rows a day, which has no more rows than the range has days.
+    rows: keys and day (date).  Windows that hold more than fits rows are halved down to one day, all of one generation at
+    once; counts come from one table of rows a day, which has no more rows for a key than the range has days.
     """
-    spark = rows.sparkSession
-    daily = checkpointed(rows.groupBy("day").agg(F.count("*").alias("n")))
-    now = spark.createDataFrame([(start, end, "")], "a string, b string, path string").select(F.col("a").cast("date").alias("win_start"), F.col("b").cast("date").alias("win_end"), "path")
+    spark, by = rows.sparkSession, keys.columns if keys is not None else []
+    daily = checkpointed(rows.groupBy(*by, "day").agg(F.count("*").alias("n")))
+    daily = daily.select(*(F.col(k).alias(f"day_{k}") for k in by), "day", "n") if by else F.broadcast(daily)
+    first = keys if keys is not None else spark.range(1).select()
+    now = first.select(*by, F.lit(start).cast("date").alias("win_start"), F.lit(end).cast("date").alias("win_end"), F.lit("").alias("path"))
     leaf = (F.col("total") <= fits) | (F.col("win_start") == F.col("win_end"))
     done = None
     while True:
-        joined = now.join(F.broadcast(daily), F.col("day").between(F.col("win_start"), F.col("win_end")), "left").groupBy("win_start", "win_end", "path")
-        counted = checkpointed(joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("leaf", leaf))
+        within = F.col("day").between(F.col("win_start"), F.col("win_end"))
+        for k in by:
+            within &= F.col(k).eqNullSafe(F.col(f"day_{k}"))
+        grouped = now.join(daily, within, "left").groupBy(*by, "win_start", "win_end", "path")
+        counted = checkpointed(grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("leaf", leaf))
         done = counted if done is None else done.unionByName(counted)
         wide = counted.filter(~F.col("leaf"))
         if wide.isEmpty():
@@ -41,7 +46,7 @@ def _window_tree(rows: DataFrame, start: str, end: str, fits: int) -> DataFrame:
         middle = F.date_add("win_start", F.floor(F.datediff("win_end", "win_start") / 2).cast("int"))
         half = lambda a, b, mark: F.struct(a.alias("win_start"), b.alias("win_end"), F.concat("path", F.lit(mark)).alias("path"))
         halves = F.array(half(F.date_add(middle, 1), F.col("win_end"), "0"), half(F.col("win_start"), middle, "1"))
-        now = wide.select(F.explode(halves).alias("w")).select("w.*")
+        now = wide.select(*by, F.explode(halves).alias("w")).select(*by, "w.*")
 
 
 def split_windows(rows: DataFrame, start: str, end: str, fits: int = 10) -> DataFrame:
@@ -56,6 +61,25 @@ def window_visits(rows: DataFrame, start: str, end: str, fits: int = 10, most: i
     return asked.filter((F.col("n") <= most) & F.col("leaf")).select("n", "win_start", "win_end", "total", (F.col("total") > fits).alias("overflow"))
 
 
+def window_rows(rows: DataFrame, requests: DataFrame, start: str, end: str, fits: int = 10, most: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """What a list source reads by date windows when its first page holds fits rows and later pages can't be had.
+
+    requests: the columns that name a list (keyword and kind, say); rows: these columns, day (date), pos (their order on
+    a page, unique in a list) and more.  Each list has its own tree of windows and at most so many requests, split ones included.
+    Returns the windows read (the list's columns, n, win_start, win_end, total, overflow) and the rows on their first pages, with n.
+
+    A window over a list's requests sees at most two for each day of the range; rows meet their window by list and day, and only
+    a day or window that fits on a page, or one overfull day, is ranked in one place.
+    """
+    by = requests.columns
+    asked = _window_tree(rows, start, end, fits, requests.distinct()).withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("path")))
+    read = checkpointed(asked.filter((F.col("n") <= most) & F.col("leaf")).select(*by, "n", "win_start", "win_end", "total", (F.col("total") > fits).alias("overflow")))
+    days = read.select(*by, "n", F.explode(F.sequence("win_start", "win_end")).alias("day"))
+    placed = rows.join(days, [*by, "day"])
+    rank = F.row_number().over(Window.partitionBy(*by, "n").orderBy(F.desc("day"), "pos"))
+    return read, placed.withColumn("rank", rank).filter(F.col("rank") <= fits).drop("rank")
+
+
 def _dated(rows: DataFrame, cutoff: str) -> DataFrame:
     """rows with d, their valid day, rises (later than the one before) and old (before cutoff)."""
     valid = F.when(F.rlike("day", F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_date("day", "yyyy-MM-dd"))

@@ -219,6 +219,15 @@ def rank_dual_quota(spark, sf_dir):
     return candidates.dual_quota(candidates.merge(_candidates(spark, sf_dir)), 40, 9).select("url", "source", "section", "score")
 
 
+# The greedy choice, a candidate a step: the sources and sections of what is chosen so far.
+RANK_DUAL_QUOTA = f"""WITH RECURSIVE {_MERGED}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, url) AS n FROM merged), run AS (
+  SELECT 0::BIGINT AS n, []::VARCHAR[] AS sources, []::VARCHAR[] AS sections, false AS taken
+  UNION ALL
+  SELECT n, CASE WHEN fits THEN sources || [source] ELSE sources END, CASE WHEN fits THEN sections || [section] ELSE sections END, fits FROM (
+    SELECT r.n, o.sources, o.sections, r.source, r.section, len(list_filter(o.sources, lambda x: x = r.source)) < 40 AND len(list_filter(o.sections, lambda x: x = r.section)) < 9 AS fits FROM run o JOIN ranked r ON r.n = o.n + 1)
+) SELECT url, source, section, score FROM ranked JOIN run USING (n) WHERE taken"""
+
+
 def recall(spark, sf_dir):
     rows = _parsed(spark, sf_dir).withColumn("pos", F.col("page_id"))
     found = matching.with_recall(rows, _candidates(spark, sf_dir), ["this", "page"])
@@ -311,10 +320,11 @@ TOP_PAGES = f"WITH r AS ({SEARCH_RANK}) SELECT url, page_title, hit_count FROM r
 
 
 def archive_walk(spark, sf_dir):
-    """Two hops from a start page over links made of page pairs on one host."""
+    """Two hops from a start page over links made of page pairs on one host; only the hubs that are read have links."""
     rows = table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("link"))
     start = rows.filter(F.contains("link", F.lit(".example.org/"))).select(F.lit("start").alias("url"), F.col("page_id").alias("pos"), "link")
-    more = rows.filter(urls.is_hub(F.col("link"))).select(F.col("link").alias("url"), F.col("page_id").alias("hub")).join(rows, F.col("page_id") % 9 == F.col("hub") % 9)
+    hubs = start.filter(urls.is_hub(F.col("link"))).groupBy("link").agg(F.min("pos").alias("hub")).orderBy("hub").limit(12)
+    more = F.broadcast(hubs.select(F.col("link").alias("url"), "hub")).join(rows, F.col("page_id") % 9 == F.col("hub") % 9)
     return graph.archive(start.unionByName(more.select("url", F.col("page_id").alias("pos"), "link")), "start").select("link", F.col("hub").cast("long").alias("hub"), "pos")
 
 
@@ -323,7 +333,7 @@ ARCHIVE_WALK = rf"""WITH rows AS (SELECT page_id, {sql_norm("url")} AS link FROM
 ), hubs AS (SELECT link, page_id, row_number() OVER (ORDER BY page_id) AS hub FROM marked WHERE hub AND contains(link, '.example.org/') ORDER BY page_id LIMIT 12), near AS (
   SELECT link, 0 AS hub, page_id AS pos FROM marked WHERE article AND contains(link, '.example.org/')
   UNION ALL SELECT m.link, h.hub, m.page_id FROM hubs h JOIN marked m ON m.page_id % 9 = h.page_id % 9 WHERE m.article)
-SELECT link, hub, pos FROM near QUALIFY row_number() OVER (PARTITION BY link ORDER BY hub, pos) = 1"""
+SELECT link, hub, pos FROM near QUALIFY row_number() OVER (PARTITION BY link ORDER BY hub, pos) = 1 ORDER BY hub, pos LIMIT 2000"""
 
 
 def locate_view(spark, sf_dir):
@@ -353,6 +363,6 @@ ORACLES = {
     "result_links": RESULT_LINKS,
     "page_facts": PAGE_FACTS, "page_visible_text": PAGE_VISIBLE_TEXT, "match_body": MATCH_BODY, "match_segments": MATCH_SEGMENTS, "search_rank": SEARCH_RANK, "search_response": SEARCH_RESPONSE,
     "page_links": PAGE_LINKS, "link_degrees": LINK_DEGREES, "url_parts": URL_PARTS, "url_policy": URL_POLICY, "merge_candidates": MERGE_CANDIDATES, "rank_source_quota": RANK_SOURCE_QUOTA,
-    "recall": RECALL, "recall_top": RECALL_TOP, "unvisited_candidates": UNVISITED, "redirected_candidates": REDIRECTED, "candidate_batches": CANDIDATE_BATCHES, "discovery_stats": DISCOVERY_STATS,
+    "rank_dual_quota": RANK_DUAL_QUOTA, "recall": RECALL, "recall_top": RECALL_TOP, "unvisited_candidates": UNVISITED, "redirected_candidates": REDIRECTED, "candidate_batches": CANDIDATE_BATCHES, "discovery_stats": DISCOVERY_STATS,
     "new_hits": NEW_HITS, "hit_state": HIT_STATE, "top_pages": TOP_PAGES, "archive_walk": ARCHIVE_WALK, "locate_view": LOCATE_VIEW,
 }

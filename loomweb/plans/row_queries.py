@@ -498,6 +498,47 @@ WINDOW_VISITS = """WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day FROM even
 SELECT n, strftime(a, '%Y-%m-%d') AS win_start, strftime(b, '%Y-%m-%d') AS win_end, total, total > 1000 AS overflow FROM t WHERE n <= 20 AND (a = b OR total <= 1000)"""
 
 
+_NUMBERS = ("", "3", "17")
+
+
+def _windowed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lists of events by type and by a number that their user's has in it, read by date windows of 40 rows, 25 requests each."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.to_date("ts").alias("day"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("title"), (F.col("event_id") % 25).cast("string").alias("tabletype"))
+    listed = rows.withColumn("keyword", F.explode(F.array(*map(F.lit, _NUMBERS)))).filter(F.contains("title", F.col("keyword")))
+    asked = rows.select("kind").distinct().withColumn("keyword", F.explode(F.array(*map(F.lit, _NUMBERS)))).select("keyword", "kind")
+    return planning.window_rows(listed, asked, "2024-01-01", "2024-01-30", 40, 25)
+
+
+def window_reads(spark, sf_dir):
+    """The windows that each list's requests read."""
+    read = _windowed(spark, sf_dir)[0]
+    text_of = lambda day: F.date_format(day, "yyyy-MM-dd").alias(day)
+    return read.select("keyword", "kind", "n", text_of("win_start"), text_of("win_end"), "total", "overflow")
+
+
+def window_candidates(spark, sf_dir):
+    """The rows on these windows' pages as candidates, with their addresses."""
+    rows = _windowed(spark, sf_dir)[1]
+    row = F.struct(F.col("pos").cast("string").alias("bulletin_id"), "tabletype", F.lit("").alias("bulletinclass"))
+    return rows.select("keyword", "kind", candidates.detail_url(F.lit("http://h.cn"), row).alias("url"), F.date_format("day", "yyyy-MM-dd").alias("published_date"), "n")
+
+
+_WINDOWED = """WITH RECURSIVE listed AS (
+  SELECT k.keyword, event_type AS kind, event_id AS pos, CAST(ts AS DATE) AS day, event_id % 25 AS t FROM events, (VALUES (''), ('3'), ('17')) k(keyword) WHERE contains(CAST(user_id AS VARCHAR), k.keyword)
+), daily AS (SELECT keyword, kind, day, count(*) AS n FROM listed GROUP BY ALL), w AS (
+  SELECT DISTINCT k.keyword, event_type AS kind, DATE '2024-01-01' AS a, DATE '2024-01-30' AS b, '' AS path FROM events, (VALUES (''), ('3'), ('17')) k(keyword)
+  UNION ALL SELECT keyword, kind, unnest([a + CAST((b - a) // 2 AS INT) + 1, a]), unnest([b, a + CAST((b - a) // 2 AS INT)]), unnest([path || '0', path || '1']) FROM w
+    WHERE a < b AND (SELECT coalesce(sum(n), 0) FROM daily d WHERE d.keyword = w.keyword AND d.kind = w.kind AND day BETWEEN a AND b) > 40
+), t AS (
+  SELECT *, coalesce((SELECT sum(n) FROM daily d WHERE d.keyword = w.keyword AND d.kind = w.kind AND day BETWEEN a AND b), 0)::BIGINT AS total, row_number() OVER (PARTITION BY keyword, kind ORDER BY path) AS n FROM w
+), leaves AS (SELECT * FROM t WHERE n <= 25 AND (a = b OR total <= 40))"""
+WINDOW_READS = f"{_WINDOWED} SELECT keyword, kind, n::INT AS n, strftime(a, '%Y-%m-%d') AS win_start, strftime(b, '%Y-%m-%d') AS win_end, total, total > 40 AS overflow FROM leaves"
+WINDOW_CANDIDATES = f"""{_WINDOWED} SELECT l.keyword, l.kind, 'http://h.cn' || CASE WHEN t = 8 THEN '/showAcceptanceResultsNoticeInfo.html?bulletinid=' WHEN t IN (9, 12, 13, 14, 15, 19) THEN '/showZCYBulletinInfo.html?bulletin_id='
+  WHEN t IN (11, 16, 17, 18, 22, 24) THEN '/showZCYManageBulletinInfo.html?bulletin_id=' WHEN t = 21 THEN '/showContractChangeNoticeInfo.html?bulletin_id=' WHEN t = 23 THEN '/viewPurchaseInfo.html?sys_purchaseintention_id=' ELSE '/showBulletinInfo.html?bulletin_id=' END
+  || pos || CASE WHEN t IN (11, 16, 17, 18, 22, 24) THEN '&tabletype=' || t ELSE '' END AS url, strftime(day, '%Y-%m-%d') AS published_date, n::INT AS n
+FROM listed l JOIN leaves v ON v.keyword = l.keyword AND v.kind = l.kind AND l.day BETWEEN v.a AND v.b QUALIFY row_number() OVER (PARTITION BY l.keyword, l.kind, v.n ORDER BY day DESC, pos) <= 40"""
+
+
 QUERIES = {
     "count_gate": count_gate, "window_requests": window_requests, "hub_articles": hub_articles,
     "notice_titles": notice_titles, "notice_summaries": notice_summaries, "notice_dates": notice_dates, "snippets": snippets, "keyword_sets": keyword_sets, "jobs_due": jobs_due, "since_filter": since_filter,
@@ -514,5 +555,5 @@ ORACLES = {
     "entry_cards": ENTRY_CARDS, "summary_prompt": SUMMARY_PROMPT, "model_answers": MODEL_ANSWERS, "nearest_vectors": NEAREST_VECTORS, "upserted": UPSERTED, "job_table": JOB_TABLE,
     "cache_entries": CACHE_ENTRIES, "page_counts": PAGE_COUNTS,
 }
-QUERIES |= {"window_visits": window_visits, "prompt_messages": prompt_messages, "start_page_errors": start_page_errors, "page_merge": page_merge, "run_diagnostics": run_diagnostics}
-ORACLES |= {"window_visits": WINDOW_VISITS, "prompt_messages": PROMPT_MESSAGES, "start_page_errors": START_PAGE_ERRORS, "page_merge": PAGE_MERGE, "run_diagnostics": RUN_DIAGNOSTICS}
+QUERIES |= {"window_reads": window_reads, "window_candidates": window_candidates, "window_visits": window_visits, "prompt_messages": prompt_messages, "start_page_errors": start_page_errors, "page_merge": page_merge, "run_diagnostics": run_diagnostics}
+ORACLES |= {"window_reads": WINDOW_READS, "window_candidates": WINDOW_CANDIDATES, "window_visits": WINDOW_VISITS, "prompt_messages": PROMPT_MESSAGES, "start_page_errors": START_PAGE_ERRORS, "page_merge": PAGE_MERGE, "run_diagnostics": RUN_DIAGNOSTICS}

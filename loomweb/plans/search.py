@@ -98,18 +98,21 @@ def related(any_frame: DataFrame, keywords: list[str], expanded: list[str]) -> l
     return any_frame.sparkSession.range(1).select(text.on_topic(*lists)).first()[0]
 
 
-def edges(snapshot: DataFrame) -> DataFrame:
-    """src, dst of the links between a snapshot's pages, normalised."""
-    links = pages.same_site_links(pages.links(pages.parsed(snapshot)))
+def edges(parsed: DataFrame) -> DataFrame:
+    """src, dst of the links between parsed pages (url, page.links), normalised."""
+    links = pages.same_site_links(pages.links(parsed))
     return links.select(urls.normalize(F.col("url")).alias("src"), F.col("link").alias("dst"))
 
 
 def crawl(snapshot: DataFrame, start_url: str, depth: int = 3, since: str | None = None) -> DataFrame:
-    """The pages of a snapshot that a crawl from a start page stores."""
-    named = checkpointed(pages.facts(pages.parsed(snapshot)).withColumn("norm_url", urls.normalize(F.col("url"))).select("page_id", "url", "html", "norm_url", "published_date"))
+    """The pages of a snapshot that a crawl from a start page stores.  Each page is parsed once: its links and date are stored
+    beside each other, and the HTML comes from the snapshot again for the pages reached."""
+    dated = pages.facts(pages.parsed(snapshot)).withColumn("norm_url", urls.normalize(F.col("url")))
+    named = checkpointed(dated.select("page_id", "url", "norm_url", "published_date", F.struct("page.links").alias("page")))
     start = named.sparkSession.range(1).select(urls.normalize(F.lit(start_url))).first()[0]
-    reached = graph.crawl(named, checkpointed(edges(snapshot)), start, depth, since)
-    return named.join(reached, "norm_url").select("page_id", "url", "html", "level")
+    reached = graph.crawl(named.drop("page"), checkpointed(edges(named)), start, depth, since)
+    kept = named.select("page_id", "norm_url").join(reached, "norm_url").select("page_id", "level")
+    return snapshot.select("page_id", "url", "html").join(kept, "page_id")
 
 
 def discover(found: DataFrame, visited: DataFrame, root_host: str, budget: int = 3000, **policy) -> DataFrame:
