@@ -5,8 +5,8 @@ licence templates by the Dice coefficient of their sets of word bigrams.  So are
 text as long as a template, which begin at one of its bigrams: a notice within a longer paragraph or
 spread over comment lines.  Exact bounds prune: a template is a candidate only for sizes b with
 a*t/(2-t) <= b <= a*(2-t)/t  (a: its own size, t: the threshold); a window needs the lower number of the
-template's bigrams; and a text or unit is looked at only if it has one of the words without which too few
-of a template's bigrams are left to reach t.
+template's bigrams; and a text or unit is looked at only if it has one of the words (of a short one, the word beside a
+neighbour) without which too few of a template's bigrams are left to reach t.
 
 Defined results: null or empty text, or one without a match: no licences, dice null; ties: the
 template named first, the window that starts first; a window is reported besides a line,
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from loomweb.llm.shared import table
 
 THRESHOLD = 0.8
+#: Words up to this length are looked for with a neighbour.
+SHORT = 5
 #: Licence notices and short licences.
 TEMPLATES = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
@@ -60,18 +62,28 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def needed_words(bigrams: list[str], threshold: float) -> set[str]:
-    """Words of which any text with that Dice has at least one: without them, too few bigrams are left."""
+def needed_words(bigrams: list[str], threshold: float) -> dict[str, set[str]]:
+    """Words, with bigrams that have them: any text with that Dice has at least one of these bigrams, for too few are left without them."""
     least = math.ceil(threshold * len(bigrams) / (2 - threshold) - 1e-9)
-    left, found = list(bigrams), set()
+    left, found = list(bigrams), {}
     for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
         if len(left) < least:
             break
-        found.add(word)
-        left = [b for b in left if word not in b.split()]
+        found[word] = {b for b in left if word in b.split()}
+        left = [b for b in left if b not in found[word]]
     return found
 
 
+def has_needed(text: Column, low: Column, needed: dict[str, set[str]]) -> Column:
+    """Whether a text (low: in lower case) has a needed word; of a short word, which many texts have by chance, also one of its bigrams.
+
+    Each search for a plain string is one quick pass; a pattern of all the words would try each at each character."""
+    of = lambda word: F.contains(low, F.lit(word))
+    beside = lambda bigram: F.rlike(text, F.lit("(?i)" + bigram.replace(" ", "[^a-z0-9]+")))
+    tests = [of(w) if len(w) > SHORT else of(w) & reduce(lambda a, b: a | b, map(beside, sorted(found))) for w, found in sorted(needed.items())]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
 
@@ -80,9 +92,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """doc_id and matches: array<struct<kind, position, license, dice>>, the best template for each text, paragraph and line, and
     each template's best window (position: its first word's number)."""
     grams = {name: template_bigrams(text) for name, text in sorted(templates.items())}
-    words = sorted(set().union(*(needed_words(g, threshold) for g in grams.values())))
-    # Each search for a plain string is one quick pass; a pattern of all the words would try each at each character.
-    has_one = lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    needed: dict[str, set[str]] = {}
+    for g in grams.values():
+        for word, found in needed_words(g, threshold).items():
+            needed.setdefault(word, set()).update(found)
+    has_one = lambda raw: has_needed(raw, F.lower(raw), needed)
     described = ((n, g, len(template_words(templates[n]))) for n, g in grams.items())
     table_of = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("size"), F.lit(k).alias("words")) for n, g, k in described))
     sizes = [len(g) for g in grams.values()]
@@ -91,7 +105,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
     def units(kind: str, texts: Column) -> Column:
         at = F.transform(texts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), t.alias("raw")))
-        return F.filter(at, lambda u: has_one(F.lower(u["raw"])))
+        return F.filter(at, lambda u: has_one(u["raw"]))
 
     text = F.coalesce("text", F.lit(""))
     every = F.concat(units("line", F.split(text, "\n")), units("paragraph", F.split(text, "\n[ \t\r]*\n")), units("text", F.array(text)))
@@ -141,7 +155,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         )
 
     none = F.array().cast("array<struct<kind:string,position:int,license:string,dice:double>>")
-    return docs.select("doc_id", F.when(has_one(F.lower(text)), F.concat(matches, let(bigrams, windows))).otherwise(none).alias("matches"))
+    return docs.select("doc_id", F.when(has_one(text), F.concat(matches, let(bigrams, windows))).otherwise(none).alias("matches"))
 
 
 def let(x: Column, body) -> Column:
