@@ -6,10 +6,10 @@ postings.  A weight is (1 + log tf) * idf * (1 + evidence), where evidence is th
 term's toxic texts: about 0 for most terms, so their weights are the usual ones, while a word that goes
 with the label isn't drowned by a long text's topic.  Vectors have length 1.
 
-The index cuts the examples into blocks, alike ones together.  Frequent terms keep their largest weight
-in each block.  A text's rare terms are scored at once; with the frequent terms' largest weights that
-bounds what an example of a block can reach.  Blocks are scored in the order of their bounds until the
-bound falls below the cosine of the last neighbour asked for.  All examples as near as that one count,
+The index cuts the examples into small blocks, alike ones together: by the term that leads in common words, which tells
+languages apart, then by the heaviest term.  Frequent terms keep their largest weight in each block.  A text's rare terms are scored at once; with the frequent terms' largest weights that
+bounds what an example of a block can reach.  Blocks are scored in the order of their bounds, some at a
+time, until the next bound falls below the cosine of the last neighbour asked for; the rest is never scored.  All examples as near as that one count,
 so ties need no choice.  Votes are weighted by 1 / (1 - cosine + SOFTEN) ** SHARPNESS, with one vote of
 the whole sample's share, and become probabilities by isotonic regression on votes that leave out each
 example itself.  A text without any known term gets the sample's share of toxic texts.
@@ -41,7 +41,7 @@ from loomweb.llm.shared import table, written
 MAX_EXAMPLES, MAX_CHARS = 3_000, 64_000_000
 PREFIXES = (5,)
 NEIGHBOURS, SOFTEN, SHARPNESS = 100, 0.05, 8
-BLOCK, FREQUENT, FIRST_SHARE = 64, 64, 8
+BLOCK, FREQUENT, BLOCKS_AT_ONCE = 32, 64, 4
 THRESHOLD = 0.7
 CACHED = 1 << 17
 WORD = re.compile(r"[^\W_]+")
@@ -101,12 +101,15 @@ class BlockMaxIndex:
         self.idf = np.log(1 + self.size / np.maximum(e.df, 1)) * (1 + evidence(np.bincount(term, share[e.example], len(e.terms)), e.df, share.mean() if self.size else 0.0))
         weight = (1 + np.log(e.count)) * self.idf[term]
         weight /= np.sqrt(np.maximum(np.bincount(e.example, weight**2, self.size), 1e-300))[e.example]
-        # Alike examples go together: sorted by the term that weighs most by how many examples have it.
-        lead = np.zeros(self.size, np.int64)
-        by = np.lexsort((-weight * e.df[term] / self.idf[term], e.example))
-        _, first = np.unique(e.example[by], return_index=True)
-        lead[e.example[by][first]] = term[by][first] + 1
-        self.order = np.argsort(lead, kind="stable")
+        # Alike examples go together: sorted by the term that weighs most by how many examples have it, then by the heaviest one.
+        leads = []
+        for key in (weight * e.df[term] / self.idf[term], weight):
+            lead = np.zeros(self.size, np.int64)
+            by = np.lexsort((-key, e.example))
+            _, first = np.unique(e.example[by], return_index=True)
+            lead[e.example[by][first]] = term[by][first] + 1
+            leads.append(lead)
+        self.order = np.lexsort(leads[::-1])
         place = np.empty(self.size, np.int64)
         place[self.order] = np.arange(self.size)
         entry = place[e.example]
@@ -167,28 +170,18 @@ class BlockMaxIndex:
         n[: self.size] = self.n
         if own >= 0:
             n[own] -= 1
-        # Few blocks give a first bound; then all from the first to the last block that can reach it are scored.
-        blocks = np.sort(order[: max(1, -(-self.blocks // FIRST_SHARE))])
-        rare_score, score = score, score.copy()
-        self.add(score, np.repeat(q, len(blocks)), self.cell_start[np.ix_(often, blocks)].ravel(), self.cell_size[np.ix_(often, blocks)].ravel())
-        seen.reshape(self.blocks, self.block)[blocks] = True
-        self.scored += len(blocks)
-        places, least = self.best(score, seen, n, k)
-        more = (bound > 0) & (bound >= least - 1e-9)
-        more[blocks] = False
-        if more.any():
-            more[blocks] = True
-            reach = np.flatnonzero(more)
-            low, high = reach[0], reach[-1]  # alike examples are neighbours, so little lies between that can't reach it
-            starts, ends = self.cell_start[often, low], self.cell_start[often, high] + self.cell_size[often, high]
-            score = rare_score
-            if len(often):
-                slices = list(map(slice, starts.tolist(), ends.tolist()))
-                entry, weight = np.concatenate([self.entry[x] for x in slices]), np.concatenate([self.weight[x] for x in slices])
-                score += np.bincount(entry, np.repeat(q, ends - starts) * weight, len(score))
-            seen[low * self.block : (high + 1) * self.block] = True
-            self.scored += int(high - low + 1)
+        places, least, done, some = np.zeros(0, np.int64), 0.0, 0, BLOCKS_AT_ONCE
+        while done < self.blocks:
+            blocks = order[done : done + some]
+            blocks = np.sort(blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)])
+            if not len(blocks):
+                break
+            cells = np.ix_(often, blocks)
+            self.add(score, np.repeat(q, len(blocks)), self.cell_start[cells].ravel(), self.cell_size[cells].ravel())
+            seen.reshape(self.blocks, self.block)[blocks] = True
+            self.scored += len(blocks)
             places, least = self.best(score, seen, n, k)
+            done, some = done + some, 2 * some
         places = places[score[places] >= least - 1e-9]
         return places, np.minimum(score[places], 1.0)
 

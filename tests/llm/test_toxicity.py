@@ -141,6 +141,17 @@ def test_held_out_accuracy(spark):
     assert len({round(r.score, 6) for r in scored}) > 100
 
 
+def test_half_of_the_blocks_are_left_alone(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.BlockMaxIndex(toxicity.learn(docs, labels).examples)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(300).collect()]
+    for text in texts:
+        ids, q = index.vector(text)
+        index.nearest(ids, q)
+    print(f"{index.scored / len(texts):.1f} of {index.blocks} blocks a text")
+    assert index.blocks > 50 and index.scored < 0.5 * len(texts) * index.blocks
+
+
 def toxic_corpus():
     rng = random.Random(4)
     words = [f"word{i}" for i in range(300)]
