@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomweb.functions import dates, text, urls
 from loomweb.operators.pages import first_of
+from loomweb.runtime import checkpointed
 
 LISTED_KEYWORDS = 6
 
@@ -69,13 +70,15 @@ def with_recall(pages: DataFrame, candidates: DataFrame, keywords: list[str], of
     """Body matches (strong) and candidates whose title alone matches (weak), with their rank keys.
 
     pages: pos, url, parsed; candidates: pos, url, title_hint, score, published_date.  Of pages with the
-    same normalised URL the first that has a hit counts.  Dates come from candidates alone.
+    same normalised URL the first that has a hit counts.  Dates come from candidates alone.  The matches, which both
+    kinds need, are stored, so that each page is parsed once.
     """
     hits = page_results(match_bodies(pages, keywords, "pos", of), "pos").withColumn("norm_url", urls.normalize(F.col("url")))
     strong = first_of(hits, ["norm_url"], ["pos"])
+    strong = checkpointed(strong.select("norm_url", "pos", "url", "hit_count", F.col("hits.keyword").alias("found_words")))
     best = best_by_url(candidates).select("norm_url", F.col("pos").alias("c_pos"), F.col("url").alias("c_url"), "title_hint", "score", "published_date")
     strong_rows = strong.join(best, "norm_url", "left").select(
-        "norm_url", "url", F.lit("strong").alias("strength"), "hit_count", "hits.keyword", F.col("pos").alias("position"), "score", F.nullif("published_date", F.lit("")).alias("published_date")
+        "norm_url", "url", F.lit("strong").alias("strength"), "hit_count", F.col("found_words").alias("keyword"), F.col("pos").alias("position"), "score", F.nullif("published_date", F.lit("")).alias("published_date")
     )
     found = _snippets(F.col("title_hint"), keyword_array(keywords, strip=True))
     weak = best.join(strong.select("norm_url"), "norm_url", "left_anti").withColumn("found", found).filter(F.size("found") > 0)
