@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ from loomweb.llm.shared import table, written
 MAX_EXAMPLES, MAX_CHARS = 3_000, 64_000_000
 PREFIXES = (5,)
 NEIGHBOURS, SOFTEN, SHARPNESS = 100, 0.05, 8
-BLOCK, FREQUENT, BLOCKS_AT_ONCE = 32, 64, 4
+BLOCK, FREQUENT, BLOCKS_AT_ONCE = 32, 256, 4
+#: Weights of frequent terms that are kept as full blocks.
+DENSE_CELLS = 1 << 23
 THRESHOLD = 0.7
 CACHED = 1 << 17
 WORD = re.compile(r"[^\W_]+")
@@ -116,17 +119,15 @@ class BlockMaxIndex:
         by = np.lexsort((entry, term))
         self.entry, self.weight = entry[by], weight[by]
         self.start = np.concatenate(([0], np.cumsum(e.df)))
-        # Frequent terms: a row each of largest weights and of where each block's postings begin.
-        often = np.flatnonzero(e.df > frequent)
+        # Frequent terms, as many of the most frequent ones as fit: full blocks of weights, and the largest in each.
+        most_rows = max(1, DENSE_CELLS // (self.blocks * block))
+        often = np.sort(np.argsort(-e.df, kind="stable")[: min(most_rows, int((e.df > frequent).sum()))])
         self.row = np.full(len(e.terms), -1)
         self.row[often] = np.arange(len(often))
         at = gather(self.start[often], e.df[often])
-        cell = np.repeat(np.arange(len(often)), e.df[often]) * self.blocks + self.entry[at] // block
-        self.most = np.zeros(len(often) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight[at])
-        self.most = self.most.reshape(-1, self.blocks)
-        self.cell_size = np.bincount(cell, minlength=len(often) * self.blocks).reshape(-1, self.blocks)
-        self.cell_start = np.cumsum(self.cell_size, axis=1) - self.cell_size + self.start[often][:, None]
+        self.dense = np.zeros((self.blocks, len(often), block))
+        self.dense[self.entry[at] // block, np.repeat(np.arange(len(often)), e.df[often]), self.entry[at] % block] = self.weight[at]
+        self.most = np.ascontiguousarray(self.dense.max(axis=2, initial=0.0).T)
         self.number = {t: i for i, t in enumerate(e.terms)}
         self.n, self.toxic = e.n[self.order].astype(float), e.toxic[self.order].astype(float)
         self.scored = 0
@@ -134,15 +135,15 @@ class BlockMaxIndex:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the known terms of a text; words met before are kept, up to a bound."""
-        ids, counts = [], []
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            if (found := self.words.get(word)) is None:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                found = self.words[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
-            ids += found
-            counts += [n] * len(found)
-        ids, inverse = np.unique(np.array(ids, np.int64), return_inverse=True)
+        words = Counter(WORD.findall((text or "").lower()))
+        if len(self.words) > CACHED:
+            self.words.clear()
+        for word in words.keys() - self.words.keys():
+            self.words[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
+        found = list(map(self.words.__getitem__, words))
+        ids = np.fromiter(chain.from_iterable(found), np.int64)
+        ids, inverse = np.unique(ids, return_inverse=True)
+        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(words)))
         return self.weighted(ids, np.bincount(inverse, counts, len(ids)) if len(ids) else np.zeros(0))
 
     def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +177,7 @@ class BlockMaxIndex:
             blocks = np.sort(blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)])
             if not len(blocks):
                 break
-            cells = np.ix_(often, blocks)
-            self.add(score, np.repeat(q, len(blocks)), self.cell_start[cells].ravel(), self.cell_size[cells].ravel())
+            score.reshape(self.blocks, self.block)[blocks] += q @ self.dense[np.ix_(blocks, often)]
             seen.reshape(self.blocks, self.block)[blocks] = True
             self.scored += len(blocks)
             places, least = self.best(score, seen, n, k)
