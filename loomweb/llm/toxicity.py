@@ -138,7 +138,7 @@ class BlockMaxIndex:
         words = Counter(WORD.findall((text or "").lower()))
         if len(self.words) > CACHED:
             self.words.clear()
-        for word in words.keys() - self.words.keys():
+        for word in [w for w in words if w not in self.words]:
             self.words[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
         found = list(map(self.words.__getitem__, words))
         ids = np.fromiter(chain.from_iterable(found), np.int64)
