@@ -60,3 +60,20 @@ def test_locate_page():
     shown = html.locate_page("<html><head><meta http-equiv='Content-Security-Policy' content='x'></head><body onload='e()'><noscript>n</noscript><script>bad()</script><p onclick=x>a &lt; b</p></body></html>", "http://h/a", "k</script>")
     assert "bad()" not in shown and "onload" not in shown and "onclick" not in shown and "Security" not in shown and "a &lt; b" in shown
     assert '<base href="http://h/a"/>' in shown and "k</script>" not in shown.replace("</script></body>", "")
+
+
+def test_pages_are_made_in_short_batches(spark):
+    """However many pages a batch of Spark's has, few are Python objects at once; nulls and long pages keep their places."""
+    import pyarrow as pa
+
+    texts = [None if i == 7 else f"<p>{i}</p>" + ("x" * html.CHARS_AT_ONCE if i == 100 else "") for i in range(300)]
+    batches = [(pa.array(texts), pa.array(["http://h/"] * 300)), (pa.array([], pa.string()), pa.array([], pa.string()))]
+    made = list(html.sliced(iter(batches), lambda text, url: (text or "")[:9], pa.string()))
+    assert max(map(len, made)) == html.PAGES_AT_ONCE
+    assert [x.as_py() for m in made for x in m] == [(t or "")[:9] for t in texts]
+    assert any(len(m) == 1 and m[0].as_py().startswith("<p>100") for m in made)
+
+    rows = spark.createDataFrame([(i, "http://h/", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    seen = {r["page_id"]: r["v"][:3] for r in pages.parsed(rows).select("page_id", F.col("page.visible_text").alias("v")).collect()}
+    assert seen == {i: "" if i == 7 else str(i)[:3] for i in range(300)}
+    assert pages.locate(rows, "p").filter(F.contains("highlighted", F.lit("<base href="))).count() == 300
