@@ -77,10 +77,14 @@ def start_pages(jobs_table: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def merged_pages(crawled: DataFrame, discovered: DataFrame) -> DataFrame:
-    """Pages of a crawl, then those of a discovery that the crawl lacks, by normalised url; each url once, the first one."""
+    """Pages of a crawl, then those of a discovery that the crawl lacks, by normalised url; each url once, the first one.
+
+    Pages of one source and url are told apart by their other columns (the least, maps left out), so that runs agree.
+    """
     both = crawled.withColumn("source_rank", F.lit(0)).unionByName(discovered.withColumn("source_rank", F.lit(1)))
     keyed = both.withColumn("norm_url", urls.normalize(F.col("url")))
-    return pages.first_of(keyed, ["norm_url"], ["source_rank", "url"]).drop("norm_url", "source_rank")
+    rest = [f.name for f in crawled.schema if f.name != "url" and "map<" not in f.dataType.simpleString()]
+    return pages.first_of(keyed, ["norm_url"], ["source_rank", "url", *rest]).drop("norm_url", "source_rank")
 
 
 def diagnostics(results: DataFrame, fetched: DataFrame, wanted: int = 1) -> DataFrame:

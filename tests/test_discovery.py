@@ -133,3 +133,13 @@ def test_counters_come_with_the_jobs(spark):
     hits = spark.createDataFrame([("http://h.cn/d/1", 3, "strong"), ("http://h.cn/d/3", 2, "weak")], "url string, hit_count int, strength string")
     document = json.loads(discovery.report(hits, 5, told).first()["document"])
     assert document == {"pagesCrawled": 5, "totalHits": 3, "strongHits": 3, "weakHits": 1, "recentWindowDays": None, "stopReason": None, "discovery": told, "resultUrls": ["http://h.cn/d/1", "http://h.cn/d/3"]}
+
+
+def test_merged_pages_do_not_depend_on_the_order_of_rows(spark):
+    """Of pages of one source and url the least stays, whatever partition it is in."""
+    from loomweb.plans import search
+
+    rows = [(i, f"http://h/{i % 5}") for i in range(200)]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[0] * 7919 % 211)):
+        found = spark.createDataFrame(order, "page_id long, url string").repartition(3)
+        assert sorted(map(tuple, search.merged_pages(found.filter("page_id > 20"), found).collect())) == [(21, "http://h/1"), (22, "http://h/2"), (23, "http://h/3"), (24, "http://h/4"), (25, "http://h/0")]
