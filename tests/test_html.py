@@ -77,3 +77,9 @@ def test_pages_are_made_in_short_batches(spark):
     seen = {r["page_id"]: r["v"][:3] for r in pages.parsed(rows).select("page_id", F.col("page.visible_text").alias("v")).collect()}
     assert seen == {i: "" if i == 7 else str(i)[:3] for i in range(300)}
     assert pages.locate(rows, "p").filter(F.contains("highlighted", F.lit("<base href="))).count() == 300
+
+
+def test_references_without_a_semicolon():
+    """As HTML and the parser of old have it: a title cut off after &amp means an ampersand."""
+    page = html.parse("<html><head><title>a &amp;&amp</title></head><body><article><h1>b &amp</h1></article></body></html>", "http://h/")
+    assert page["title"] == "a &&" and page["main_text"] == "b &"
