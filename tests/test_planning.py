@@ -83,3 +83,34 @@ def test_budget_stops_at_the_first_block_that_is_too_long(spark):
     got = spark.createDataFrame([(answer,), ("plain ",)], "a string").select(prompts.overview(F.col("a")).alias("o"), prompts.answer_entries(F.col("a")).alias("e")).collect()
     assert got[0].o == "o" and [tuple(e) for e in got[0].e] == [("2024-01-01", "T", "line", "http://h/1"), ("", "U", "only summary", "")]
     assert got[1].o == "plain" and got[1].e == []
+
+
+def test_nearest_vectors_equal_a_plain_search(spark):
+    """Also with more queries than go at once, ties, copies, and vectors of no direction or of another length; one product scores many pairs."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(230)] + [(1000, None), (1001, [0.0] * 4), (1002, [1.0, 2.0]), (1003, [1e200, 0.0, 0.0, 1e200])]
+    size = lambda v: 0.0 if v is None else float(np.linalg.norm(np.array(v) / max(map(abs, v), default=1) if any(v) else v))
+
+    def like(a, b):
+        if not size(a) or not size(b) or len(a) != len(b):
+            return None
+        a, b = (np.array(x) / max(map(abs, x)) for x in (a, b))
+        return round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 5)
+
+    want = set()
+    for q, query in rows:
+        scored = [(like(v, query), i) for i, v in rows]
+        want |= {(q, i, s) for s, i in sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:3]}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = retrieval.nearest(frame, frame, 3, 5)
+    assert {(r[0], r[1], None if r[2] is None else round(r[2], 5)) for r in whole.collect()} == want
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    most, retrieval.QUERIES_AT_ONCE = retrieval.QUERIES_AT_ONCE, 50
+    try:
+        assert {(r[0], r[1], None if r[2] is None else round(r[2], 5)) for r in retrieval.nearest(frame, frame, 3, 5).collect()} == want
+    finally:
+        retrieval.QUERIES_AT_ONCE = most
+    assert retrieval.nearest(frame, frame.filter("vec_id < 0")).count() == 0
