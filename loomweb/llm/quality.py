@@ -93,7 +93,8 @@ def with_views(docs: DataFrame) -> DataFrame:
     rows = Normalizer(inputCol="counts", outputCol="shares", p=float("inf")).transform(rows)
     rows = HashingTF(inputCol="statistics", outputCol="repeats", numFeatures=STATISTICS).transform(rows)
     rows = VectorAssembler(inputCols=["shares", "repeats"], outputCol="content").transform(rows)
-    return rows.select("row", "content", "page")
+    # The assembler names each slot in the schema, about 1 MB that every plan, task and file would carry: their number is enough.
+    return rows.withMetadata("content", {"ml_attr": {"num_attrs": FEATURES + STATISTICS}}).select("row", "content", "page")
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:

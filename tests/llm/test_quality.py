@@ -77,3 +77,11 @@ def test_quality_without_two_kinds_of_labels(spark):
     assert quality.keep_good(docs, labels).count() == 2 and quality.keep_good(docs, labels.limit(0)).count() == 2
     bad = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
     assert quality.keep_good(docs, bad).count() == 0 and quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_schemas_do_not_name_the_slots(spark):
+    """A name for each of the content view's slots would go into every plan, task and file."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    stored = quality.stored_views(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert len(stored.schema.json()) < 5_000
+    assert stored.schema["content"].metadata["ml_attr"]["num_attrs"] == quality.FEATURES + quality.STATISTICS == len(stored.first().content)
