@@ -7,10 +7,11 @@ term's toxic texts: about 0 for most terms, so their weights are the usual ones,
 with the label isn't drowned by a long text's topic.  Vectors have length 1.
 
 The index cuts the examples into small blocks, alike ones together: by the term that leads in common words, which tells
-languages apart, then by the heaviest term.  Frequent terms keep their largest weight in each block.  A text's rare terms are scored at once; with the frequent terms' largest weights that
-bounds what an example of a block can reach.  Blocks are scored in the order of their bounds, some at a
-time, until the next bound falls below the cosine of the last neighbour asked for; the rest is never scored.  All examples as near as that one count,
-so ties need no choice.  Votes are weighted by 1 / (1 - cosine + SOFTEN) ** SHARPNESS, with one vote of
+languages apart, then by the heaviest term.  Frequent terms keep their largest weight in each block, and a weight for each example.
+A text's rare terms are scored at once; with the frequent terms' largest weights that bounds what an example of a block can
+reach.  Blocks are scored in the order of their bounds, some at a time, until the next bound falls below the cosine of the last
+neighbour asked for; the rest is never scored.  A block is scored for all of some texts that need it, as a product of matrices.
+All examples as near as the last one count, so ties need no choice.  Votes are weighted by 1 / (1 - cosine + SOFTEN) ** SHARPNESS, with one vote of
 the whole sample's share, and become probabilities by isotonic regression on votes that leave out each
 example itself.  A text without any known term gets the sample's share of toxic texts.
 
@@ -25,12 +26,11 @@ equal texts: one example with as many votes; no labels: score 0; no rows: no row
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ from loomweb.llm.shared import table, written
 MAX_EXAMPLES, MAX_CHARS = 3_000, 64_000_000
 PREFIXES = (5,)
 NEIGHBOURS, SOFTEN, SHARPNESS = 100, 0.05, 8
-BLOCK, FREQUENT, BLOCKS_AT_ONCE = 32, 64, 4
+BLOCK, FREQUENT, BLOCKS_AT_ONCE = 32, 300, 4
+MOST_FREQUENT, TOGETHER = 1_024, 256  # terms with a weight for each example; texts that are scored together
 THRESHOLD = 0.7
 CACHED = 1 << 17
 WORD = re.compile(r"[^\W_]+")
@@ -93,6 +94,24 @@ def evidence(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
     return 2 * (part(toxic, df * share) + part(df - toxic, df * (1 - share)))
 
 
+class Words(dict):
+    """The row of each word met in terms, where ROW numbers of its known terms stand (-1: none); row 0 is that of all words without any."""
+
+    ROW = 1 + len(PREFIXES)
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.terms = number.get, array("q", [-1] * self.ROW)
+
+    def __missing__(self, word: str) -> int:
+        found = [self.number(t, -1) for t in word_terms(word)]
+        row = 0
+        if max(found) >= 0:
+            row = len(self.terms) // self.ROW
+            self.terms.extend(found + [-1] * (self.ROW - len(found)))
+        self[word] = row
+        return row
+
+
 class BlockMaxIndex:
     def __init__(self, examples: Examples, block: int = BLOCK, frequent: int = FREQUENT):
         e = self.examples = examples
@@ -117,93 +136,111 @@ class BlockMaxIndex:
         by = np.lexsort((entry, term))
         self.entry, self.weight = entry[by], weight[by]
         self.start = np.concatenate(([0], np.cumsum(e.df)))
-        # Frequent terms: a row each of largest weights and of where each block's postings begin.
-        often = np.flatnonzero(e.df > frequent)
+        # Frequent terms: a row each of largest weights, and of all weights in each block.
+        often = np.argsort(-e.df, kind="stable")[:MOST_FREQUENT]
+        often = often[e.df[often] > frequent]
         self.row = np.full(len(e.terms), -1)
         self.row[often] = np.arange(len(often))
         at = gather(self.start[often], e.df[often])
-        cell = np.repeat(np.arange(len(often)), e.df[often]) * self.blocks + self.entry[at] // block
-        self.most = np.zeros(len(often) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight[at])
-        self.most = self.most.reshape(-1, self.blocks)
-        self.cell_size = np.bincount(cell, minlength=len(often) * self.blocks).reshape(-1, self.blocks)
-        self.cell_start = np.cumsum(self.cell_size, axis=1) - self.cell_size + self.start[often][:, None]
+        full = np.zeros((len(often), self.blocks * block))
+        full[np.repeat(np.arange(len(often)), e.df[often]), self.entry[at]] = self.weight[at]
+        full = full.reshape(len(often), self.blocks, block)
+        self.most = full.max(axis=2)
+        self.full = np.ascontiguousarray(full.transpose(1, 0, 2))
         self.number = {t: i for i, t in enumerate(e.terms)}
         self.n, self.toxic = e.n[self.order].astype(float), e.toxic[self.order].astype(float)
         self.scored = 0
-        self.words: dict[str, tuple] = {}
+        self.words = Words(self.number)
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of the known terms of a text; words met before are kept, up to a bound."""
-        words = Counter(WORD.findall((text or "").lower()))
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's terms begin (and the last ones end), numbers and weights of the known ones; words met before are kept, up to a bound."""
         if len(self.words) > CACHED:
-            self.words.clear()
-        for word in [w for w in words if w not in self.words]:
-            self.words[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
-        found = list(map(self.words.__getitem__, words))
-        ids = np.fromiter(chain.from_iterable(found), np.int64)
-        ids, inverse = np.unique(ids, return_inverse=True)
-        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(words)))
-        return self.weighted(ids, np.bincount(inverse, counts, len(ids)) if len(ids) else np.zeros(0))
-
-    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            self.words = Words(self.number)
+        rows = []
+        for text in texts:
+            words = WORD.findall((text or "").lower())
+            rows.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        terms = max(1, len(self.idf))
+        known = np.frombuffer(self.words.terms, np.int64).reshape(-1, Words.ROW)[np.concatenate(rows)]
+        key = known + (np.repeat(np.arange(len(texts)), [len(r) for r in rows]) * terms)[:, None]
+        key, counts = np.unique(key[known >= 0], return_counts=True)
+        text, ids = np.divmod(key, terms)
         w = (1 + np.log(counts)) * self.idf[ids]
-        return ids, w / max(math.sqrt(float(w @ w)), 1e-300)
+        w /= np.sqrt(np.maximum(np.bincount(text, w**2, len(texts)), 1e-300))[text]
+        return np.searchsorted(text, np.arange(len(texts) + 1)), ids, w
 
-    def add(self, score: np.ndarray, weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        at = gather(starts, sizes)
-        score += np.bincount(self.entry[at], np.repeat(weights, sizes) * self.weight[at], len(score))
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms of a text."""
+        return self.vectors([text])[1:]
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines (descending), until they stand for k examples, with all as near as the last.
 
         own: a place that counts one example less (the one that asks).
         """
-        row = self.row[ids]
-        rare, often = row < 0, row[row >= 0]
-        score = np.zeros(self.blocks * self.block)
-        self.add(score, q[rare], self.start[ids[rare]], self.examples.df[ids[rare]])
-        q = q[~rare]
-        bound = score.reshape(self.blocks, self.block).max(axis=1) + q @ self.most[often]
-        order = np.argsort(-bound, kind="stable")
-        seen = np.zeros(len(score), bool)
-        n = np.zeros(len(score))
-        n[: self.size] = self.n
-        if own >= 0:
-            n[own] -= 1
-        places, least, done, some = np.zeros(0, np.int64), 0.0, 0, BLOCKS_AT_ONCE
+        return self.nearest_of_each(np.array([0, len(ids)]), ids, q, k, [own])[0]
+
+    def nearest_of_each(self, starts: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of some texts at once: a block is scored for all that need it by a product of matrices."""
+        texts = len(starts) - 1
+        row, text = self.row[ids], np.repeat(np.arange(texts), np.diff(starts))
+        score = np.empty((texts, self.blocks * self.block))
+        for t in range(texts):
+            some = slice(starts[t], starts[t + 1])
+            rare = row[some] < 0
+            i = ids[some][rare]
+            sizes = self.examples.df[i]
+            at = gather(self.start[i], sizes)
+            score[t] = np.bincount(self.entry[at], np.repeat(q[some][rare], sizes) * self.weight[at], score.shape[1])
+        common = np.zeros((texts, len(self.most)))
+        common[text[row >= 0], row[row >= 0]] = q[row >= 0]
+        by_block = score.reshape(texts, self.blocks, self.block)
+        bound = by_block.max(axis=2) + common @ self.most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.where(bound > 0, bound, -1.0)
+        seen, least = np.zeros((texts, self.blocks), bool), np.zeros(texts)
+        done, some, enough = 0, BLOCKS_AT_ONCE, k + (own is not None)
         while done < self.blocks:
-            blocks = order[done : done + some]
-            blocks = np.sort(blocks[(bound[blocks] > 0) & (bound[blocks] >= least - 1e-9)])
-            if not len(blocks):
+            need, now = np.zeros_like(seen), order[:, done : done + some]
+            np.put_along_axis(need, now, np.take_along_axis(bound, now, 1) >= least[:, None] - 1e-9, 1)
+            asking = np.flatnonzero(need.any(axis=1))
+            if not len(asking):
                 break
-            cells = np.ix_(often, blocks)
-            self.add(score, np.repeat(q, len(blocks)), self.cell_start[cells].ravel(), self.cell_size[cells].ravel())
-            seen.reshape(self.blocks, self.block)[blocks] = True
-            self.scored += len(blocks)
-            places, least = self.best(score, seen, n, k)
+            for b in np.flatnonzero(need.any(axis=0)):
+                t = np.flatnonzero(need[:, b])
+                by_block[t, b] += common[t] @ self.full[b]
+            seen |= need
+            self.scored += int(need.sum())
             done, some = done + some, 2 * some
-        places = places[score[places] >= least - 1e-9]
-        return places, np.minimum(score[places], 1.0)
-
-    @staticmethod
-    def best(score: np.ndarray, seen: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-        """Places (descending) that hold at least the k nearest examples of the seen ones, and the cosine of the last of these (0: fewer)."""
-        places = np.flatnonzero(seen & (score > 0))
-        if len(places) > 2 * k + 2:  # each stands for an example at least, but for the one that asks
-            places = places[score[places] >= np.partition(score[places], -k - 1)[-k - 1] - 1e-9]
+            # Each place stands for an example at least (but for the one that asks), so the cosine asked for is no less than this.
+            if enough <= done * self.block and done < self.blocks:
+                at = asking[:, None], order[asking, :done]
+                kept = np.where(seen[at][:, :, None], by_block[at], 0.0).reshape(len(asking), -1)
+                least[asking] = np.partition(kept, -enough, axis=1)[:, -enough]
+        by_block[~seen] = 0.0
+        return [self.best(score[t], float(least[t]), k, own[t] if own else -1) for t in range(texts)]
+
+    def best(self, score: np.ndarray, least: float, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples, and all as near as the last; none of them is below least."""
+        places = np.flatnonzero((score > 0) & (score >= least - 1e-9))
         places = places[np.argsort(-score[places], kind="stable")]
-        enough = np.flatnonzero(np.cumsum(n[places]) >= k)
-        return places, float(score[places[enough[0]]]) if len(enough) else 0.0
+        enough = np.flatnonzero(np.cumsum(self.n[places] - (places == own)) >= k)
+        if len(enough):
+            places = places[score[places] >= score[places[enough[0]]] - 1e-9]
+        return places, np.minimum(score[places], 1.0)
 
-    def vote(self, ids: np.ndarray, q: np.ndarray, own: int = -1, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    def share(self, places: np.ndarray, cosines: np.ndarray, own: int = -1, own_toxic: int = 0) -> float:
         """The share of toxic votes, weighted by distance."""
-        places, cosines = self.nearest(ids, q, own=own)
         n, toxic = self.n[places], self.toxic[places]
         if own >= 0:
             n, toxic = n - (places == own), toxic - (places == own) * own_toxic
         w = (1 - cosines + SOFTEN) ** -SHARPNESS
-        return float((w @ toxic + self.examples.prior()) / (w @ n + 1)), places, cosines
+        return float((w @ toxic + self.examples.prior()) / (w @ n + 1))
+
+    def vote(self, ids: np.ndarray, q: np.ndarray, own: int = -1, own_toxic: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic votes, and the neighbours that gave them."""
+        places, cosines = self.nearest(ids, q, own=own)
+        return self.share(places, cosines, own, own_toxic), places, cosines
 
 
 def isotonic(votes: np.ndarray, share: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,15 +266,18 @@ class Scorer:
     def __init__(self, model: Model):
         self.index, self.knots = BlockMaxIndex(model.examples), model.knots
 
-    def score(self, text: str | None) -> tuple[float, str]:
-        """Score, and evidence: the three nearest examples as doc_id:cosine:share of toxic ones."""
-        ids, q = self.index.vector(text)
-        if not len(ids):
-            return self.index.examples.prior(), ""
-        vote, places, cosines = self.index.vote(ids, q)
-        e, at = self.index.examples, self.index.order[places[:3]]
-        near = ",".join(f"{d}:{c:.4f}:{s:.2f}" for d, c, s in zip(e.doc_id[at], cosines, e.toxic[at] / e.n[at], strict=False))
-        return float(np.interp(vote, *self.knots)), near
+    def score(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """Scores, and evidence: the three nearest examples as doc_id:cosine:share of toxic ones."""
+        starts, ids, q = self.index.vectors(texts)
+        e, near = self.index.examples, self.index.nearest_of_each(starts, ids, q)
+        known = np.diff(starts) > 0
+        votes = np.interp([self.index.share(*x) if k else 0.0 for x, k in zip(near, known, strict=True)], *self.knots)
+        out = []
+        for vote, k, (places, cosines) in zip(votes.tolist(), known, near, strict=True):
+            at = self.index.order[places[:3]]
+            evidence = ",".join(f"{d}:{c:.4f}:{t / n:.2f}" for d, c, t, n in zip(e.doc_id[at].tolist(), cosines.tolist(), e.toxic[at].tolist(), e.n[at].tolist(), strict=False))
+            out.append((vote, evidence) if k else (e.prior(), ""))
+        return out
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_chars: int = MAX_CHARS) -> DataFrame:
@@ -281,13 +321,14 @@ def own_votes(index: BlockMaxIndex, places: list[int]) -> list[tuple[float, int,
     by = np.argsort(index.entry, kind="stable")
     term = np.repeat(np.arange(len(e.terms)), e.df)
     cuts = np.searchsorted(index.entry[by], np.arange(index.size + 1))
-    for p in places:
-        at = by[cuts[p] : cuts[p + 1]]
-        if len(at):
-            ids = term[at]
-            q = index.weight[at]  # of length 1 already
+    for i in range(0, len(places), TOGETHER):
+        some = np.array(places[i : i + TOGETHER])
+        sizes = cuts[some + 1] - cuts[some]
+        at = by[gather(cuts[some], sizes)]  # weights of examples are of length 1 already
+        near = index.nearest_of_each(np.concatenate(([0], np.cumsum(sizes))), term[at], index.weight[at], own=some.tolist())
+        for p, known, found in zip(some.tolist(), sizes, near, strict=True):
             toxic, n = int(index.toxic[p]), int(index.n[p])
-            out += [(index.vote(ids, q, p, label)[0], label, k) for label, k in ((1, toxic), (0, n - toxic)) if k]
+            out += [(index.share(*found, p, label), label, c) for label, c in ((1, toxic), (0, n - toxic)) if c and known]
     return out
 
 
@@ -317,7 +358,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            cuts = range(0, batch.num_rows, TOGETHER)
+            found = [x for i in cuts for x in scorer.score(batch.column("text").slice(i, TOGETHER).to_pylist())]
             arrays = [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "evidence"])
 

@@ -106,6 +106,23 @@ def test_block_max_search_is_exact_and_prunes(seed):
     assert index.scored < 0.9 * 80 * index.blocks
 
 
+def test_texts_scored_together_get_their_own_neighbours():
+    """One product of matrices a block for all texts that need it gives what each text gets alone."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{rng.randrange(50)}" for _ in range(rng.randrange(1, 12))), int(rng.random() < 0.3)) for i in range(700)]
+    brute, index = Brute(rows), toxicity.BlockMaxIndex(examples_of(rows), block=8, frequent=20)
+    texts = [None, "", "unknown", *(t for _, t, _ in rng.sample(rows, 60)), "a1 b2 c3 " * 500, ""]
+    starts, ids, q = index.vectors(texts)
+    assert 0 < len(index.most) < len(index.idf) and starts[-1] == len(ids) and starts[3] == 0
+    for text, a, b, found in zip(texts, starts[:-1], starts[1:], index.nearest_of_each(starts, ids, q, k=15), strict=True):
+        alone, weights = index.vector(text)
+        assert alone.tolist() == ids[a:b].tolist() and np.allclose(weights, q[a:b])
+        places, cosines = index.nearest(alone, weights, k=15)
+        assert sorted(found[0]) == sorted(places) and np.allclose(found[1], cosines)
+        want = sorted((sum(w * v.get(t, 0) for t, w in brute.vector(text).items()) for v in brute.vectors.values()), reverse=True)
+        assert np.allclose(found[1], np.minimum(want[: len(places)], 1))
+
+
 def examples_of(rows):
     votes, postings = {}, {}
     for doc_id, text, toxic in rows:
