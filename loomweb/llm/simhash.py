@@ -161,7 +161,8 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         .filter((F.col("n") > 1) & (F.col("least").isNull() | (F.col("least") != F.col("most"))))
         .select("signature", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    members = rows.select("signature", "fp").join(checkpointed(useful), "signature")
+    # Spark sizes the rows as if the explode had added none (66 times too low) and would broadcast them.
+    members = rows.select("signature", "fp").hint("merge").join(checkpointed(useful), "signature")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = members.select("signature", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("signature", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), "fp")

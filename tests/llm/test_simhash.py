@@ -99,3 +99,13 @@ def test_the_query_equals_brute_force(spark):
     fps = {i: plain_fingerprint(t) for i, t in docs.items()}
     want = {(i, f"{fps[i]:016x}", root) for i, root in classes(fps).items()}
     assert {tuple(r) for r in simhash.op6_simhash(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect()} == want
+
+
+def test_exploded_signatures_are_not_broadcast(spark):
+    """Adaptive execution takes the 66 rows of each fingerprint for one, small enough to be sent to the driver."""
+    rng = random.Random(2)
+    fps = [rng.getrandbits(63) for _ in range(500)]
+    links = simhash.link(spark.createDataFrame([(f ^ flip,) for f in fps for flip in (0, 1)], "fp long"))
+    assert len(links.collect()) == 500
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
