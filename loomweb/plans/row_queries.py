@@ -109,8 +109,9 @@ SELECT doc_id, md5(s) AS snippet, sha1('u|text|' || s) AS hit_key FROM s"""
 def keyword_sets(spark, sf_dir):
     words = text.keyword_list(F.col("text"))
     mixed = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("教育"), F.lit("school"))).otherwise(F.array(F.lit("school")))
-    expanded = F.array(F.lit("教学设备"), F.lit("医疗"), F.lit("school"), F.concat(F.lit("育"), F.element_at(words, 1)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(words, "|")).alias("words"), F.array_join(text.keyword_union(mixed, text.on_topic(mixed, expanded)), "|").alias("kept"), F.size(F.filter(words, text.is_specific)).cast("long").alias("n_specific"))
+    expanded = F.array(F.lit("教学设备"), F.lit("医疗"), F.lit("school"), F.concat(F.lit("育"), F.get(words, 0)))
+    kept = F.when(F.get(words, 0).isNotNull(), F.array_join(text.keyword_union(mixed, text.on_topic(mixed, expanded)), "|"))  # null for a text without words
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(words, "|")).alias("words"), kept.alias("kept"), F.size(F.filter(words, text.is_specific)).cast("long").alias("n_specific"))
     return rows
 
 
