@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -157,3 +158,38 @@ def test_words_are_lower_cased_alike_in_one_go():
     assert all(bool(word.match(c)) == bool(word.match(c.lower())) for c in each if c != "İ")
     for text in (None, "", "ΑΣ'Α ΟΔΟΣ", "İI x", "".join(c for c in each if c not in "İΣ"), "A" + " A".join(c for c in each if c not in "İΣ") + "B"):
         assert d.words_of(text) == [w.lower() for w in d.WORD.findall(text or "")]
+
+
+def test_copies_that_keep_frequent_runs_only(spark):
+    """Items share phrases with each other and with very many documents; a copy that keeps nothing rarer is found all the same."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(3000)}"
+    phrases = [[f"p{k}a", f"p{k}b", f"p{k}c"] for k in range(12)]
+    items = []
+    for k in range(12):
+        item = []
+        for p in rng.sample(phrases, 4):
+            item += [*p, f"own{k}x{len(item)}"]
+        items.append((k, item[:-1]))
+    docs = [[w for p in rng.sample(phrases, 3) for w in (*p, *(word() for _ in range(rng.randrange(40))))] for _ in range(400)]
+    for _, item in items:
+        changed = [f"new{rng.randrange(99)}" if w.startswith("own") else w for w in item]  # 12 of 15 words: phrases alone
+        docs += [[*(word() for _ in range(9)), *changed, *(word() for _ in range(30))], changed, [*changed[:7], *(word() for _ in range(50)), *changed[7:]]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    truth = brute_force(docs, [(k, " ".join(w)) for k, w in items])
+    assert len(truth) >= 24
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    for block in (d.BLOCK_WORDS, 60):
+        got = {(r.doc_id, r.item_id): r.similarity for r in d.find_leaks(frame, bench, block_words=block).collect()}
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in truth.items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 9), min_size=3, max_size=25), min_size=1, max_size=6), st.lists(st.integers(0, 9), max_size=60), st.sampled_from([0.3, 0.8, 1.0]))
+def test_counting_words_drops_no_item_that_an_alignment_takes(items, stretch, least):
+    none = np.zeros(0, np.int64)
+    found = d.Frequent(none, none, none, {i: np.array(w) for i, w in enumerate(items)}, least).items_in(stretch)
+    taken = {i for i, w in enumerate(items) if d.smith_waterman(w, stretch)[0] >= least * len(w)}
+    assert taken <= found
+    assert found == {i for i, w in enumerate(items) if (k := sum(min(w.count(x), stretch.count(x)) for x in set(w))) / len(w) >= least}
